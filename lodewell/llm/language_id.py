@@ -142,7 +142,7 @@ def _kernel(ids: list[np.ndarray], model: Model) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: Model | None, params: Params = Params(), text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns, lang_pred and score for every row of docs."""
+    """The carried columns, lang_pred, score and known_share (of the text's n-grams, how many the landmarks hold) for every row."""
     small_batches(docs.sparkSession)
     bits, und = params.bits, params.und
     kept = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text).alias("t"))
@@ -152,18 +152,20 @@ def predict(docs: DataFrame, model: Model | None, params: Params = Params(), tex
         flags = np.zeros(1 << bits, np.uint8)
         for batch in batches:
             texts = batch.column(len(carry)).to_pylist()
-            preds, scores = [und] * len(texts), np.zeros(len(texts))
+            preds, scores, shares = [und] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if has_letter(t)] if model is not None else []
             for at in range(0, len(known), 256):
                 rows = known[at : at + 256]
-                f = _kernel([grams(texts[i], bits, flags) for i in rows], model) @ model.nystrom @ model.weights
+                sets = [grams(texts[i], bits, flags) for i in rows]
+                shares[rows] = [np.count_nonzero(model.slots[x] >= 0) / len(x) for x in sets]
+                f = _kernel(sets, model) @ model.nystrom @ model.weights
                 best = np.argmax(f, 1)
                 scores[rows] = np.clip((f[np.arange(len(rows)), best] + 1) / 2, 0, 1)
                 for i, k in zip(rows, best, strict=True):
                     preds[i] = model.langs[k]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(preds, pa.string()), pa.array(scores)], names=[*carry, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(preds, pa.string()), pa.array(scores), pa.array(shares)], names=[*carry, "lang_pred", "score", "known_share"])
 
-    return kept.mapInArrow(score, f"{fields}, lang_pred string, score double")
+    return kept.mapInArrow(score, f"{fields}, lang_pred string, score double, known_share double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -177,15 +179,15 @@ def identify(docs: DataFrame, params: Params = Params()) -> DataFrame:
     return predict(docs, model, params).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def reject(docs: DataFrame, min_score: float = 0.5, params: Params = Params()) -> DataFrame:
+def reject(docs: DataFrame, min_share: float = 0.2, min_score: float = 0.3, params: Params = Params()) -> DataFrame:
     """The documents kept by language identification, with all their columns.
 
-    Rejected are those predicted `und` (null or letterless text) and those whose best one-versus-rest
-    answer is negative (score under 0.5): text that belongs to none of the learnt languages.
-    Without any labelled row nothing can be told apart, so only null and letterless texts go.
+    Rejected are those predicted `und` (null or letterless text), those whose n-grams are nearly all
+    unknown to the landmarks (another language or script), and those that every one-versus-rest
+    regression clearly turns down. Without any labelled row only null and letterless texts go.
     """
     model = fit(docs.where(~held_out(F.col("doc_id"))), params)
     if model is None:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     marked = predict(docs, model, params, carry=tuple(docs.columns))
-    return marked.where((F.col("lang_pred") != params.und) & (F.col("score") >= min_score)).select(*docs.columns)
+    return marked.where((F.col("lang_pred") != params.und) & (F.col("known_share") >= min_share) & (F.col("score") >= min_score)).select(*docs.columns)
