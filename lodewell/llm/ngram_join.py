@@ -11,15 +11,18 @@ sets agree on one whole part at least. A token is (level, part, content of the s
 shingles must be the same for two documents to share one, so a passage that many documents quote makes
 no long posting lists, and none is ever capped.
 
-Groups. Documents with equal sets collapse first. Then documents are partitioned into groups of similar
-ones: a group is led by the smallest doc_id on a token's list, and the token-group matrix holds the
-tokens of its members. Overlap bound: a document and a group without a common token cannot link. Only
-groups that qualify are opened, first by exact comparison with their leader. What is then joined by
-links needs no more comparison for components; the pairs on tokens whose documents still lie in
-different components are all compared, so no link between different components is lost.
-
-Texts move once, to the documents that asked for them, and a leader asked for by very many documents
-is split by salt. Rows with a null doc_id stand alone (component_id null); repeated rows share a class.
+Groups. Documents with equal sets collapse first. Documents that share tokens, directly or through
+others, make a family: no link leaves a family. Families are partitioned into groups of similar documents,
+small ones as they are, larger ones by size class and hash into groups of about GROUP documents. The task of
+a group holds the union of its members' shingles; a query document must have at least 90 % of its own
+shingles in that union (the overlap bound), and only for queries that qualify is the group opened and
+counted, shingle by shingle, against every member. Groups are first compared with themselves; then, in families
+of several groups, every document outside the family's largest class so far is a query to all groups of
+its own and the neighbouring size classes. Tasks return spanning forests of links, never pairs of a
+group, and no link between two classes is lost.
+
+Texts move once per group that a document visits. Rows with a null doc_id stand alone (component_id
+null); repeated rows share a class.
 """
 
 from __future__ import annotations
@@ -40,8 +43,8 @@ from lodewell.plans.storage import materialize, small_batches
 SHINGLE = 3
 #: Linked: NUM * union <= DEN * intersection, that is, a similarity of 0.9.
 NUM, DEN = 90, 100
-#: Members that one task compares with a leader.
-SALT_ROWS = 1000
+#: Documents of a group.
+GROUP = 512
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -80,22 +83,16 @@ def tokens(own: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    if not len(a) or not len(b) or DEN * min(len(a), len(b)) < NUM * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return DEN * both >= NUM * (len(a) + len(b) - both)
-
-
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit signature of the set, and its tokens."""
+    """doc_id, n_shingles, the size class, a 128-bit signature of the set, and its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, one, two, toks, at = [], [], [], [], [0]
+            n, cls, one, two, toks, at = [], [], [], [], [], [0]
             for text in batch.column(1).to_pylist():
                 own = shingle_set(text)
                 n.append(len(own))
+                cls.append(_class_of(len(own)))
                 one.append(mix(own).sum(dtype=np.uint64))
                 two.append(mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
                 if len(own):
@@ -104,32 +101,71 @@ def features(docs: DataFrame) -> DataFrame:
             flat = np.concatenate(toks) if toks else np.zeros(0, np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))
             sig = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *sig, lists], names=["doc_id", "n_shingles", "sig1", "sig2", "tokens"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, sig1 long, sig2 long, tokens array<long>")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int32()), *sig, lists], names=["doc_id", "n_shingles", "size_class", "sig1", "sig2", "tokens"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, size_class int, sig1 long, sig2 long, tokens array<long>")
+
+
+def open_group(queries: list[tuple[int, int, np.ndarray]], members: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Spanning links of (doc, class so far, set) queries to the members of a group; those of one class are not compared."""
+    union = np.unique(np.concatenate([x for _, _, x in members]))
+    flat = np.concatenate([np.searchsorted(union, x) for _, _, x in members])
+    sizes = np.array([len(x) for _, _, x in members])
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    owners, classes = [d for d, _, _ in members], [c for _, c, _ in members]
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    flags, links = np.zeros(len(union), np.int64), []
+    for doc, part, own in queries:
+        at = np.searchsorted(union, own)
+        at = at[(at < len(union)) & (union[np.minimum(at, len(union) - 1)] == own)]
+        if DEN * len(at) < NUM * len(own):
+            continue
+        flags[at] = 1
+        both = np.add.reduceat(flags[flat], starts)
+        flags[at] = 0
+        for i in np.flatnonzero(DEN * both >= NUM * (len(own) + sizes - both)):
+            a, b = top(part), top(classes[i])
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                links.append((doc, owners[i]))
+    return links
+
+
+def compare(docs: DataFrame, visits: DataFrame) -> DataFrame:
+    """(src, dst) of all visits (doc_id, family, size_class, part, as_query, as_member, class) to groups."""
+    visits = materialize(visits, "visits")
+    texts = fetch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), visits, "doc_id", visits.count())
+    key = ["family", "size_class", "part"]
+    laid = texts.repartition(*key).sortWithinPartitions(*key, "doc_id").select(*key, "doc_id", "class", "as_query", "as_member", "text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, queries, members = None, [], []
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (doc, leader) that link, by their whole sets, as (src, dst)."""
-    pairs = materialize(pairs, "pairs")
-    salts = pairs.groupBy("leader").agg((F.floor(F.count("*") / SALT_ROWS) + 1).cast("int").alias("salts"))
-    members = pairs.join(salts, "leader").select(F.col("doc").alias("doc_id"), "leader", F.pmod(F.xxhash64("doc"), "salts").cast("int").alias("salt"), F.lit(1).alias("member"))
-    leaders = salts.select(F.col("leader").alias("doc_id"), "leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
-    wanted = materialize(members.unionByName(leaders), "wanted")
-    texts = fetch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), wanted, "doc_id", wanted.count())
-    laid = texts.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "member", "doc_id").select("doc_id", "text", "leader", "salt", "member")
+        def done() -> pa.RecordBatch:
+            links = open_group(queries, members) if queries and members else []
+            queries.clear()
+            members.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["src", "dst"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, of = None, None
         for batch in batches:
-            src, dst = [], []
-            for doc, text, leader, salt, member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not member:
-                    head, of = shingle_set(text), (leader, salt)
-                elif of == (leader, salt) and linked(shingle_set(text), head):
-                    src.append(doc)
-                    dst.append(leader)
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+            for family, size_class, part, doc, label, query, member, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (family, size_class, part) != now:
+                    if now is not None:
+                        yield done()
+                    now = (family, size_class, part)
+                row = (doc, label, shingle_set(text))
+                if query:
+                    queries.append(row)
+                if member:
+                    members.append(row)
+        yield done()
 
     return laid.mapInArrow(run, "src long, dst long")
 
@@ -140,22 +176,32 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     feats = materialize(features(docs), "features")
     sets = feats.where("doc_id is not null and n_shingles > 0")
     reps = sets.groupBy("sig1", "sig2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    alone = sets.select("doc_id", "n_shingles", "tokens").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    matrix = alone.select("doc_id", "n_shingles", F.explode("tokens").alias("token"))
-    groups = matrix.groupBy("token").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("token", "leader")
-    shared = materialize(matrix.join(groups, "token").select("token", "doc_id", "n_shingles", "leader"), "shared")
-    first = verify(docs, shared.where("doc_id != leader").select(F.col("doc_id").alias("doc"), "leader").distinct())
-    first = materialize(first, "links")
-    parts = materialize(connected_components(first), "components")
-    # what the leaders' links have not joined: all pairs on tokens that still span components
-    now = shared.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
-    open_ = now.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
-    rest = materialize(now.join(open_, "token").select("token", "doc_id", "n_shingles", "part"), "rest")
-    a, b = rest.alias("a"), rest.alias("b")
-    apart = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.part") < F.col("b.part")) & (F.col("a.n_shingles") * DEN >= F.col("b.n_shingles") * NUM) & (F.col("b.n_shingles") * DEN >= F.col("a.n_shingles") * NUM))
-    pairs = apart.select(F.col("a.doc_id").alias("doc"), F.col("b.doc_id").alias("leader")).distinct()
-    second = verify(docs, pairs.join(first.select(F.col("src").alias("doc"), F.col("dst").alias("leader")), ["doc", "leader"], "left_anti"))
-    joined = parts.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(second)
+    alone = sets.select("doc_id", "size_class", "tokens").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    matrix = alone.select("doc_id", "size_class", F.explode("tokens").alias("token"))
+    leaders = matrix.groupBy("token").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("token", "leader")
+    shared = materialize(matrix.join(leaders, "token").groupBy("doc_id", "size_class", "leader").agg(F.count("*").alias("tokens")), "shared")
+    families = connected_components(shared.select(F.col("doc_id").alias("src"), F.col("leader").alias("dst")))
+    families = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).join(shared.select("doc_id", "size_class").distinct(), "doc_id")
+    families = materialize(families, "families")
+    sizes = families.groupBy("family").agg(F.count("*").alias("n"))
+    classes = families.groupBy("family", "size_class").agg((F.floor((F.count("*") - 1) / GROUP) + 1).cast("int").alias("parts"))
+    large = F.col("n") > GROUP
+    laid = families.join(sizes, "family").join(classes, ["family", "size_class"])
+    laid = laid.select("doc_id", "family", large.alias("large"), F.when(large, F.col("size_class")).otherwise(-1).alias("size_class"), F.when(large, F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(0).cast("int").alias("part"))
+    laid = materialize(laid, "groups")
+    first = materialize(compare(docs, laid.select("doc_id", "family", "size_class", "part", F.lit(True).alias("as_query"), F.lit(True).alias("as_member"), F.col("doc_id").alias("class"))), "links")
+    found = materialize(connected_components(first), "classes")
+    # families of several groups: what is not of the family's largest class asks all groups it may link with
+    now = laid.where("large").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "family", "size_class", "part", F.coalesce("component", "doc_id").alias("class"))
+    now = materialize(now, "labelled")
+    most = now.groupBy("family", "class").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("class", F.struct("n", "class")).alias("most"))
+    open_ = now.join(most, "family").where(F.col("class") != F.col("most"))
+    parts = now.groupBy("family", "size_class").agg((F.max("part") + 1).alias("parts"))
+    asks = open_.select("doc_id", "family", "class", F.explode(F.array(*[F.col("size_class") + d for d in (-1, 0, 1)])).alias("size_class")).join(parts, ["family", "size_class"])
+    asks = asks.select("doc_id", "family", "size_class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("as_query"), F.lit(False).alias("as_member"), "class")
+    members = now.join(open_.select("family").distinct(), "family", "left_semi").select("doc_id", "family", "size_class", "part", F.lit(False).alias("as_query"), F.lit(True).alias("as_member"), "class")
+    second = compare(docs, asks.unionByName(members))
+    joined = found.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(second)
     final = connected_components(joined)
     named = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("sig1", "sig2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return feats.select("doc_id", "n_shingles", "sig1", "sig2").join(named, ["sig1", "sig2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

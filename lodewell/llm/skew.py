@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A list of ids is broadcast only up to this many rows (about 50 MB of ids and request lists at most).
+#: A list of ids, and nothing but ids, is broadcast up to this many rows (a few MB).
 BROADCAST_ROWS = 200_000
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, key: str, rows: int) -> DataFrame:
-    """docs joined to wanted on key; wanted has `rows` rows, a counted number, and is broadcast only if that is small."""
-    return docs.join(F.broadcast(wanted) if rows <= BROADCAST_ROWS else wanted, key)
+    """docs joined to wanted on key; wanted has `rows` rows, a counted number.
+
+    Where few rows are wanted, their ids are broadcast to pick the documents before these are shuffled.
+    """
+    if rows <= BROADCAST_ROWS:
+        docs = docs.join(F.broadcast(wanted.select(key).distinct()), key, "left_semi")
+    return docs.join(wanted, key)
