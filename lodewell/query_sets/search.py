@@ -72,7 +72,7 @@ a as (select query_id, doc_id, round(score, 9) as score from bm qualify row_numb
 b as (select query_id, doc_id, round(score, 9) as score from ti qualify row_number() over (partition by query_id, source order by round(score, 9) desc, doc_id) <= 50),
 ra as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as r from a qualify r <= 50),
 rb as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as r from b qualify r <= 50),
-f as (select query_id, doc_id, round(sum(1.0 / (60 + r)), 12) as score from (from ra union all from rb) group by all qualify row_number() over (partition by query_id order by score desc, doc_id) <= 5),
+f as (select query_id, doc_id, round(sum(1.0 / (60 + r)), 12) as score from (select * from ra union all select * from rb) group by query_id, doc_id qualify row_number() over (partition by query_id order by score desc, doc_id) <= 5),
 h as (select query_id, doc_id, source, f.score * (case when source = 'src1' then 10.0 else 1.0 end) * (case when contains(lower(substring(string_split(text, chr(10))[1], 1, 40)), lower(query)) then 2.0 else 1.0 end) as score
   from f join documents using (doc_id) join q using (query_id)),
 s as (select * from h qualify row_number() over (partition by query_id, source order by score desc, doc_id) = 1)
