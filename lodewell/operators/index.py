@@ -18,14 +18,19 @@ def items(df: DataFrame, item_id: Column, scope: Column, text: Column) -> DataFr
 
 
 def term_frequencies(rows: DataFrame, tokenizer=T.tfidf_tokens) -> DataFrame:
-    """(scope, item_id, token, tf, dl): counts of each token in each item and the item's number of tokens."""
+    """(scope, item_id, token, dl, tf, pos): counts of each token in each item, its first place, and the item's length.
+
+    The one pass over texts: every other statistic is derived from this table.
+    """
     split = rows.select("scope", "item_id", tokenizer(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    return split.select("scope", "item_id", "dl", F.explode("tokens").alias("token")).groupBy("scope", "item_id", "token", "dl").agg(F.count("*").alias("tf"))
+    return split.select("scope", "item_id", "dl", F.posexplode("tokens").alias("pos", "token")).groupBy("scope", "item_id", "token", "dl").agg(F.count("*").alias("tf"), F.min("pos").alias("pos"))
 
 
-def lengths(rows: DataFrame, tokenizer=T.tfidf_tokens) -> DataFrame:
+def lengths(rows: DataFrame, tf: DataFrame) -> DataFrame:
     """(scope, n, avgdl): items of each scope and their mean number of tokens, empty ones included."""
-    return rows.select("scope", F.size(tokenizer(F.col("text"))).alias("dl")).groupBy("scope").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    total = tf.groupBy("scope").agg(F.sum("tf").alias("total"))
+    n = rows.groupBy("scope").agg(F.count("*").alias("n"))
+    return n.join(total, "scope", "left").select("scope", "n", (F.coalesce("total", F.lit(0)) / F.col("n")).alias("avgdl"))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -33,12 +38,11 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
     return tf.groupBy("scope", "token").agg(F.count("*").alias("df"))
 
 
-def vocabulary(rows: DataFrame, size: int = 2000) -> DataFrame:
-    """(scope, token, cf): the most frequent tokens of each scope; ties go to the one met first (item, then place)."""
-    met = rows.select("scope", "item_id", F.posexplode(T.tfidf_tokens(F.col("text"))).alias("pos", "token"))
-    counts = met.groupBy("scope", "token").agg(F.count("*").alias("cf"), F.min(F.struct("item_id", "pos")).alias("first"))
+def vocabulary(tf: DataFrame, size: int = 2000) -> DataFrame:
+    """(scope, token, cf, df): the most frequent tokens of each scope; ties go to the one met first (item, then place)."""
+    counts = tf.groupBy("scope", "token").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"), F.min(F.struct("item_id", "pos")).alias("first"))
     order = Window.partitionBy("scope").orderBy(F.desc("cf"), "first")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("scope", "token", "cf", "rank")
+    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("scope", "token", "cf", "df", "rank")
 
 
 def bigram_index(rows: DataFrame) -> DataFrame:

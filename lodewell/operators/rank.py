@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodewell.functions import tokens as T
 from lodewell.operators import index as I
+from lodewell.plans.storage import materialize
 
 #: Term weights of the scoring: a small table, passed as data.
 TERM_WEIGHTS = {"dp": 2.0, "dpid": 2.0, "dp_id": 2.0, "data_point": 2.0, "datapoint": 2.0, "cmd": 1.8, "command": 1.8, "frame_id": 1.8, "frameid": 1.8, "message_id": 1.8, "messageid": 1.8, "ota": 1.5, "ble": 1.5, "fault": 1.5, "alarm": 1.5}
@@ -29,29 +30,26 @@ def query_tokens(queries: DataFrame, tokenizer=T.tfidf_tokens) -> DataFrame:
     return queries.select("query_id", F.explode(tokenizer(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
 
 
-def bm25(rows: DataFrame, queries: DataFrame, tokenizer=T.tfidf_tokens, k1: float = 1.5, b: float = 0.75, weights: dict[str, float] = TERM_WEIGHTS) -> DataFrame:
+def bm25(rows: DataFrame, queries: DataFrame, tokenizer=T.bm25_tokens, k1: float = 1.5, b: float = 0.75, weights: dict[str, float] = TERM_WEIGHTS, tf: DataFrame | None = None) -> DataFrame:
     """(query_id, scope, item_id, score): scores over 0; counts and mean lengths are those of the item's scope."""
-    tf = I.term_frequencies(rows, tokenizer)
+    tf = tf if tf is not None else I.term_frequencies(rows, tokenizer)
     asked = query_tokens(queries, tokenizer)
-    tf = tf.join(asked.select("token").distinct(), "token", "left_semi")  # postings of the asked tokens only
-    df = I.document_frequencies(tf)
-    size = I.lengths(rows, tokenizer)
-    met = tf.join(asked, "token").join(df, ["scope", "token"]).join(size, "scope")
+    size = I.lengths(rows, tf)
+    hit = tf.join(asked.select("token").distinct(), "token", "left_semi")  # postings of the asked tokens only
+    met = hit.join(asked, "token").join(I.document_frequencies(hit), ["scope", "token"]).join(size, "scope")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return met.groupBy("query_id", "scope", "item_id").agg(F.sum(part * F.col("times") * _weight(F.col("token"), weights)).alias("score")).where("score > 0")
 
 
-def tfidf(rows: DataFrame, queries: DataFrame, vocabulary_size: int = 2000, keep_zero: bool = False) -> DataFrame:
+def tfidf(rows: DataFrame, queries: DataFrame, vocabulary_size: int = 2000, keep_zero: bool = False, tf: DataFrame | None = None) -> DataFrame:
     """(query_id, scope, item_id, score): cosine of L2-normalised tf-idf vectors over the scope's vocabulary.
 
     With keep_zero, items of a query's scopes that share no token with it come with score 0.
     """
-    vocab = I.vocabulary(rows, vocabulary_size).select("scope", "token")
-    tf = I.term_frequencies(rows).join(vocab, ["scope", "token"], "left_semi")
-    df = I.document_frequencies(tf)
+    tf = tf if tf is not None else I.term_frequencies(rows)
     n = rows.groupBy("scope").agg(F.count("*").alias("n"))
-    idf = df.join(n, "scope").select("scope", "token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    idf = I.vocabulary(tf, vocabulary_size).join(n, "scope").select("scope", "token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     weight = tf.join(idf, ["scope", "token"]).select("scope", "item_id", "token", (F.col("tf") / F.col("dl") * F.col("idf")).alias("w"))
     norm = weight.groupBy("scope", "item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     asked = query_tokens(queries)
@@ -93,7 +91,7 @@ def reciprocal_rank_fusion(legs: list[DataFrame], k: int = 60, cut: int = 50) ->
     parts = ranked[0].select("query_id", "item_id", "rank")
     for leg in ranked[1:]:
         parts = parts.unionByName(leg.select("query_id", "item_id", "rank"))
-    return parts.groupBy("query_id", "item_id").agg(F.sum(F.lit(1.0) / (F.col("rank") + k)).alias("score"))
+    return parts.groupBy("query_id", "item_id").agg(F.round(F.sum(F.lit(1.0) / (F.col("rank") + k)), 12).alias("score"))
 
 
 def boost(hits: DataFrame, gps: str = "gps|gil|定位|卫星", vehicle: str = "can|fe01|控制器|整车") -> DataFrame:
@@ -114,17 +112,37 @@ def best_per_source(hits: DataFrame, source: str = "source") -> DataFrame:
     return hits.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
 
 
-def hybrid(items: DataFrame, queries: DataFrame, top_k: int = 5, extra_legs: tuple[DataFrame, ...] = (), overfetch: int = 1, keep_zero: bool = False) -> DataFrame:
+def _in_category(legs: list[DataFrame], items: DataFrame, queries: DataFrame, aliases: dict[str, tuple[str, ...]]) -> list[DataFrame]:
+    """Legs less the hits outside their query's category; queries for which the first leg has none inside keep all."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, bs in aliases.items() for b in bs]) if aliases else None
+    kind, want = F.col("_kind"), F.col("_want")
+    fits = want.isNull() | (kind == want)
+    if pairs is not None:
+        fits = fits | F.array_contains(pairs, F.struct(want.alias("a"), kind.alias("b")))
+    kinds = items.select("item_id", F.col("category").alias("_kind"))
+    marked = [leg.select("query_id", "item_id", "score").join(kinds, "item_id").join(queries.select("query_id", F.col("category").alias("_want")), "query_id").withColumn("_in", F.coalesce(fits, F.lit(False))) for leg in legs]
+    any_ = marked[0].groupBy("query_id").agg(F.max("_in").alias("_any"))
+    return [m.join(any_, "query_id", "left").where(F.col("_in") | ~F.coalesce("_any", F.lit(False))).select("query_id", "item_id", "score") for m in marked]
+
+
+def hybrid(items: DataFrame, queries: DataFrame, top_k: int = 5, extra_legs: tuple[DataFrame, ...] = (), overfetch: int = 1, keep_zero: bool = False, aliases: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(query_id, item_id, source, title, score, rank, content_preview): the whole hybrid search of a query batch.
 
     items: item_id, source, title, text, type, scene, subsystem. BM25 and TF-IDF per source (and any further
     legs) are fused; the cut to top_k comes before boosts and the best hit per source, so fewer rows are normal
-    (`overfetch` widens that cut).
+    (`overfetch` widens that cut). If queries have a category (and items too), hits of other categories fall out,
+    unless BM25 finds none in the query's own; `aliases` name the categories that one stands for.
     """
     rows = I.items(items, F.col("item_id"), F.col("source"), F.col("text"))
     per_file = max(50, 3 * top_k)
-    legs = [top(leg, per_file, ["query_id", "scope"]).drop("rank") for leg in (bm25(rows, queries), tfidf(rows, queries, keep_zero=keep_zero))]
-    fused = top(reciprocal_rank_fusion([*legs, *extra_legs]), top_k * overfetch, ["query_id"]).drop("rank")
+    # both term tables are written once: scoring reads them several times
+    words, tokens = materialize(I.term_frequencies(rows, T.bm25_tokens), "bm25"), materialize(I.term_frequencies(rows), "tfidf")
+    scored = (bm25(rows, queries, tf=words), tfidf(rows, queries, keep_zero=keep_zero, tf=tokens))
+    legs = [top(leg.withColumn("score", F.round("score", 9)), per_file, ["query_id", "scope"]).drop("rank") for leg in scored] + list(extra_legs)
+    if "category" in queries.columns:
+        legs = _in_category(legs, items, queries, aliases or {})
+        queries = queries.drop("category")
+    fused = top(reciprocal_rank_fusion(legs), top_k * overfetch, ["query_id"]).drop("rank")
     hits = fused.join(items, "item_id").join(queries, "query_id")
     final = top(best_per_source(boost(hits)), top_k, ["query_id"])
     return final.select("query_id", "item_id", "source", "title", "score", "rank", F.substring("text", 1, 800).alias("content_preview"))

@@ -16,9 +16,23 @@ sz as (select source, count(*) as n, avg(dl) as avgdl from dl group by source),
 df as (select source, token, count(*) as df from tf group by all)"""
 _QT = "qt as (select query_id, token, count(*) as times from (select query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9_]+')) as token from q) group by all)"
 _WEIGHTS = "case when token in ('dp','dpid','dp_id','data_point','datapoint') then 2.0 when token in ('cmd','command','frame_id','frameid','message_id','messageid') then 1.8 when token in ('ota','ble','fault','alarm') then 1.5 else 1.0 end"
+_BTOK = """
+case when len(list_filter({1}, lambda t: t in ('dp', 'data', 'datapoint'))) > 0 then list_concat({1}, ['dp', 'DP', 'data', 'Data'])[1:5000] else ({1})[1:5000] end"""
+
+
+def _btokens(text):
+    base = f"list_concat(regexp_extract_all(lower({text}), '0x[0-9a-f]{{1,8}}'), list_filter(regexp_extract_all(regexp_replace(lower({text}), '0x[0-9a-f]{{1,8}}', ' ', 'g'), '[a-z0-9]+'), lambda t: length(t) >= 2))"
+    return _BTOK[1:].replace("{1}", base)
+
+
 _BM25 = f"""
-bm as (select query_id, tf.source, doc_id, sum(times * {_WEIGHTS} * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score
-  from tf join qt using (token) join df using (source, token) join dl using (source, doc_id) join sz using (source) group by all having score > 0)"""
+bdl as (select source, doc_id, {_btokens("text")} as toks from documents),
+btf as (select source, doc_id, token, count(*) as tf from (select source, doc_id, unnest(toks) as token from bdl) group by all),
+bsz as (select source, count(*) as n, avg(len(toks)) as avgdl from bdl group by source),
+bdf as (select source, token, count(*) as df from btf group by all),
+bqt as (select query_id, token, count(*) as times from (select query_id, unnest({_btokens("query")}) as token from q) group by all),
+bm as (select query_id, btf.source, doc_id, sum(times * {_WEIGHTS} * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(toks) / avgdl))) as score
+  from btf join bqt using (token) join bdf using (source, token) join bdl using (source, doc_id) join bsz using (source) group by all having score > 0)"""
 _VOCAB = """
 met as (select source, doc_id, unnest(toks) as token, generate_subscripts(toks, 1) as pos from (select source, doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') as toks from documents)),
 vc as (select source, token, count(*) as cf, min((doc_id, pos)) as first from met group by all),
@@ -48,15 +62,16 @@ def _(spark, d):
 
 @query("document_lengths", f"with {_TF[1:]} select source, n, round(avgdl, 6) as avgdl from sz")
 def _(spark, d):
-    return I.lengths(_rows(spark, d)).select(F.col("scope").alias("source"), "n", F.round("avgdl", 6).alias("avgdl"))
+    rows = _rows(spark, d)
+    return I.lengths(rows, I.term_frequencies(rows)).select(F.col("scope").alias("source"), "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("vocabulary", f"with {_VOCAB[1:]} select source, token, cf from vocab")
 def _(spark, d):
-    return I.vocabulary(_rows(spark, d)).select(F.col("scope").alias("source"), "token", "cf")
+    return I.vocabulary(I.term_frequencies(_rows(spark, d))).select(F.col("scope").alias("source"), "token", "cf")
 
 
-@query("bm25", f"with {QUERIES_SQL}, {_QT}, {_TF[1:]}, {_BM25[1:]} select query_id, source, doc_id, round(score, 6) as score from bm")
+@query("bm25", f"with {QUERIES_SQL}, {_BM25[1:]} select query_id, source, doc_id, round(score, 6) as score from bm")
 def _(spark, d):
     return R.bm25(_rows(spark, d), queries(spark, d)).select("query_id", F.col("scope").alias("source"), F.col("item_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
