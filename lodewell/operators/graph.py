@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodewell.functions import text as X
+from lodewell.plans.storage import in_blocks
 
 
 def node_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -40,9 +41,13 @@ def call_chain(edges: DataFrame, of: DataFrame) -> DataFrame:
     return of.select("id").join(a, "id", "left").join(b, "id", "left").select("id", F.coalesce("callers", empty).alias("callers"), F.coalesce("callees", empty).alias("callees"))
 
 
-def mentions(items: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, item_id): items whose text holds the name; names are a small stated set and are broadcast."""
-    return items.join(F.broadcast(names.select("name")), F.lower("text").contains(F.lower("name"))).select("name", "item_id").distinct()
+def mentions(items: DataFrame, names: DataFrame, most: int = 5000) -> DataFrame:
+    """(name, item_id): items whose text holds the name; names are broadcast, `most` at a time."""
+
+    def block(some: DataFrame) -> DataFrame:
+        return items.join(F.broadcast(some), F.lower("text").contains(F.lower("name"))).select("name", "item_id").distinct()
+
+    return in_blocks(names.select("name").distinct(), "name", most, block)
 
 
 def resolve_calls(calls: DataFrame, functions: DataFrame, builtins: tuple[str, ...] = ("printf", "memcpy", "memset", "malloc", "free", "strlen")) -> DataFrame:

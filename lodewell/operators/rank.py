@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodewell.functions import tokens as T
 from lodewell.operators import index as I
-from lodewell.plans.storage import materialize
+from lodewell.plans.storage import in_blocks, materialize
 
 #: Term weights of the scoring: a small table, passed as data.
 TERM_WEIGHTS = {"dp": 2.0, "dpid": 2.0, "dp_id": 2.0, "data_point": 2.0, "datapoint": 2.0, "cmd": 1.8, "command": 1.8, "frame_id": 1.8, "frameid": 1.8, "message_id": 1.8, "messageid": 1.8, "ota": 1.5, "ble": 1.5, "fault": 1.5, "alarm": 1.5}
@@ -68,15 +68,19 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, top_k: int = 50) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, top_k: int = 50, most: int = 5000) -> DataFrame:
     """(query_id, item_id, score): the top_k inner products of a stated query set against all vectors.
 
-    The query set is broadcast (its caller states it, a few thousand vectors at most); each partition of
-    vectors keeps its own top_k before the final cut, by the row-number limit that Catalyst pushes down.
+    Queries are broadcast, `most` at a time; each partition of vectors keeps its own top_k before the final
+    cut, by the row-number limit that Catalyst pushes down.
     """
-    met = vectors.join(F.broadcast(queries.select("query_id", F.col("vector").alias("qv"))), F.lit(True), "inner")
-    scored = met.select("query_id", "item_id", inner_product(F.col("vector"), F.col("qv")).alias("score"))
-    return top(scored, top_k, ["query_id"])
+
+    def block(some: DataFrame) -> DataFrame:
+        met = vectors.join(F.broadcast(some.select("query_id", F.col("vector").alias("qv"))), F.lit(True), "inner")
+        scored = met.select("query_id", "item_id", inner_product(F.col("vector"), F.col("qv")).alias("score"))
+        return top(scored, top_k, ["query_id"])
+
+    return in_blocks(queries, "query_id", most, block)
 
 
 def top(scored: DataFrame, k: int, keys: list[str], order: tuple[str, ...] = ("item_id",)) -> DataFrame:
@@ -150,7 +154,7 @@ def hybrid(items: DataFrame, queries: DataFrame, top_k: int = 5, extra_legs: tup
 
 def category_priority(hits: DataFrame, priorities: DataFrame) -> DataFrame:
     """Of hits (query_id, category, ...), those of the first category in the query's order that has any."""
-    met = hits.join(F.broadcast(priorities), ["query_id", "category"])
+    met = hits.join(priorities, ["query_id", "category"])
     first = F.min("priority").over(Window.partitionBy("query_id"))
     return met.withColumn("first", first).where("priority = first").drop("first", "priority")
 

@@ -78,7 +78,7 @@ class KnowledgeBase:
     # lookups
 
     def by_ids(self, ids: DataFrame) -> DataFrame:
-        return self.items.join(F.broadcast(ids.select("id").distinct()), "id", "left_semi")
+        return self.items.join(ids.select("id"), "id", "left_semi")
 
     def by_category(self, category: str, limit: int = 50, year: int | None = None) -> DataFrame:
         return K.list_rows(self.items, {"category": category, "year": year}, [F.col("id")], limit)

@@ -5,8 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows per Arrow batch handed to Python. Documents can be long, so a batch is kept to a few MB.
 ARROW_ROWS = "512"
@@ -60,3 +64,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound the bytes of one Arrow batch for operators that send whole texts to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
+def in_blocks(rows: DataFrame, key: str, most: int, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """f over rows, which f broadcasts: in one go up to `most` rows, beyond that in hash blocks of about `most`, united."""
+    blocks = ceil(rows.count() / most) or 1
+    if blocks == 1:
+        return f(rows)
+    of = F.pmod(F.xxhash64(key), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [f(rows.where(of == i)) for i in range(blocks)])

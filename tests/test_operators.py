@@ -80,7 +80,9 @@ def test_candidates(spark):
 def test_dense_and_priority(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 1.0])], "item_id int, vector array<double>")
     q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id int, vector array<double>")
-    assert [(r.item_id, r.score) for r in R.dense(v, q, 2).orderBy("rank").collect()] == [(1, 1.0), (2, 0.6)]
+    for most in (1, 100):
+        two = q.union(q.select(F.lit(1), "vector"))
+        assert sorted((r.query_id, r.item_id) for r in R.dense(v, two, 2, most).collect()) == [(0, 1), (0, 2), (1, 1), (1, 2)]
     hits = spark.createDataFrame([(0, "log", 1), (0, "c", 2)], "query_id int, category string, item int")
     pr = spark.createDataFrame([(0, "x", 1), (0, "c", 2), (0, "log", 3)], "query_id int, category string, priority int")
     assert [r.item for r in R.category_priority(hits, pr).collect()] == [2]
