@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodewell.plans.storage import materialize
+from lodewell.plans.storage import discard, materialize
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         met = large.join(low, "a")
         small = met.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(met.select("a", F.col("m").alias("b"))).distinct()
-        now = materialize(small, "edges")
+        old, now = now, materialize(small, "edges")
+        discard(old)
         if (then := _digest(now)) == seen:
             break
         seen = then
