@@ -179,7 +179,7 @@ def identify(docs: DataFrame, params: Params = Params()) -> DataFrame:
     return predict(docs, model, params).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def reject(docs: DataFrame, min_share: float = 0.2, min_score: float = 0.3, params: Params = Params()) -> DataFrame:
+def reject(docs: DataFrame, min_share: float = 0.2, min_score: float = 0.2, params: Params = Params()) -> DataFrame:
     """The documents kept by language identification, with all their columns.
 
     Rejected are those predicted `und` (null or letterless text), those whose n-grams are nearly all
