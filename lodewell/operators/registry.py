@@ -243,3 +243,32 @@ def current(spark: SparkSession, root: str, table: str, merge: bool = False) ->
     names = [s.getPath().getName() for s in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)]
     version = max(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
     return spark.read.option("mergeSchema", merge).parquet(f"{root}/{table}/v{version}")
+
+
+def append(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """Further rows (questions, evaluations, mappings, tasks, feedback); columns they lack are null."""
+    return rows.unionByName(new, allowMissingColumns=True).select(*rows.columns)
+
+
+def question_counts(sets: DataFrame, questions: DataFrame) -> DataFrame:
+    """(set_id, question_count, avg_difficulty): derived from the questions, never stored."""
+    totals_ = questions.groupBy("set_id").agg(F.count("*").alias("question_count"), F.avg("difficulty").alias("avg_difficulty"))
+    return sets.select("set_id").join(totals_, "set_id", "left").select("set_id", F.coalesce("question_count", F.lit(0)).alias("question_count"), "avg_difficulty")
+
+
+def reprocess(assets: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(assets set to parsing where that is allowed, a pending task for each of them, rejects)."""
+    asked = ids.select("asset_id", F.lit("parsing").alias("new_status")).distinct()
+    after, bad = transition(assets, asked)
+    ok = asked.join(bad.select("asset_id"), "asset_id", "left_anti")
+    tasks = ok.select(F.concat(F.lit("reprocess:"), F.col("asset_id")).alias("task_id"), F.lit("parse").alias("task_type"), "asset_id", F.lit("pending").alias("status"), F.lit(0.0).alias("progress"))
+    return after, tasks, bad
+
+
+def upsert_counted(rows: DataFrame, new: DataFrame, root: str, table: str, key: str = "id") -> int:
+    """Upsert and commit in one job; returns how many rows the table now holds, counted as they are written."""
+    from pyspark.sql import Observation
+
+    seen = Observation("rows")
+    commit(upsert(rows, new, key).observe(seen, F.count(F.lit(1)).alias("n")), root, table)
+    return seen.get["n"]

@@ -247,3 +247,20 @@ def test_feedback(spark):
     assert [r.id for r in K.open_feedback(f).collect()] == [2, 1]
     done = K.resolve_feedback(f, f.where("id < 2"), "2024-02-01")
     assert {r.id for r in done.where("is_resolved").collect()} == {1, 3}
+
+
+def test_registry_rows(spark, tmp_path):
+    sets = spark.createDataFrame([("s",), ("t",)], "set_id string")
+    qs = spark.createDataFrame([("q1", "s", 2), ("q2", "s", 4)], "qa_id string, set_id string, difficulty int")
+    more = K.append(qs, spark.createDataFrame([("q3", "s")], "qa_id string, set_id string"))
+    assert more.count() == 3 and more.columns == qs.columns
+    assert {r.set_id: (r.question_count, r.avg_difficulty) for r in K.question_counts(sets, more).collect()} == {"s": (3, 3.0), "t": (0, None)}
+    a = spark.createDataFrame([("1", "error"), ("2", "parsing")], "asset_id string, status string")
+    after, tasks, bad = K.reprocess(a, a)
+    assert {r.asset_id: r.status for r in after.collect()} == {"1": "parsing", "2": "parsing"}
+    assert [r.asset_id for r in tasks.collect()] == ["1"] and [r.asset_id for r in bad.collect()] == ["2"]
+    rows = spark.createDataFrame([("a", 1)], "id string, v int")
+    assert K.upsert_counted(rows, spark.createDataFrame([("a", 2), ("b", 3)], "id string, v int"), str(tmp_path), "t") == 2
+    assert {r.id: r.v for r in K.current(spark, str(tmp_path), "t").collect()} == {"a": 2, "b": 3}
+    c = spark.createDataFrame([("x", "active"), ("y", "draft")], "config_id string, status string")
+    assert {r.config_id: r.status for r in K.activate(c, "y").collect()} == {"x": "draft", "y": "active"}
