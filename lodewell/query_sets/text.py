@@ -51,23 +51,26 @@ _GOOD = _COUNT.format(r"[\x{4e00}-\x{9fff}\x20-\x7e，。！？、；：“”
 _ASCII = _COUNT.format(r"[\x20-\x7e]")
 
 
-@query("text_quality", rf"""
+_QUALITY = rf"""
 with a as (select doc_id, length(text) as n, (length(text) - {_GOOD}) / length(text) as g,
   {_ASCII} / length(text) as asc_,
   string_split(text, chr(10)) as lines from documents),
 b as (select *, (case when len(list_filter(lines, lambda x: length(trim(x, E' \t\r')) = 0)) > len(lines) * 0.5 then 1 else 0 end
   + case when len(list_filter(lines, lambda x: length(trim(x, E' \t\r')) between 1 and 2)) > len(lines) * 0.3 then 1 else 0 end) / 5.0 as s from a)
 select doc_id, round(g, 6) as garbage_ratio, round(s, 6) as structure,
-  round(greatest(0.0, least(1.0, 1.0 - g * 0.4 - s * 0.2 - case when n < 20 or g > 0.07 or s > 0 or (asc_ < 0.1 and n >= 20) then 0.1 else 0.0 end)), 6) as score from b""")
+  round(greatest(0.0, least(1.0, 1.0 - g * 0.4 - s * 0.2 - case when n < 20 or g > 0.07 or s > 0 or (asc_ < 0.1 and n >= 20) then 0.1 else 0.0 end)), 6) as score from b"""
+
+
+@query("text_quality", _QUALITY)
 def _(spark, d):
     q = documents(spark, d).select("doc_id", X.quality(F.col("text")).alias("q"))
     return q.select("doc_id", F.round("q.garbage_ratio", 6).alias("garbage_ratio"), F.round("q.structure", 6).alias("structure"), F.round("q.score", 6).alias("score"))
 
 
-@query("text_quality_labels", None)
+@query("text_quality_labels", f"select quality, count(*) as n, round(avg(score), 4) as avg_score from ({_QUALITY}) join labels using (doc_id) group by quality")
 def _(spark, d):
     q = documents(spark, d).select("doc_id", X.quality(F.col("text"))["score"].alias("score"))
-    return q.join(table(spark, d, "labels"), "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("avg_score"))
+    return q.join(table(spark, d, "labels"), "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg(F.round("score", 6)), 4).alias("avg_score"))
 
 
 @query("text_garble_rate", r"""
