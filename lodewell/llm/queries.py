@@ -86,6 +86,19 @@ with recursive v as (
 n as (select a as vec_id, count(*) as n_links from links group by a)
 select c.vec_id, coalesce(n.n_links, 0)::bigint as n_links, c.component_id, c.vec_id = c.component_id as kept
 from comp c left join n using (vec_id)
+""",
+    "op10_ngram_jaccard_join": r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+  select doc_id, unnest(list_distinct(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(31) || w[i + 1] || chr(31) || w[i + 2]) when len(w) > 0 then [array_to_string(w, chr(31))] else [] end)) as g from w
+), n as (select doc_id, count(*) as n from s group by doc_id),
+links as (
+  select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by all) p
+  join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 90 * (na.n + nb.n - c)
+), reach(a, b) as (select doc_id, doc_id from w union select r.a, l.b from reach r join links l on r.b = l.a),
+comp as (select a as doc_id, min(b) as component_id from reach group by a)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id from comp left join n using (doc_id)
 """,
     "op4_warc_writer": """
 with p as (select page_id, strlen(coalesce(html, ''))::bigint as n, sha1(coalesce(html, '')) as d from pages),
@@ -97,6 +110,26 @@ from p left join k on p.d = k.d
 """,
 }
 
+_KINDS = ((secrets.ASSIGN.replace("\\\"", '"'), 0), (secrets.ACCESS, 1), (secrets.HEX, 2), (secrets.CANDIDATE, 3))
+_ASSIGN = _KINDS[0][0].replace("'", "''")
+_FOUND = " union all ".join(f"select doc_id, {k} as kind, regexp_extract_all(t, '{p}') as ms, string_split_regex(t, '{p}') as gs from t" for p, k in ((p.replace("'", "''"), k) for p, k in _KINDS))
+_ALLOWED = " or ".join(f"regexp_matches(m, '{p}')" for p in secrets.ALLOW)
+_NAMES = "case kind " + " ".join(f"when {k} then '{n}'" for k, n in enumerate(secrets.KINDS)) + " end || ':' || start || ':' || stop"
+
+ORACLES["op5_secret_scan"] = f"""
+with t as (select doc_id, coalesce(text, '') as t from documents),
+f as ({_FOUND}),
+p as (select doc_id, kind, unnest(list_transform(range(1, len(ms) + 1), lambda k: {{'s': list_sum(list_transform(gs[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0), 'm': ms[k]}})) as x from f where len(ms) > 0),
+q as (select doc_id, kind, x.s::bigint as start, (x.s + length(x.m))::bigint as stop, x.m as m from p),
+r as (select doc_id, kind, start, stop, {_NAMES} as name from q where kind in (1, 2) or (kind = 0 and length(regexp_extract(m, '{_ASSIGN}', 2)) >= 12)
+  or (kind = 3 and not ({_ALLOWED}) and list_max(list_transform(range(1, length(m) - {secrets.WINDOW - 2}), lambda i: list_aggregate(string_split(substring(m, i, {secrets.WINDOW}), ''), 'entropy')))
+    >= case when regexp_matches(m, '^[0-9a-fA-F]+$') then {secrets.HEX_BITS} else {secrets.MIXED_BITS} end)),
+a as (select doc_id, count_if(kind = 0) as n_assign, count_if(kind = 1) as n_access, count_if(kind = 2) as n_hex,
+  string_agg(name, ',' order by start, kind) filter (where kind < 3) as base, string_agg(name, ',' order by start, kind, stop) as spans from r group by doc_id)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from t left join a using (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
