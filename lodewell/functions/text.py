@@ -21,6 +21,7 @@ _ZERO_WIDTH = "​‌‍⁠﻿"
 _QUOTES = {"‘": "'", "’": "'", "“": '"', "”": '"', "　": " ", " ": " "}
 #: Forms that look like common characters: radicals, vertical forms and compatibility ideographs, by NFKC's own tables.
 _FORMS = {chr(c): n for lo, hi in ((0x2E80, 0x2FD6), (0xFE10, 0xFE20), (0xFE30, 0xFE50), (0xF900, 0xFAFF)) for c in range(lo, hi) if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n != chr(c)}
+#: How list items begin.
 LIST_START = r"^([0-9]+[.．、)]|[(（][0-9]+[)）]|[-*+•◦•‣⁃◦▪●])"
 
 
@@ -69,14 +70,17 @@ def remove_page_numbers(text: Column) -> Column:
     return text
 
 
+#: First and last lines that are headers or footers.
+MARGINS = (r"^.{1,30}[页Pageg|]\s*[0-9]+.{0,10}$", r"^\s*[\x{4e00}-\x{9fa5}]{1,10}\s*$", r"^[0-9\-\s]+$")
+
+
 def remove_headers_footers(text: Column) -> Column:
     """Of more than two lines, the first and the last go if they look like a header or footer."""
     lines = F.split(text, "\n", -1)
-    marks = (r"^.{1,30}[页Pageg|]\s*[0-9]+.{0,10}$", r"^\s*[\x{4e00}-\x{9fa5}]{1,10}\s*$", r"^[0-9\-\s]+$")
 
     def odd(line: Column) -> Column:
         found = F.lit(False)
-        for m in marks:
+        for m in MARGINS:
             found = found | _trim(line).rlike(m)
         return found
 

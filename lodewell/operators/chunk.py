@@ -52,6 +52,7 @@ def pack_paragraphs(text: str, size: int, overlap: int) -> Iterator[str]:
         yield held
 
 
+#: Fixed value: how a table is marked in a text.
 _TABLE = re.compile(r"\[表格 \d+ on Page \d+\].*?(?=\[表格|\[Page|\Z)", re.S)
 
 
@@ -164,6 +165,7 @@ def structure_chunks(df: DataFrame, key: str, text: str, small: int = 100, large
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null").mapInPandas(run, f"k {kind}, nth int, {CHUNK}").withColumnRenamed("k", key)
 
 
+#: Fixed value: how a command code is announced.
 COMMAND = r"(?:命令|指令|CMD|cmd|帧ID|Frame.?ID|Message.?ID)\s*[:：]?\s*(0x[0-9A-Fa-f]+|[A-Fa-f0-9]{2,4}|[A-Z_]+)"
 
 
