@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodewell.functions.tokens import let
+
 #: Characters of standard Chinese punctuation.
 CJK_PUNCT = "，。！？、；：“”‘’【】（）《》"
 CJK = "\\x{4e00}-\\x{9fff}"
@@ -171,16 +173,21 @@ def metadata(text: Column) -> Column:
     return F.struct(F.length(text).alias("char_count"), F.size(F.split(text, "\n", -1)).alias("line_count"), title.alias("title"))
 
 
+def count_chars(text: Column, kind: str) -> Column:
+    """Characters of a class, counted by taking runs of them out."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{kind}]+", ""))
+
+
 def looks_corrupted(text: Column, threshold: float = 0.05) -> Column:
     """Whether control characters (x00-x1f, x80-xa0) are more than a share of the text; true for null and empty text."""
-    bad = F.regexp_count(text, F.lit("[\\x00-\\x1f\\x80-\\xa0]"))
+    bad = count_chars(text, "\\x00-\\x1f\\x80-\\xa0")
     return F.coalesce(F.when(F.length(text) > 0, bad / F.length(text) > threshold), F.lit(True))
 
 
 def garbage_ratio(text: Column) -> Column:
     """Share of characters that are neither Chinese, printable ASCII nor standard punctuation; 1 for empty text."""
     n = F.length(text)
-    good = F.regexp_count(text, F.lit(f"[{CJK}\\x20-\\x7e{CJK_PUNCT}]"))
+    good = count_chars(text, f"{CJK}\\x20-\\x7e{CJK_PUNCT}")
     return F.when(F.coalesce(n, F.lit(0)) == 0, 1.0).otherwise((n - good) / n)
 
 
@@ -196,13 +203,16 @@ def structure_score(text: Column) -> Column:
 def quality(text: Column, shortest: int = 20) -> Column:
     """struct(score, is_quality, garbage_ratio, structure, issues): 1 - 0.4 garbage - 0.2 structure - 0.1 if any issue."""
     n = F.length(text)
-    garbage, structure = garbage_ratio(text), structure_score(text)
-    chinese = F.when(n > 0, F.regexp_count(text, F.lit(f"[{CJK}]")) / n).otherwise(0.0)
-    ascii_ = F.when(n > 0, F.regexp_count(text, F.lit("[\\x20-\\x7e]")) / n).otherwise(0.0)
-    short = n < shortest
-    issues = F.array_compact(F.array(F.when(short, "too short"), F.when(garbage > 0.07, "high garbage ratio"), F.when(structure > 0, "bad structure"), F.when((chinese < 0.05) & (ascii_ < 0.1) & ~short, "low density")))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - garbage * 0.4 - structure * 0.2 - F.when(F.size(issues) > 0, 0.1).otherwise(0.0)))
-    return F.struct(score.alias("score"), ((score >= 0.6) & ~short).alias("is_quality"), garbage.alias("garbage_ratio"), structure.alias("structure"), issues.alias("issues"))
+    share = lambda kind: F.when(n > 0, count_chars(text, kind) / n).otherwise(0.0)
+    parts = F.struct(n.alias("n"), garbage_ratio(text).alias("garbage"), structure_score(text).alias("structure"), share(CJK).alias("chinese"), share("\\x20-\\x7e").alias("ascii"))
+
+    def of(p: Column) -> Column:
+        short, odd = p["n"] < shortest, (p["chinese"] < 0.05) & (p["ascii"] < 0.1)
+        issues = F.array_compact(F.array(F.when(short, "too short"), F.when(p["garbage"] > 0.07, "high garbage ratio"), F.when(p["structure"] > 0, "bad structure"), F.when(odd & ~short, "low density")))
+        score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - p["garbage"] * 0.4 - p["structure"] * 0.2 - F.when(F.size(issues) > 0, 0.1).otherwise(0.0)))
+        return F.struct(score.alias("score"), ((score >= 0.6) & ~short).alias("is_quality"), p["garbage"].alias("garbage_ratio"), p["structure"].alias("structure"), issues.alias("issues"))
+
+    return let(parts, of)
 
 
 def garble_rate(text: Column) -> Column:

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def bigrams(text: Column) -> Column:
-    """Pairs of neighbouring Chinese characters of the lower-cased text, whatever stands between them; with repeats."""
-    chars = F.regexp_extract_all(F.lower(text), F.lit("[\\x{4e00}-\\x{9fff}]"), F.lit(0))
-    return F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def _pairs(text: Column) -> Column:
-    return F.filter(bigrams(text), lambda x: x.isNotNull())
+    """Pairs of neighbouring Chinese characters of the lower-cased text, whatever stands between them; with repeats."""
+    chars = F.regexp_extract_all(F.lower(text), F.lit("[\\x{4e00}-\\x{9fff}]"), F.lit(0))
+    return let(chars, lambda c: F.filter(F.zip_with(c, F.slice(c, 2, F.greatest(F.size(c), F.lit(1))), lambda a, b: F.concat(a, b)), lambda x: x.isNotNull()))
 
 
 def tfidf_tokens(text: Column) -> Column:
@@ -23,14 +26,15 @@ def tfidf_tokens(text: Column) -> Column:
 
 def bm25_tokens(text: Column, longest: int = 5000) -> Column:
     """Hex codes whole, words split at _ (two characters and more), Chinese bigrams; dp words add their family."""
-    low = F.lower(text)
-    codes = F.regexp_extract_all(low, F.lit("0x[0-9a-f]{1,8}"), F.lit(0))
-    rest = F.regexp_replace(low, "0x[0-9a-f]{1,8}", " ")
-    words = F.filter(F.regexp_extract_all(rest, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 2)
-    tokens = F.concat(codes, words, _pairs(rest))
-    dp = F.exists(tokens, lambda t: t.isin("dp", "data", "datapoint"))
-    more = F.when(dp, F.array(F.lit("dp"), F.lit("DP"), F.lit("data"), F.lit("Data"))).otherwise(F.array().cast("array<string>"))
-    return F.slice(F.concat(tokens, more), 1, longest)
+    none = F.array().cast("array<string>")
+    family = F.array(F.lit("dp"), F.lit("DP"), F.lit("data"), F.lit("Data"))
+
+    def of(low: Column) -> Column:
+        codes = F.regexp_extract_all(low, F.lit("0x[0-9a-f]{1,8}"), F.lit(0))
+        rest = F.regexp_replace(low, "0x[0-9a-f]{1,8}", " ")
+        return F.concat(codes, let(rest, lambda r: F.concat(F.regexp_extract_all(r, F.lit("(?<![a-z0-9])[a-z0-9]{2,}"), F.lit(0)), _pairs(r))))
+
+    return let(let(F.lower(text), of), lambda t: F.slice(F.concat(t, F.when(F.exists(t, lambda x: x.isin("dp", "data", "datapoint")), family).otherwise(none)), 1, longest))
 
 
 def key_terms(text: Column) -> Column:
