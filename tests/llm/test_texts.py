@@ -131,7 +131,8 @@ def test_substring_dedup_edge_tables(empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
-ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+# ASCII case only: a long s is no letter s
+ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
 def base_spans(t):
