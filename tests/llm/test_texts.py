@@ -120,6 +120,34 @@ def test_every_repeated_passage_of_51_words_is_flagged(spark):
     assert need <= {r.doc_id for r in substring_dedup.clusters(df).select("doc_id").distinct().collect()}
 
 
+def missed(spark, texts):
+    """Per document, the words of 48-word paragraphs that occur at an earlier place (a paragraph away at least) and are not removed."""
+    found = substring_dedup.clusters(spark.createDataFrame(texts, "doc_id long, text string"))
+    gone = defaultdict(set)
+    for r in found.where("not kept").collect():
+        for x in r.removed:
+            gone[r.doc_id] |= set(range(x["start"], x["end"]))
+    first, out = {}, {}
+    for i, t in texts:
+        w = split(t)
+        need = set()
+        for k in range(len(w) - 47):
+            d, at = first.setdefault(tuple(w[k : k + 48]), (i, k))
+            if d != i or k - at >= 48:
+                need |= set(range(k, k + 48))
+        out[i] = len(need - gone[i])
+    return out
+
+
+def test_periodic_passages_are_found_whole(spark):
+    def some(n, s):
+        return " ".join(f"{s}{k}" for k in range(n))
+
+    line = "the same line comes again "
+    texts = [(1, some(60, "a") + " " + line * 40), (2, some(70, "b") + " " + line * 90 + some(50, "c")), (3, line * 14 + some(30, "d")), (4, (some(31, "e") + " ") * 12), (5, some(20, "f") + " " + (some(31, "e") + " ") * 5), (6, "x " * 500)]
+    assert missed(spark, texts) == {i: 0 for i, _ in texts}
+
+
 def test_removal_keeps_white_space_and_unicode():
     text = "é a  b c\nd e"
     assert substring_dedup.without(text, [{"start": 1, "end": 3}]) == "é c\nd e"
