@@ -148,6 +148,19 @@ def test_periodic_passages_are_found_whole(spark):
     assert missed(spark, texts) == {i: 0 for i, _ in texts}
 
 
+def test_copies_behind_a_common_phrase_find_each_other(spark):
+    phrase = " ".join(f"p{k}" for k in range(40))
+
+    def own(s):
+        return f"{' '.join(f'{s}l{k}' for k in range(30))} {phrase} {' '.join(f'{s}r{k}' for k in range(12))}"
+
+    same = [" ".join(f"q{k}" for k in range(60))]
+    parts = [same[0].split()[k : k + 12] for k in range(49)]
+    texts = [(i, f"n{i} " + " ".join(x) + f" m{i}") for i, x in enumerate(parts)]  # each 12-word part stands alone first
+    texts += [(100, own("a")), (101, own("b")), (102, own("b")), (103, own("c") + " z"), (104, "y " + own("c")), (105, same[0] + " g"), (106, "h " + same[0])]
+    assert missed(spark, texts) == {i: 0 for i, _ in texts}
+
+
 def test_removal_keeps_white_space_and_unicode():
     text = "é a  b c\nd e"
     assert substring_dedup.without(text, [{"start": 1, "end": 3}]) == "é c\nd e"
