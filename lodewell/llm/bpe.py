@@ -75,6 +75,25 @@ def encode(enc, text: str | None) -> list[int]:
     return out
 
 
+def added_of_json(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file and their ids; they are matched literally, anywhere in a text."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens") or []
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path}: an added token is not matched literally")
+    return {t["content"]: t["id"] for t in added}
+
+
+def encode_added(enc, added: dict[str, int], text: str | None) -> list[int]:
+    """Ids where added tokens stand for themselves and what is between them is encoded alone."""
+    if not text or not any(t in text for t in added):
+        return encode(enc, text)
+    out: list[int] = []
+    for part in re.split("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")", text):
+        out += [added[part]] if part in added else encode(enc, part)
+    return out
+
+
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, digests: bool = False) -> DataFrame:
     """doc_id with ids (array<int>) and the decoded bytes; or, with digests, their count and hashes only.
 

@@ -11,7 +11,8 @@ no shuffle, bounded memory, and a task that is run again gives the same sequence
 a partition is left part filled. Null text is empty: its only token is the end token. Repeated rows are
 packed each on its own; an empty table gives no pieces.
 
-Token ids are those of the `tokenizers` file (without special tokens), computed from its vocabulary and
+Token ids are those of the `tokenizers` file: no special tokens are put in, and those written out in a text
+(<|endoftext|>) have the ids of the file's added tokens. What is between them is encoded from its vocabulary and
 merge order by the tiktoken library, which is several times faster at the same ids.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodewell.llm.bpe import encode, encoding, ranks_of_json
+from lodewell.llm.bpe import added_of_json, encode_added, encoding, ranks_of_json
 from lodewell.plans.storage import small_batches
 
 
@@ -121,7 +122,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, pattern: str, limits: L
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoding(ranks_of_json(tokenizer_file), pattern)
+        enc, added = encoding(ranks_of_json(tokenizer_file), pattern), added_of_json(tokenizer_file)
         packer, number = Packer(limits), TaskContext.get().partitionId() << 40
         about: dict[int, tuple] = {}  # row -> (doc_id, tokens, tokens not yet out)
         rows, seen = [], 0
@@ -147,8 +148,8 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, pattern: str, limits: L
 
         for batch in batches:
             for doc_id, text, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                head = encode(enc, first)
-                ids = np.array([*head, *encode(enc, text), limits.end_id] if head else encode(enc, text) + [limits.end_id], "<u4")
+                head = encode_added(enc, added, first)
+                ids = np.array([*head, *encode_added(enc, added, text), limits.end_id], "<u4")
                 loss = None
                 if head:
                     loss = np.ones(len(ids), bool)

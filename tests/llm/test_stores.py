@@ -76,6 +76,15 @@ def test_packing_round_trip(docs, rows, clashing, tokenizer):
             assert end <= 2048
 
 
+def test_packing_ids_of_texts_that_hold_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(JSON)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "one <|endoftext|> two<|endoftext|><|endoftext|>\n three", "<|endoftext| >", "é<|endoftext|>  😀 "]
+    pieces = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), JSON, PATTERN).collect()
+    assert {p.doc_id: p.ids for p in pieces} == {i: plain.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+
+
 def test_packing_limits():
     limits = packing.Limits(tokens=100, segments=3, loss_tokens=40, pool=16, min_cut=4)
     packer, r = packing.Packer(limits), np.random.default_rng(0)
