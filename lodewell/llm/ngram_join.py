@@ -1,13 +1,15 @@
 """Exact n-gram Jaccard join through a token-group matrix.
 
-A document's set holds the hashes of its distinct 3-word shingles (A-Z lowered, words split at ASCII
+The figures here are those of the defaults, the query's; shingle width and similarity are parameters, from
+which levels and parts follow. A document's set holds the hashes of its distinct 3-word shingles (A-Z lowered, words split at ASCII
 white space); with fewer words, its whole sequence as one; without words, or with null text, the set is
 empty and links with nothing. Two documents link when 100 * |intersection| >= 90 * |union|.
 
 Tokens. Linked sets of sizes s and t differ in at most (s + t) / 19 shingles. Sizes are cut into classes
 of ratio 10/9, so linked sets lie in one class or in neighbours; level j serves pairs whose larger class
-is j, with H the largest possible difference there. The shingle space is cut into H + 1 parts, so linked
-sets agree on one whole part at least. A token is (level, part, content of the set in that part): about ten
+is j, with H the largest possible difference there. The shingle space is cut into H + 1 parts or more, so linked
+sets agree on one whole part at least. Parts of no shingle or one, which unrelated sets share, give no token
+where a set has more than H others: one of these is then agreed on. A token is (level, part, content of the set in that part): about ten
 shingles must be the same for two documents to share one, so a passage that many documents quote makes
 no long posting lists, and none is ever capped.
 
@@ -28,11 +30,13 @@ null); repeated rows share a class.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodewell.llm.skew import BROADCAST_ROWS, fetch
@@ -40,63 +44,77 @@ from lodewell.llm.textkit import mix, shingles, words
 from lodewell.plans.components import connected_components
 from lodewell.plans.storage import materialize, small_batches
 
-SHINGLE = 3
-#: Linked: NUM * union <= DEN * intersection, that is, a similarity of 0.9.
-NUM, DEN = 90, 100
+@dataclass(frozen=True)
+class Params:
+    """Linked: num * union <= den * intersection; the defaults are those of the query."""
+
+    shingle: int = 3
+    num: int = 90
+    den: int = 100
+
+
 #: Documents of a group.
 GROUP = 512
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    return np.unique(shingles(words((text or "").encode())[2], SHINGLE))
+def shingle_set(text: str | None, p: Params) -> np.ndarray:
+    return np.unique(shingles(words((text or "").encode())[2], p.shingle))
 
 
 @lru_cache(maxsize=4096)
-def _level(j: int) -> tuple[int, np.ndarray]:
-    """Largest size in class j, and the lower bounds of the parts that serve level j."""
+def _level(j: int, p: Params) -> tuple[int, int, np.ndarray]:
+    """Largest size in class j, the largest difference there, and the lower bounds of the parts that serve level j."""
     low = 1
     for _ in range(j):
-        low = low * DEN // NUM + 1
-    high = (low * DEN // NUM + 1) - 1
-    parts = (2 * high * (DEN - NUM)) // (DEN + NUM) + 1
-    return high, np.array([-((-p << 64) // parts) for p in range(parts)], np.uint64)
-
-
-def _class_of(n: int) -> int:
+        low = low * p.den // p.num + 1
+    high = low * p.den // p.num
+    most = (2 * high * (p.den - p.num)) // (p.den + p.num)
+    parts = most + 1
+    while parts < 1.3 * (most + 1):  # more parts, so that those with two shingles or more are enough alone
+        sparse = parts * (1 + low / parts) * exp(-low / parts)
+        if parts - sparse - 2 * sqrt(sparse) > most:
+            break
+        parts += 1
+    return high, most, np.array([-((-i << 64) // parts) for i in range(parts)], np.uint64)
+
+
+def _class_of(n: int, p: Params) -> int:
     j = 0
-    while _level(j)[0] < n:
+    while _level(j, p)[0] < n:
         j += 1
     return j
 
 
-def tokens(own: np.ndarray) -> np.ndarray:
+def tokens(own: np.ndarray, p: Params) -> np.ndarray:
     """The tokens of a sorted set, at the level of its class and at the next one."""
-    j = _class_of(len(own))
+    j = _class_of(len(own), p)
     sums = np.zeros(len(own) + 1, np.uint64)
     np.cumsum(mix(own + np.uint64(1)), out=sums[1:])
     out = []
     for level in (j, j + 1):
-        bounds = _level(level)[1]
+        _, most, bounds = _level(level, p)
         at = np.append(np.searchsorted(own, bounds), len(own))
         part = np.arange(len(bounds), dtype=np.uint64) + np.uint64(level << 40)
-        out.append(mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(part + np.uint64(0x51ED27))))
+        sizes = np.diff(at)
+        kept = next(k for k in (sizes >= 2, sizes >= 1, sizes >= 0) if k.sum() > most or k.all())
+        out.append(mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(part + np.uint64(0x51ED27)))[kept])
     return np.concatenate(out)
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, p: Params) -> DataFrame:
     """doc_id, n_shingles, the size class, a 128-bit signature of the set, and its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, cls, one, two, toks, at = [], [], [], [], [], [0]
             for text in batch.column(1).to_pylist():
-                own = shingle_set(text)
+                own = shingle_set(text, p)
                 n.append(len(own))
-                cls.append(_class_of(len(own)))
+                cls.append(_class_of(len(own), p))
                 one.append(mix(own).sum(dtype=np.uint64))
                 two.append(mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
                 if len(own):
-                    toks.append(tokens(own))
+                    toks.append(tokens(own, p))
                 at.append(at[-1] + (len(toks[-1]) if len(own) else 0))
             flat = np.concatenate(toks) if toks else np.zeros(0, np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))
@@ -106,7 +124,7 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, size_class int, sig1 long, sig2 long, tokens array<long>")
 
 
-def open_group(queries: list[tuple[int, int, np.ndarray]], members: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+def open_group(queries: list[tuple[int, int, np.ndarray]], members: list[tuple[int, int, np.ndarray]], p: Params) -> list[tuple[int, int]]:
     """Spanning links of (doc, class so far, set) queries to the members of a group; those of one class are not compared."""
     union = np.unique(np.concatenate([x for _, _, x in members]))
     flat = np.concatenate([np.searchsorted(union, x) for _, _, x in members])
@@ -125,12 +143,12 @@ def open_group(queries: list[tuple[int, int, np.ndarray]], members: list[tuple[i
     for doc, part, own in queries:
         at = np.searchsorted(union, own)
         at = at[(at < len(union)) & (union[np.minimum(at, len(union) - 1)] == own)]
-        if DEN * len(at) < NUM * len(own):
+        if p.den * len(at) < p.num * len(own):
             continue
         flags[at] = 1
         both = np.add.reduceat(flags[flat], starts)
         flags[at] = 0
-        for i in np.flatnonzero(DEN * both >= NUM * (len(own) + sizes - both)):
+        for i in np.flatnonzero(p.den * both >= p.num * (len(own) + sizes - both)):
             a, b = top(part), top(classes[i])
             if a != b:
                 up[max(a, b)] = min(a, b)
@@ -138,7 +156,7 @@ def open_group(queries: list[tuple[int, int, np.ndarray]], members: list[tuple[i
     return links
 
 
-def compare(docs: DataFrame, visits: DataFrame) -> DataFrame:
+def compare(docs: DataFrame, visits: DataFrame, p: Params) -> DataFrame:
     """(src, dst) of all visits (doc_id, family, size_class, part, as_query, as_member, class) to groups."""
     visits = materialize(visits, "visits")
     texts = fetch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), visits, "doc_id", visits.count())
@@ -149,7 +167,7 @@ def compare(docs: DataFrame, visits: DataFrame) -> DataFrame:
         now, queries, members = None, [], []
 
         def done() -> pa.RecordBatch:
-            links = open_group(queries, members) if queries and members else []
+            links = open_group(queries, members, p) if queries and members else []
             queries.clear()
             members.clear()
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["src", "dst"])
@@ -160,7 +178,7 @@ def compare(docs: DataFrame, visits: DataFrame) -> DataFrame:
                     if now is not None:
                         yield done()
                     now = (family, size_class, part)
-                row = (doc, label, shingle_set(text))
+                row = (doc, label, shingle_set(text, p))
                 if query:
                     queries.append(row)
                 if member:
@@ -170,16 +188,17 @@ def compare(docs: DataFrame, visits: DataFrame) -> DataFrame:
     return laid.mapInArrow(run, "src long, dst long")
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
+def jaccard_classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs; an empty table gives an empty result."""
     small_batches(docs.sparkSession)
-    feats = materialize(features(docs), "features")
+    feats = materialize(features(docs, p), "features")
     sets = feats.where("doc_id is not null and n_shingles > 0")
     reps = sets.groupBy("sig1", "sig2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     alone = sets.select("doc_id", "size_class", "tokens").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     matrix = alone.select("doc_id", "size_class", F.explode("tokens").alias("token"))
-    leaders = matrix.groupBy("token").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("token", "leader")
-    shared = materialize(matrix.join(leaders, "token").groupBy("doc_id", "size_class", "leader").agg(F.count("*").alias("tokens")), "shared")
+    places = Window.partitionBy("token").orderBy("doc_id")
+    met = matrix.withColumn("leader", F.first("doc_id").over(places.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("doc_id").over(places))
+    shared = materialize(met.where((F.col("leader") < F.col("doc_id")) | (F.col("leader") < F.col("next"))).groupBy("doc_id", "size_class", "leader").agg(F.count("*").alias("tokens")), "shared")
     families = connected_components(shared.select(F.col("doc_id").alias("src"), F.col("leader").alias("dst")))
     families = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).join(shared.select("doc_id", "size_class").distinct(), "doc_id")
     families = materialize(families, "families")
@@ -189,7 +208,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     laid = families.join(sizes, "family").join(classes, ["family", "size_class"])
     laid = laid.select("doc_id", "family", large.alias("large"), F.when(large, F.col("size_class")).otherwise(-1).alias("size_class"), F.when(large, F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(0).cast("int").alias("part"))
     laid = materialize(laid, "groups")
-    first = materialize(compare(docs, laid.select("doc_id", "family", "size_class", "part", F.lit(True).alias("as_query"), F.lit(True).alias("as_member"), F.col("doc_id").alias("class"))), "links")
+    first = materialize(compare(docs, laid.select("doc_id", "family", "size_class", "part", F.lit(True).alias("as_query"), F.lit(True).alias("as_member"), F.col("doc_id").alias("class")), p), "links")
     found = materialize(connected_components(first), "classes")
     # families of several groups: what is not of the family's largest class asks all groups it may link with
     now = laid.where("large").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "family", "size_class", "part", F.coalesce("component", "doc_id").alias("class"))
@@ -200,19 +219,19 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     asks = open_.select("doc_id", "family", "class", F.explode(F.array(*[F.col("size_class") + d for d in (-1, 0, 1)])).alias("size_class")).join(parts, ["family", "size_class"])
     asks = asks.select("doc_id", "family", "size_class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("as_query"), F.lit(False).alias("as_member"), "class")
     members = now.join(open_.select("family").distinct(), "family", "left_semi").select("doc_id", "family", "size_class", "part", F.lit(False).alias("as_query"), F.lit(True).alias("as_member"), "class")
-    second = compare(docs, asks.unionByName(members))
+    second = compare(docs, asks.unionByName(members), p)
     joined = found.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(second)
     final = connected_components(joined)
     named = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("sig1", "sig2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return feats.select("doc_id", "n_shingles", "sig1", "sig2").join(named, ["sig1", "sig2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """One document of each class, that with the smallest doc_id, with all its columns.
 
     Documents with an empty set or a null doc_id stand alone and stay; rows that repeat a kept doc_id stay.
     """
-    gone = materialize(jaccard_classes(docs).where("doc_id != component_id").select("doc_id").distinct(), "gone")
+    gone = materialize(jaccard_classes(docs, p).where("doc_id != component_id").select("doc_id").distinct(), "gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

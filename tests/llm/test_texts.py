@@ -87,6 +87,35 @@ def test_ngram_join_near_threshold(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(df).collect()} == want
 
 
+def test_near_copies_stage_links_at_five_words_and_0_8(spark):
+    import random
+
+    import corpus_pipeline
+
+    texts, r = [], random.Random(8)
+    for i, (n, edits) in enumerate([(500, 10), (200, 4), (200, 6), (60, 1), (1000, 20), (1000, 30), (40, 1)]):
+        base = [f"d{i}w{k}" for k in range(n)]
+        changed = [f"{w}x" if k in {(2 * e + 1) * n // (2 * edits) for e in range(edits)} else w for k, w in enumerate(base)]
+        texts += [(10 * i, " ".join(base)), (10 * i + 1, " ".join(changed))]
+    for i in range(30):
+        base = [f"f{i % 5}w{k}" for k in range(150)]
+        texts.append((100 + i, " ".join(w if r.random() > 0.02 else r.choice("abc") for w in base)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts)}
+    up = {i: i for i in sets}
+
+    def top(x):
+        return x if up[x] == x else top(up[x])
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_copies_stage(spark, df, "").collect()} == {top(i) for i in sets}
+    assert top(1) == 0 and top(11) == 10 and top(21) == 21
+
+
 def test_ngram_join_edge_tables(spark, empty):
     assert ngram_join.jaccard_classes(empty).count() == 0
     odd = spark.createDataFrame([(None, "a b c d"), (1, "a b c d")], "doc_id long, text string")
