@@ -101,8 +101,8 @@ def tokens(own: np.ndarray, p: Params) -> np.ndarray:
     return np.concatenate(out)
 
 
-def features(docs: DataFrame, p: Params) -> DataFrame:
-    """doc_id, n_shingles, the size class, a 128-bit signature of the set, and its tokens."""
+def features(docs: DataFrame, p: Params, matrix: bool) -> DataFrame:
+    """doc_id, n_shingles, the size class, a 128-bit signature of the set, and, for the matrix, its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,9 +113,9 @@ def features(docs: DataFrame, p: Params) -> DataFrame:
                 cls.append(_class_of(len(own), p))
                 one.append(mix(own).sum(dtype=np.uint64))
                 two.append(mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
-                if len(own):
+                if matrix and len(own):
                     toks.append(tokens(own, p))
-                at.append(at[-1] + (len(toks[-1]) if len(own) else 0))
+                at.append(at[-1] + (len(toks[-1]) if matrix and len(own) else 0))
             flat = np.concatenate(toks) if toks else np.zeros(0, np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))
             sig = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
@@ -191,14 +191,15 @@ def compare(docs: DataFrame, visits: DataFrame, p: Params) -> DataFrame:
 def jaccard_classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs; an empty table gives an empty result."""
     small_batches(docs.sparkSession)
-    feats = materialize(features(docs, p), "features")
+    feats = materialize(features(docs, p, False).drop("tokens"), "features")
     sets = feats.where("doc_id is not null and n_shingles > 0")
     reps = sets.groupBy("sig1", "sig2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    alone = sets.select("doc_id", "size_class", "tokens").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    matrix = alone.select("doc_id", "size_class", F.explode("tokens").alias("token"))
+    # tokens are computed on the way to the one shuffle they take; equal sets fall out behind it
+    matrix = features(docs, p, True).where("doc_id is not null and n_shingles > 0").select("doc_id", "size_class", F.explode("tokens").alias("token"))
     places = Window.partitionBy("token").orderBy("doc_id")
     met = matrix.withColumn("leader", F.first("doc_id").over(places.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("doc_id").over(places))
-    shared = materialize(met.where((F.col("leader") < F.col("doc_id")) | (F.col("leader") < F.col("next"))).groupBy("doc_id", "size_class", "leader").agg(F.count("*").alias("tokens")), "shared")
+    shared = materialize(met.where((F.col("leader") < F.col("doc_id")) | (F.col("leader") < F.col("next"))).groupBy("doc_id", "size_class", "leader").agg(F.count("*").alias("tokens")).join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "shared")
+    shared = shared.join(shared.where("doc_id != leader").select("leader").distinct(), "leader", "left_semi")
     families = connected_components(shared.select(F.col("doc_id").alias("src"), F.col("leader").alias("dst")))
     families = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).join(shared.select("doc_id", "size_class").distinct(), "doc_id")
     families = materialize(families, "families")
