@@ -5,16 +5,21 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 from functools import reduce
 from math import ceil
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch handed to Python. Documents can be long, so a batch is kept to a few MB.
 ARROW_ROWS = "512"
+#: Seconds between two collections of the driver's garbage.
+TIDY_SECONDS = 20.0
+_tidied = 0.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="lodewell-checkpoint-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
@@ -62,9 +70,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodewell_path = path
+    tidy(spark)
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of what finished jobs leave behind, once in TIDY_SECONDS at most.
+
+    Shuffle files and broadcasts are removed when the driver collects the objects of their jobs, which a
+    quiet driver does late; its native heap is handed back where the JVM offers that.
+    """
+    global _tidied
+    if time.monotonic() - _tidied < TIDY_SECONDS:
+        return
+    _tidied = time.monotonic()
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    jvm.java.lang.System.gc()
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        args[2], args[3] = array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0)
+        invoke.invoke(server, args)
+    except Py4JError:  # not a JVM with that command
+        return
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing will read again."""
     remove_path(df.sparkSession, df._lodewell_path.rpartition("/")[0])
