@@ -1,30 +1,30 @@
 """Exact n-gram Jaccard join through a token-group matrix.
 
 The figures here are those of the defaults, the query's; shingle width and similarity are parameters, from
-which levels and parts follow. A document's set holds the hashes of its distinct 3-word shingles (A-Z lowered, words split at ASCII
-white space); with fewer words, its whole sequence as one; without words, or with null text, the set is
-empty and links with nothing. Two documents link when 100 * |intersection| >= 90 * |union|.
+which levels and parts follow. A document's set holds the hashes of its distinct 3-word shingles (A-Z lowered, words
+split at ASCII white space); with fewer words, its whole sequence as one; without words, or with null text, the set
+is empty and links with nothing. Two documents link when 100 * |intersection| >= 90 * |union|.
 
 Tokens. Linked sets of sizes s and t differ in at most (s + t) / 19 shingles. Sizes are cut into classes
 of ratio 10/9, so linked sets lie in one class or in neighbours; level j serves pairs whose larger class
-is j, with H the largest possible difference there. The shingle space is cut into H + 1 parts or more, so linked
-sets agree on one whole part at least. Parts of no shingle or one, which unrelated sets share, give no token
-where a set has more than H others: one of these is then agreed on. A token is (level, part, content of the set in that part): about ten
-shingles must be the same for two documents to share one, so a passage that many documents quote makes
-no long posting lists, and none is ever capped.
-
-Groups. Documents with equal sets collapse first. Documents that share tokens, directly or through
-others, make a family: no link leaves a family. Families are partitioned into groups of similar documents,
-small ones as they are, larger ones by size class and hash into groups of about GROUP documents. The task of
-a group holds the union of its members' shingles; a query document must have at least 90 % of its own
-shingles in that union (the overlap bound), and only for queries that qualify is the group opened and
-counted, shingle by shingle, against every member. Groups are first compared with themselves; then, in families
-of several groups, every document outside the family's largest class so far is a query to all groups of
-its own and the neighbouring size classes. Tasks return spanning forests of links, never pairs of a
-group, and no link between two classes is lost.
-
-Texts move once per group that a document visits. Rows with a null doc_id stand alone (component_id
-null); repeated rows share a class.
+is j, with H the largest possible difference there. The shingle space is cut into more than H parts, and a token is
+(level, part, content of the set in that part). A shingle that differs spoils one part, so a set whose tokens
+number K shares at least K - H of them with every linked set (its `need`, one at least). There are so many parts that
+`need` is about a fifth of H: a passage that many documents quote makes a token here and there, never enough.
+Parts of no shingle or one give no token where a set has more than H others.
+
+Groups. Documents with equal sets collapse first. Every document picks the document with which it shares most
+tokens, among the first documents of its tokens; those that pick the same one, the lead, are a group, in parts
+of GROUP documents or GROUP_SHINGLES shingles, the lead in every part. A task compares each part with
+itself and names the classes found. The matrix then holds, for every token, the units that have it: of each group
+the documents linked with the lead, and the others part by part. A query document is bounded by the number of
+its tokens in a unit; only units that reach its `need` are opened, by the document of the smaller unit, and only where
+they are not of its class. In an opened part the query must have at least 90 % of its own shingles in the
+union of the members before it is counted, shingle by shingle, against every member. No pair of a group is
+emitted, tasks return spanning links, and no link between two classes is lost.
+
+Texts move once into their group and once for each unit opened. Queries of a unit that is opened often are
+dealt to slices of SLICE. Rows with a null doc_id stand alone (component_id null); repeated rows share a class.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 from math import exp, sqrt
 
 import numpy as np
@@ -39,10 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodewell.llm.skew import BROADCAST_ROWS, fetch
+from lodewell.llm.skew import fetch
 from lodewell.llm.textkit import mix, shingles, words
+from lodewell.plans import skew
 from lodewell.plans.components import connected_components
-from lodewell.plans.storage import materialize, small_batches
+from lodewell.plans.storage import discard, materialize, small_batches
+
 
 @dataclass(frozen=True)
 class Params:
@@ -53,8 +56,10 @@ class Params:
     den: int = 100
 
 
-#: Documents of a group.
+#: Documents and shingles of a part of a group, and queries of a slice.
 GROUP = 512
+GROUP_SHINGLES = 1 << 20
+SLICE = 4096
 
 
 def shingle_set(text: str | None, p: Params) -> np.ndarray:
@@ -70,9 +75,9 @@ def _level(j: int, p: Params) -> tuple[int, int, np.ndarray]:
     high = low * p.den // p.num
     most = (2 * high * (p.den - p.num)) // (p.den + p.num)
     parts = most + 1
-    while parts < 1.3 * (most + 1):  # more parts, so that those with two shingles or more are enough alone
+    while parts < 2 * (most + 1):  # so many that those with two shingles or more are enough, and a fifth over
         sparse = parts * (1 + low / parts) * exp(-low / parts)
-        if parts - sparse - 2 * sqrt(sparse) > most:
+        if parts - sparse - 2 * sqrt(sparse) > 1.2 * most:
             break
         parts += 1
     return high, most, np.array([-((-i << 64) // parts) for i in range(parts)], np.uint64)
@@ -85,146 +90,255 @@ def _class_of(n: int, p: Params) -> int:
     return j
 
 
+def _cut(own: np.ndarray, level: int, p: Params) -> tuple[np.ndarray, np.ndarray, int]:
+    """The bounds of the parts of a sorted set, which of them give tokens, and how many a linked set must share."""
+    _, most, bounds = _level(level, p)
+    at = np.append(np.searchsorted(own, bounds), len(own))
+    sizes = np.diff(at)
+    kept = next(k for k in (sizes >= 2, sizes >= 1, sizes >= 0) if k.sum() > most or k.all())
+    return at, kept, max(1, int((sizes >= 2).sum()) - most)
+
+
 def tokens(own: np.ndarray, p: Params) -> np.ndarray:
-    """The tokens of a sorted set, at the level of its class and at the next one."""
+    """The tokens of a sorted set, at the level of its class and at the next one; the last bit is that of the level."""
     j = _class_of(len(own), p)
     sums = np.zeros(len(own) + 1, np.uint64)
     np.cumsum(mix(own + np.uint64(1)), out=sums[1:])
     out = []
     for level in (j, j + 1):
-        _, most, bounds = _level(level, p)
-        at = np.append(np.searchsorted(own, bounds), len(own))
-        part = np.arange(len(bounds), dtype=np.uint64) + np.uint64(level << 40)
-        sizes = np.diff(at)
-        kept = next(k for k in (sizes >= 2, sizes >= 1, sizes >= 0) if k.sum() > most or k.all())
-        out.append(mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(part + np.uint64(0x51ED27)))[kept])
+        at, kept, _ = _cut(own, level, p)
+        part = np.arange(len(kept), dtype=np.uint64) + np.uint64(level << 40)
+        whole = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(part + np.uint64(0x51ED27)))[kept]
+        out.append((whole & ~np.uint64(1)) | np.uint64(level & 1))
     return np.concatenate(out)
 
 
-def features(docs: DataFrame, p: Params, matrix: bool) -> DataFrame:
-    """doc_id, n_shingles, the size class, a 128-bit signature of the set, and, for the matrix, its tokens."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def features(docs: DataFrame, p: Params) -> DataFrame:
+    """doc_id, n_shingles, a 128-bit signature of the set, and the needs at its even and at its odd level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cls, one, two, toks, at = [], [], [], [], [], [0]
+            n, one, two, needs = [], [], [], ([], [])
             for text in batch.column(1).to_pylist():
                 own = shingle_set(text, p)
                 n.append(len(own))
-                cls.append(_class_of(len(own), p))
                 one.append(mix(own).sum(dtype=np.uint64))
                 two.append(mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
-                if matrix and len(own):
-                    toks.append(tokens(own, p))
-                at.append(at[-1] + (len(toks[-1]) if matrix and len(own) else 0))
-            flat = np.concatenate(toks) if toks else np.zeros(0, np.uint64)
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))
+                j = _class_of(len(own), p)
+                for level in (j, j + 1):
+                    needs[level & 1].append(_cut(own, level, p)[2])
             sig = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int32()), *sig, lists], names=["doc_id", "n_shingles", "size_class", "sig1", "sig2", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *sig, *(pa.array(x, pa.int32()) for x in needs)], names=["doc_id", "n_shingles", "sig1", "sig2", "even", "odd"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, size_class int, sig1 long, sig2 long, tokens array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, sig1 long, sig2 long, even int, odd int")
 
 
-def open_group(queries: list[tuple[int, int, np.ndarray]], members: list[tuple[int, int, np.ndarray]], p: Params) -> list[tuple[int, int]]:
-    """Spanning links of (doc, class so far, set) queries to the members of a group; those of one class are not compared."""
-    union = np.unique(np.concatenate([x for _, _, x in members]))
-    flat = np.concatenate([np.searchsorted(union, x) for _, _, x in members])
-    sizes = np.array([len(x) for _, _, x in members])
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    owners, classes = [d for d, _, _ in members], [c for _, c, _ in members]
-    up: dict[int, int] = {}
+def token_rows(docs: DataFrame, p: Params) -> DataFrame:
+    """(doc_id, token) of all tokens of all documents (doc_id, text)."""
 
-    def top(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = shingle_set(text, p)
+                if len(own):
+                    found.append(tokens(own, p))
+                    ids.append(np.full(len(found[-1]), doc, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "token"])
+
+    return docs.where("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, token long")
+
+
+class Group:
+    """The members of a part of a group, their union of shingles, and the classes found so far."""
+
+    def __init__(self, members: list[tuple[int, int, np.ndarray]]):
+        self.owners, self.classes = [d for d, _, _ in members], [c for _, c, _ in members]
+        sets = [x for _, _, x in members]
+        self.union = np.unique(np.concatenate(sets))
+        self.flat = np.concatenate([np.searchsorted(self.union, x) for x in sets])
+        self.sizes = np.array([len(x) for x in sets])
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+        self.flags = np.zeros(len(self.union), np.int64)
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while self.up.setdefault(x, x) != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
         return x
 
-    flags, links = np.zeros(len(union), np.int64), []
-    for doc, part, own in queries:
-        at = np.searchsorted(union, own)
-        at = at[(at < len(union)) & (union[np.minimum(at, len(union) - 1)] == own)]
+    def ask(self, label: int, own: np.ndarray, p: Params) -> list[int]:
+        """Members of other classes that link with a set of class label: one for each class, which are united."""
+        at = np.searchsorted(self.union, own)
+        at = at[(at < len(self.union)) & (self.union[np.minimum(at, len(self.union) - 1)] == own)]
         if p.den * len(at) < p.num * len(own):
-            continue
-        flags[at] = 1
-        both = np.add.reduceat(flags[flat], starts)
-        flags[at] = 0
-        for i in np.flatnonzero(p.den * both >= p.num * (len(own) + sizes - both)):
-            a, b = top(part), top(classes[i])
+            return []
+        self.flags[at] = 1
+        both = np.add.reduceat(self.flags[self.flat], self.starts)
+        self.flags[at] = 0
+        found = []
+        for i in np.flatnonzero(p.den * both >= p.num * (len(own) + self.sizes - both)):
+            a, b = self.top(label), self.top(self.classes[i])
             if a != b:
-                up[max(a, b)] = min(a, b)
-                links.append((doc, owners[i]))
-    return links
+                self.up[max(a, b)] = min(a, b)
+                found.append(self.owners[i])
+        return found
+
 
+def _in_groups(docs: DataFrame, visits: DataFrame, key: list[str], handle, schema: str, p: Params) -> DataFrame:
+    """handle(rows of one key, as an iterator of (doc_id, class, asks, set); members come before those that ask)."""
+    texts = fetch(_texts(docs), visits, "doc_id", visits.count())
+    laid = texts.repartition(*key).sortWithinPartitions(*key, "asks", "doc_id").select(*key, "doc_id", "class", "asks", "text")
+    names = [x.split()[0] for x in schema.split(", ")]
 
-def compare(docs: DataFrame, visits: DataFrame, p: Params) -> DataFrame:
-    """(src, dst) of all visits (doc_id, family, size_class, part, as_query, as_member, class) to groups."""
-    visits = materialize(visits, "visits")
-    texts = fetch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), visits, "doc_id", visits.count())
-    key = ["family", "size_class", "part"]
-    laid = texts.repartition(*key).sortWithinPartitions(*key, "doc_id").select(*key, "doc_id", "class", "as_query", "as_member", "text")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for i, doc in enumerate(columns[-4]):
+                yield tuple(c[i] for c in columns[:-4]), (doc, columns[-3][i], columns[-2][i], shingle_set(columns[-1][i], p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, queries, members = None, [], []
+        out: list[tuple] = []
 
-        def done() -> pa.RecordBatch:
-            links = open_group(queries, members, p) if queries and members else []
-            queries.clear()
-            members.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["src", "dst"])
+        def batch() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(len(names))], names=names)
+            out.clear()
+            return done
+
+        for _, own in groupby(rows(batches), key=lambda x: x[0]):
+            for found in handle(x for _, x in own):
+                out.append(found)
+                if len(out) >= 8192:
+                    yield batch()
+        yield batch()
+
+    return laid.mapInArrow(run, schema)
 
-        for batch in batches:
-            for family, size_class, part, doc, label, query, member, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (family, size_class, part) != now:
-                    if now is not None:
-                        yield done()
-                    now = (family, size_class, part)
-                row = (doc, label, shingle_set(text, p))
-                if query:
-                    queries.append(row)
-                if member:
-                    members.append(row)
-        yield done()
 
-    return laid.mapInArrow(run, "src long, dst long")
+def within(docs: DataFrame, visits: DataFrame, p: Params) -> DataFrame:
+    """(doc_id, label): the classes inside the parts (lead, part); a class that holds the lead is named by it."""
+
+    def handle(rows) -> Iterator[tuple[int, int]]:
+        members, lead = [], None
+        for doc, own, _, found in rows:
+            lead = own
+            members.append((doc, doc, found))
+        members.sort(key=lambda x: x[0] != lead)
+        group = Group(members)
+        for i, (doc, _, found) in enumerate(members):
+            if i == 0 or group.top(doc) != group.top(lead):
+                group.ask(doc, found, p)
+        main = group.top(lead)
+        yield from {(doc, lead if group.top(doc) == main else group.top(doc)) for doc, _, _ in members}
+
+    return _in_groups(docs, visits, ["lead", "part"], handle, "doc_id long, label long", p)
+
+
+def between(docs: DataFrame, visits: DataFrame, p: Params) -> DataFrame:
+    """(src, dst): links of the documents that ask with the members of the parts that they open."""
+
+    def handle(rows) -> Iterator[tuple[int, int]]:
+        members, group = [], None
+        for doc, label, asks, found in rows:
+            if not asks:
+                members.append((doc, label, found))
+                continue
+            if group is None:
+                group = Group(members)
+            yield from ((doc, other) for other in group.ask(label, found, p))
+
+    return _in_groups(docs, visits, ["unit", "part", "slice"], handle, "src long, dst long", p)
+
+
+def shared_tokens(docs: DataFrame, feats: DataFrame, p: Params) -> DataFrame:
+    """(doc_id, token, leader) of the tokens that more than one document has; of documents with equal sets only the first counts."""
+    sets = feats.where("doc_id is not null and n_shingles > 0")
+    reps = sets.groupBy("sig1", "sig2", "n_shingles").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    copies = materialize(sets.select("doc_id").distinct().join(reps, "doc_id", "left_anti"), "copies")
+    few = copies.count() <= skew.BROADCAST_ROWS
+    texts = _texts(docs)
+    rows = token_rows(texts.join(F.broadcast(copies), "doc_id", "left_anti") if few else texts, p)
+    places = Window.partitionBy("token").orderBy("doc_id")
+    met = rows.withColumn("leader", F.first("doc_id").over(places.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("doc_id").over(places))
+    met = met.where((F.col("leader") < F.col("doc_id")) | (F.col("leader") < F.col("next"))).select("doc_id", "token", "leader")
+    if not few:
+        met = met.join(copies, "doc_id", "left_anti")
+    met = materialize(met, "shared")
+    discard(copies)
+    return met
+
+
+def groups(shared: DataFrame, feats: DataFrame) -> DataFrame:
+    """doc_id, lead, part, parts, n (of the group), even, odd for every document that shares a token."""
+    needs = feats.where("doc_id is not null").groupBy("doc_id").agg(F.sum("n_shingles").alias("size"), F.min("even").alias("even"), F.min("odd").alias("odd"))
+    common = shared.where("doc_id != leader").groupBy("doc_id", "leader").agg(F.count("*").alias("c"))
+    best = common.groupBy("doc_id").agg(F.max(F.struct("c", (-F.col("leader")).alias("k"))).alias("best")).select("doc_id", F.col("best.c").alias("c"), (-F.col("best.k")).alias("lead"))
+    known = shared.select("doc_id").distinct().join(needs, "doc_id")
+    picks = known.join(best, "doc_id", "left").select("doc_id", "size", "even", "odd", F.when(F.col("c") >= F.least("even", "odd"), F.col("lead")).alias("lead"))
+    picks = materialize(picks, "picks")
+    leads = picks.where("lead is not null").select(F.col("lead").alias("doc_id")).distinct().withColumn("leads", F.lit(True))
+    own = picks.join(leads, "doc_id", "left").select("doc_id", "size", "even", "odd", F.when(F.col("leads") | F.col("lead").isNull(), F.col("doc_id")).otherwise(F.col("lead")).alias("lead"))
+    sizes = own.groupBy("lead").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("size") / GROUP_SHINGLES)).cast("int").alias("parts")).withColumn("m", F.col("n"))
+    laid = skew.hot_join(own, sizes, ["lead"], "m", picks.count())
+    return laid.select("doc_id", "lead", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), "parts", "n", "even", "odd")
+
+
+def open_units(shared: DataFrame, marked: DataFrame) -> DataFrame:
+    """(doc_id, unit): the units that a document must ask, by its tokens in them.
+
+    marked: doc_id, unit, size (of the unit), class, even, odd.
+    """
+    rows = shared.select("doc_id", "token").join(marked, "doc_id")
+    matrix = rows.groupBy("token", "unit").agg(F.first("size").alias("of"), F.min("class").alias("low"), F.max("class").alias("high")).withColumnRenamed("unit", "other")
+    met = rows.join(matrix, "token").where((F.struct("size", "unit") < F.struct(F.col("of").alias("size"), F.col("other").alias("unit"))) & ((F.col("low") != F.col("class")) | (F.col("high") != F.col("class"))))
+    odd = F.col("token").bitwiseAND(F.lit(1)) == 1
+    counts = met.groupBy("doc_id", "other", odd.alias("is_odd")).agg(F.count("*").alias("c"), F.first("even").alias("even"), F.first("odd").alias("odd"))
+    return counts.where(F.col("c") >= F.when(F.col("is_odd"), F.col("odd")).otherwise(F.col("even"))).select("doc_id", F.col("other").alias("unit")).distinct()
+
+
+def links(docs: DataFrame, feats: DataFrame, p: Params) -> DataFrame:
+    """(src, dst): spanning links of all documents with different sets."""
+    shared = shared_tokens(docs, feats, p)
+    laid = materialize(groups(shared, feats), "groups")
+    inside = laid.where("n > 1").select("doc_id", "lead", "part")
+    spread = laid.where("parts > 1 and doc_id = lead").select("doc_id", "lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    inside = materialize(inside.union(spread).distinct().select("doc_id", "lead", "part", F.col("lead").alias("class"), F.lit(False).alias("asks")), "inside")
+    stars = materialize(within(docs, inside, p), "stars")
+    # a lead is in all parts of its group, under its own name in each
+    label = stars.groupBy("doc_id").agg(F.min("label").alias("class"))
+    marked = laid.join(label, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
+    main = F.col("class") == F.col("lead")
+    marked = marked.withColumn("unit", F.when(main, F.xxhash64("lead")).otherwise(F.xxhash64("lead", "part")))
+    marked = materialize(marked.select("doc_id", "unit", "part", "class", "even", "odd"), "marked")
+    sizes = marked.groupBy("unit").agg(F.count("*").alias("size")).withColumn("m", F.col("size"))
+    units = materialize(skew.hot_join(marked, sizes, ["unit"], "m", marked.count()), "units")
+    opened = materialize(open_units(shared, units.select("doc_id", "unit", "size", "class", "even", "odd")), "opened")
+    discard(shared)
+    asks = opened.join(units.select("unit", "part").distinct(), "unit").join(units.select("doc_id", "class"), "doc_id")
+    asks = materialize(asks.select("doc_id", "unit", "part", "class"), "asks")
+    slices = asks.groupBy("unit", "part").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    members = units.join(slices, ["unit", "part"]).select("doc_id", "unit", "part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "class", F.lit(False).alias("asks"))
+    queries = asks.join(slices, ["unit", "part"]).select("doc_id", "unit", "part", F.pmod(F.xxhash64("doc_id"), "slices").cast("int").alias("slice"), "class", F.lit(True).alias("asks"))
+    visits = materialize(members.unionByName(queries), "visits")
+    return stars.select(F.col("doc_id").alias("src"), F.col("label").alias("dst")).union(between(docs, visits, p))
 
 
 def jaccard_classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs; an empty table gives an empty result."""
     small_batches(docs.sparkSession)
-    feats = materialize(features(docs, p, False).drop("tokens"), "features")
+    feats = materialize(features(docs, p), "features")
+    final = connected_components(links(docs, feats, p))
     sets = feats.where("doc_id is not null and n_shingles > 0")
-    reps = sets.groupBy("sig1", "sig2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    # tokens are computed on the way to the one shuffle they take; equal sets fall out behind it
-    matrix = features(docs, p, True).where("doc_id is not null and n_shingles > 0").select("doc_id", "size_class", F.explode("tokens").alias("token"))
-    places = Window.partitionBy("token").orderBy("doc_id")
-    met = matrix.withColumn("leader", F.first("doc_id").over(places.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("doc_id").over(places))
-    shared = materialize(met.where((F.col("leader") < F.col("doc_id")) | (F.col("leader") < F.col("next"))).groupBy("doc_id", "size_class", "leader").agg(F.count("*").alias("tokens")).join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "shared")
-    shared = shared.join(shared.where("doc_id != leader").select("leader").distinct(), "leader", "left_semi")
-    families = connected_components(shared.select(F.col("doc_id").alias("src"), F.col("leader").alias("dst")))
-    families = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).join(shared.select("doc_id", "size_class").distinct(), "doc_id")
-    families = materialize(families, "families")
-    sizes = families.groupBy("family").agg(F.count("*").alias("n"))
-    classes = families.groupBy("family", "size_class").agg((F.floor((F.count("*") - 1) / GROUP) + 1).cast("int").alias("parts"))
-    large = F.col("n") > GROUP
-    laid = families.join(sizes, "family").join(classes, ["family", "size_class"])
-    laid = laid.select("doc_id", "family", large.alias("large"), F.when(large, F.col("size_class")).otherwise(-1).alias("size_class"), F.when(large, F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(0).cast("int").alias("part"))
-    laid = materialize(laid, "groups")
-    first = materialize(compare(docs, laid.select("doc_id", "family", "size_class", "part", F.lit(True).alias("as_query"), F.lit(True).alias("as_member"), F.col("doc_id").alias("class")), p), "links")
-    found = materialize(connected_components(first), "classes")
-    # families of several groups: what is not of the family's largest class asks all groups it may link with
-    now = laid.where("large").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "family", "size_class", "part", F.coalesce("component", "doc_id").alias("class"))
-    now = materialize(now, "labelled")
-    most = now.groupBy("family", "class").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("class", F.struct("n", "class")).alias("most"))
-    open_ = now.join(most, "family").where(F.col("class") != F.col("most"))
-    parts = now.groupBy("family", "size_class").agg((F.max("part") + 1).alias("parts"))
-    asks = open_.select("doc_id", "family", "class", F.explode(F.array(*[F.col("size_class") + d for d in (-1, 0, 1)])).alias("size_class")).join(parts, ["family", "size_class"])
-    asks = asks.select("doc_id", "family", "size_class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("as_query"), F.lit(False).alias("as_member"), "class")
-    members = now.join(open_.select("family").distinct(), "family", "left_semi").select("doc_id", "family", "size_class", "part", F.lit(False).alias("as_query"), F.lit(True).alias("as_member"), "class")
-    second = compare(docs, asks.unionByName(members), p)
-    joined = found.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(second)
-    final = connected_components(joined)
-    named = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("sig1", "sig2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return feats.select("doc_id", "n_shingles", "sig1", "sig2").join(named, ["sig1", "sig2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    reps = sets.groupBy("sig1", "sig2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
+    named = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("sig1", "sig2", "n_shingles", "m", F.coalesce("component", "rep").alias("component_id"))
+    found = skew.hot_join(sets.select("doc_id", "n_shingles", "sig1", "sig2"), named, ["sig1", "sig2", "n_shingles"], "m", feats.count())
+    alone = feats.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id").union(alone)
 
 
 def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -233,6 +347,6 @@ def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
     Documents with an empty set or a null doc_id stand alone and stay; rows that repeat a kept doc_id stay.
     """
     gone = materialize(jaccard_classes(docs, p).where("doc_id != component_id").select("doc_id").distinct(), "gone")
-    if gone.count() <= BROADCAST_ROWS:
+    if gone.count() <= skew.BROADCAST_ROWS:
         gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A list of ids, and nothing but ids, is broadcast up to this many rows (a few MB).
-BROADCAST_ROWS = 200_000
+from lodewell.plans import skew
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, key: str, rows: int) -> DataFrame:
@@ -14,6 +13,6 @@ def fetch(docs: DataFrame, wanted: DataFrame, key: str, rows: int) -> DataFrame:
 
     Where few rows are wanted, their ids are broadcast to pick the documents before these are shuffled.
     """
-    if rows <= BROADCAST_ROWS:
+    if rows <= skew.BROADCAST_ROWS:
         docs = docs.join(F.broadcast(wanted.select(key).distinct()), key, "left_semi")
     return docs.join(wanted, key)

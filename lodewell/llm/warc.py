@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewell.llm.skew import BROADCAST_ROWS
+from lodewell.plans.skew import BROADCAST_ROWS
 from lodewell.plans.storage import scratch_path, small_batches
 
 
