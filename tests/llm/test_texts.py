@@ -190,6 +190,67 @@ def test_copies_behind_a_common_phrase_find_each_other(spark):
     assert missed(spark, texts) == {i: 0 for i, _ in texts}
 
 
+def brute_paragraphs(texts, size=48):
+    """Pairs (i, j) of documents with word-aligned paragraphs, whole lines here, of a Jaccard similarity of 0.8 or more."""
+    sets = {i: [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (split(line) for line in t.split("\n")) if len(w) >= size] for i, t in texts}
+    return {(i, j) for i in sets for j in sets if i < j and any(len(a & b) >= 0.8 * len(a | b) for a in sets[i] for b in sets[j])}
+
+
+def test_near_copies_of_paragraphs_equal_brute_force(spark):
+    """Paragraphs of 49 to 300 words with words changed, put in or taken out around the limit, within other text."""
+    import random
+
+    r = random.Random(5)
+    texts, i = [], 0
+
+    def fill(n):
+        nonlocal i
+        i += 1
+        return " ".join(f"u{i}x{k}" for k in range(n))
+
+    for family in range(60):
+        n = r.choice([49, 52, 60, 75, 86, 120, 200, 300])
+        base = [f"f{family}w{k}" for k in range(n)]
+        edits = max(1, (n - 4) // 45 + r.choice([-1, 0, 0, 1, 3]))
+        other = list(base)
+        kind = r.choice(["change", "put", "take"])
+        for at in sorted((round((e + 1) * n / (edits + 1)) for e in range(edits)), reverse=True):
+            if kind == "change":
+                other[min(at, n - 1)] = "changed"
+            elif kind == "put":
+                other.insert(at, f"new{at}")
+            else:
+                del other[min(at, len(other) - 1)]
+        texts += [(2 * family, f"{fill(r.randint(0, 60))}\n{' '.join(base)}\n{fill(r.randint(5, 60))}"), (2 * family + 1, f"{fill(r.randint(0, 60))}\n{' '.join(other)}\n{fill(r.randint(0, 60))}")]
+    want = {(a, b) for a, b in brute_paragraphs(texts) if b == a + 1}
+    found = substring_dedup.clusters(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    at = defaultdict(set)
+    for x in found:
+        at[x.cluster_id].add(x.doc_id)
+    got = {(min(v), max(v)) for v in at.values()}
+    assert 25 < len(want) < 55 and want <= got and all(b == a + 1 for a, b in got)
+    by = {x.doc_id: x for x in found}
+    for a, b in want:
+        assert by[a].kept and not by[b].kept and by[b].n_words >= 44
+    # spans that match are alike for themselves, at least
+    text, of = dict(texts), defaultdict(dict)
+    for x in found:
+        w = split(text[x.doc_id])[x.start_word : x.end_word]
+        of[x.cluster_id][x.doc_id] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    for pair in of.values():
+        x, y = pair.values()
+        assert len(x & y) >= 0.8 * len(x | y)
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    passage = " ".join(f"q{k}" for k in range(60))
+    rows = [(1, "a " + passage, 0), (1, passage + " b c", 1), (1, passage + " b c", 2), (2, "other", 3), (None, passage, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _n int")
+    out = {r._n: r.text for r in substring_dedup.remove_repeats(df).collect()}
+    assert sum(passage in out[n] for n in (0, 1, 2)) in (1, 2) and out[1] == out[2] and out[3] == "other" and out[4] == passage
+    assert {r.doc_id for r in substring_dedup.clusters(df).collect()} == {1}
+
+
 def test_removal_keeps_white_space_and_unicode():
     text = "é a  b c\nd e"
     assert substring_dedup.without(text, [{"start": 1, "end": 3}]) == "é c\nd e"
