@@ -280,7 +280,7 @@ def test_vectors_equal_brute_force(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("rep", F.lit(0)).withColumn("u", F.lit("x"))
     exact = [(i, [float(np.float32(x)) if x is not None else None for x in v] if v is not None else None, l) for i, v, l in rows]
     want = brute_vectors(exact)
-    small = flat_graph.Params(shard_rows=20, block_rows=4, candidates=8, degree=6, beam=4)
+    small = flat_graph.Params(shard_rows=20, max_shard_rows=20, block_rows=4, candidates=8, degree=6, beam=4)
     for p in (flat_graph.Params(), small):
         got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in flat_graph.near_duplicates(df, p).collect())
         assert got == want
@@ -289,6 +289,40 @@ def test_vectors_equal_brute_force(spark):
     assert flat_graph.near_duplicates(none).count() == 0
 
 
+def vectors_of(spark, n, dim=32, labels=(0,), seed=3, spread=0.12):
+    """Tight pairs and larger clusters around random centres."""
+    r = np.random.default_rng(seed)
+    rows, i = [], 0
+    while i < n:
+        centre, label = r.normal(size=dim), int(r.choice(labels))
+        for _ in range(int(r.choice([2, 2, 2, 3, 12]))):
+            rows.append(((i := i + 1), (centre + spread * r.normal(size=dim)).tolist(), label))
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), rows
+
+
+def test_vectors_in_many_levels_and_labels(spark):
+    """Small bounds force several levels of pivots, many large labels and shards of all shapes."""
+    small = flat_graph.Params(shard_rows=20, max_shard_rows=40, max_pivots=4, per_pivot=8, chunk_rows=64, block_rows=16)
+    for labels, n in (((0,), 1200), (range(12), 1500)):
+        df, rows = vectors_of(spark, n, labels=tuple(labels))
+        found = flat_graph.near_duplicates(df, small)
+        assert flat_graph.audit(df, found, small, every=1, block=500) >= 0.95
+        dealt = flat_graph.deal(flat_graph.units(df).select("label", "dim", F.col("vec_id").alias("rep"), "u"), small)
+        sizes = dealt.groupBy("label", "dim", "cell").count().agg(F.max("count"), F.count("*")).first()
+        assert sizes[0] <= 40 + 2 * small.landmarks and sizes[1] > 2 * len(rows) / 40
+
+
+def test_vectors_of_one_direction_are_dealt_out_and_stay_together(spark):
+    small = flat_graph.Params(shard_rows=20, max_shard_rows=40, max_pivots=4, per_pivot=8, chunk_rows=64, block_rows=64)
+    r = np.random.default_rng(0)
+    base = r.normal(size=8)
+    rows = [(i, ((1 + i) * base).tolist(), 0) for i in range(300)] + [(1000 + i, r.normal(size=8).tolist(), 0) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = {x.vec_id: (x.n_links, x.component_id) for x in flat_graph.near_duplicates(df, small).collect()}
+    want = {i: (n, c) for i, n, c, _ in brute_vectors(rows)}
+    assert out == want
+
+
 def test_pipeline_stages(spark, tmp_path, rows):
     import corpus_pipeline
 
