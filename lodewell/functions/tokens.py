@@ -13,6 +13,35 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def fold(items: Column, step: Callable[[Column, Column], tuple[Column, Column]], out: str, block: int = 256) -> Column:
+    """array<out>: all that step(at, item) = (new at, results) gives for the items in turn, with at = 0 before the first.
+
+    Results are gathered in blocks, so that no long array is copied for every item.
+    """
+    none = F.array().cast(f"array<{out}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        at, own = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], own).alias("out"))
+
+    def whole(rows: Column) -> Column:
+        def of_block(acc: Column, k: Column) -> Column:
+            part = F.aggregate(F.slice(rows, k * block + 1, block), F.struct(acc["at"].alias("at"), none.alias("out")), one)
+            return let(part, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+        blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(rows) - 1) / block).cast("int"), F.lit(0)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{out}>>").alias("out"))
+        return F.aggregate(blocks, start, of_block, lambda acc: F.flatten(acc["out"]))
+
+    return let(items, whole)
+
+
+def gaps(text: Column, pattern: str) -> Column:
+    """For each leftmost non-overlapping match: g, the length of the text since the match before, and m, the match."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(found, lambda all_: F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(all_)), all_, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m"))))
+
+
 def _pairs(text: Column) -> Column:
     """Pairs of neighbouring Chinese characters of the lower-cased text, whatever stands between them; with repeats."""
     chars = F.regexp_extract_all(F.lower(text), F.lit("[\\x{4e00}-\\x{9fff}]"), F.lit(0))

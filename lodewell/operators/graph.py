@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodewell.functions import text as X
+from lodewell.functions.tokens import fold, gaps
 from lodewell.plans.storage import in_blocks
 
 
@@ -61,11 +62,9 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, builtins: tuple[str, .
 def places(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     """(key, pos, match): all matches with their offsets."""
     t = F.col(text)
-    found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(t, pattern, -1), 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
     none = F.array().cast("array<struct<pos:int,match:string>>")
-    step = lambda acc, x: F.struct((acc["at"] + x["g"] + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("pos"), x["m"].alias("match")))).alias("out"))
-    out = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    step = lambda at, x: (at + x["g"] + F.length(x["m"]), F.array(F.struct((at + x["g"]).alias("pos"), x["m"].alias("match"))))
+    out = fold(gaps(t, pattern), step, "struct<pos:int,match:string>")
     return df.select(F.col(key), F.explode(F.when(t.rlike(pattern), out).otherwise(none)).alias("x")).select(key, "x.pos", "x.match")
 
 
