@@ -9,9 +9,9 @@ runs for each language against the rest, and texts are scored in batches by matr
 
 Texts are read whole, long ones in overlapping slices whose presence is united. Null text, or text
 without a letter, is `und` with score 0; so is every text if no labelled row is there to learn from.
-Fitting reads a bounded sample (`per_lang` labelled texts for each of at most `max_langs` languages,
-chosen by a hash of doc_id); prediction reads every row. Repeated rows are predicted alike; an empty
-table gives an empty result; extra columns are ignored.
+Fitting reads a bounded sample, chosen by a hash of doc_id: `per_lang` labelled texts of every language, fewer where
+these would be more than `sample_rows` in all, one at least; prediction reads every row. Repeated rows are predicted
+alike; an empty table gives an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +28,14 @@ from pyspark.sql import functions as F
 from lodewell.plans.storage import small_batches
 
 _SLICE = 1 << 20
+_BATCH = 256
 
 
 @dataclass(frozen=True)
 class Params:
     bits: int = 17
     per_lang: int = 200
-    max_langs: int = 256
+    sample_rows: int = 51_200
     landmarks_per_lang: int = 32
     max_landmarks: int = 512
     ridge: float = 1e-2
@@ -88,11 +89,14 @@ def crc_of_id(doc_id: Column) -> Column:
 def fit(labelled: DataFrame, params: Params = Params(), text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model | None:
     """Learn from a bounded sample of rows with text and lang; None if there is no such row."""
     rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("g")).where("t is not null and g is not null")
-    counts = sorted((-r["count"], r["g"]) for r in rows.groupBy("g").count().orderBy(F.desc("count"), "g").limit(params.max_langs).collect())
-    if not counts:
+    counts = rows.groupBy("g").agg(F.count("*").alias("n"))
+    langs = counts.count()
+    if not langs:
         return None
-    share = F.create_map(*[F.lit(x) for n, g in counts for x in (g, int(1_000_000 * min(1.0, 2.0 * params.per_lang / -n)))])
-    picked = rows.where(F.pmod(F.xxhash64("k", "g"), F.lit(1_000_000)) < F.coalesce(share[F.col("g")], F.lit(0)))
+    each = max(1, min(params.per_lang, params.sample_rows // langs))
+    # twice as many are drawn as are kept, so that enough of them have letters
+    dice = F.pmod(F.xxhash64("k", "g"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked = rows.join(F.broadcast(counts), "g").where(dice * F.col("n") <= 2 * each + 8)
     bits = params.bits
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,7 +107,7 @@ def fit(labelled: DataFrame, params: Params = Params(), text: str = "text", lang
             yield pd.DataFrame({"g": pdf["g"], "o": pdf["o"], "ids": found})
 
     sample = picked.select("g", "t", F.xxhash64("k", F.lit(7)).alias("o")).mapInPandas(sets, "g string, o long, ids binary").toPandas()
-    sample = sample.sort_values(["g", "o", "ids"]).groupby("g", sort=True).head(params.per_lang)
+    sample = sample.sort_values(["g", "o", "ids"]).groupby("g", sort=True).head(each)
     if sample.empty:
         return None
     langs = sorted(sample["g"].unique())
@@ -132,40 +136,49 @@ def fit(labelled: DataFrame, params: Params = Params(), text: str = "text", lang
 
 
 def _kernel(ids: list[np.ndarray], model: Model) -> np.ndarray:
-    """Normalised kernel of texts (as sets) against the landmarks, by one matrix product."""
-    x = np.zeros((len(ids), len(model.presence)), np.float32)
-    for i, own in enumerate(ids):
-        at = model.slots[own]
-        x[i, at[at >= 0]] = 1
-    own = np.array([max(1, len(i)) for i in ids], np.float64)
-    return (x @ model.presence.astype(np.float32)).astype(np.float64) / np.sqrt(own[:, None] * model.sizes[None, :])
-
-
-def predict(docs: DataFrame, model: Model | None, params: Params = Params(), text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns, lang_pred, score and known_share (of the text's n-grams, how many the landmarks hold) for every row."""
+    """Normalised kernel of texts (as sets) against the landmarks, by matrix products of _BATCH texts."""
+    marks, out = model.presence.astype(np.float32), np.zeros((len(ids), len(model.sizes)))
+    for first in range(0, len(ids), _BATCH):
+        some = ids[first : first + _BATCH]
+        x = np.zeros((len(some), len(marks)), np.float32)
+        for i, own in enumerate(some):
+            at = model.slots[own]
+            x[i, at[at >= 0]] = 1
+        size = np.array([max(1, len(i)) for i in some], np.float64)
+        out[first : first + len(some)] = (x @ marks) / np.sqrt(size[:, None] * model.sizes[None, :])
+    return out
+
+
+def scored(docs: DataFrame, model: Model | None, params: Params = Params(), text: str = "text") -> DataFrame:
+    """doc, a struct of all columns, lang_pred, score and known_share (of the text's n-grams, how many the landmarks hold) for every row."""
     small_batches(docs.sparkSession)
     bits, und = params.bits, params.und
-    kept = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text).alias("t"))
-    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    rows = docs.select(F.struct("*").alias("doc"), F.col(text).cast("string").alias("t"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(1 << bits, np.uint8)
         for batch in batches:
-            texts = batch.column(len(carry)).to_pylist()
+            texts = batch.column(1).to_pylist()
             preds, scores, shares = [und] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if has_letter(t)] if model is not None else []
-            for at in range(0, len(known), 256):
-                rows = known[at : at + 256]
-                sets = [grams(texts[i], bits, flags) for i in rows]
-                shares[rows] = [np.count_nonzero(model.slots[x] >= 0) / len(x) for x in sets]
+            for at in range(0, len(known), _BATCH):
+                own = known[at : at + _BATCH]
+                sets = [grams(texts[i], bits, flags) for i in own]
+                shares[own] = [np.count_nonzero(model.slots[x] >= 0) / len(x) for x in sets]
                 f = _kernel(sets, model) @ model.nystrom @ model.weights
                 best = np.argmax(f, 1)
-                scores[rows] = np.clip((f[np.arange(len(rows)), best] + 1) / 2, 0, 1)
-                for i, k in zip(rows, best, strict=True):
+                scores[own] = np.clip((f[np.arange(len(own)), best] + 1) / 2, 0, 1)
+                for i, k in zip(own, best, strict=True):
                     preds[i] = model.langs[k]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(preds, pa.string()), pa.array(scores), pa.array(shares)], names=[*carry, "lang_pred", "score", "known_share"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(scores), pa.array(shares)], names=["doc", "lang_pred", "score", "known_share"])
 
-    return kept.mapInArrow(score, f"{fields}, lang_pred string, score double, known_share double")
+    return rows.mapInArrow(score, f"doc {rows.schema['doc'].dataType.simpleString()}, lang_pred string, score double, known_share double")
+
+
+def predict(docs: DataFrame, model: Model | None, params: Params = Params(), text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, lang_pred, score and known_share for every row."""
+    rows = docs.select(*dict.fromkeys((*carry, text)))
+    return scored(rows, model, params, text).select(*[F.col("doc")[c].alias(c) for c in carry], "lang_pred", "score", "known_share")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -189,5 +202,5 @@ def reject(docs: DataFrame, min_share: float = 0.2, min_score: float = 0.2, para
     model = fit(docs.where(~held_out(F.col("doc_id"))), params)
     if model is None:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    marked = predict(docs, model, params, carry=tuple(docs.columns))
-    return marked.where((F.col("lang_pred") != params.und) & (F.col("known_share") >= min_share) & (F.col("score") >= min_score)).select(*docs.columns)
+    marked = scored(docs, model, params)
+    return marked.where((F.col("lang_pred") != params.und) & (F.col("known_share") >= min_share) & (F.col("score") >= min_score)).select(*[F.col("doc")[c].alias(c) for c in docs.columns])

@@ -154,14 +154,16 @@ def _pdf(b: bytes, at: int) -> int | None:
     return end + 5 - at if end > 0 and b.find(b"startxref", at, end) > 0 else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    i = b.find(b"PK\x05\x06", at)
+def zip_ends(b: bytes) -> dict[int, int]:
+    """Where zip archives begin and where they end, by their end records: each of them names the one place it belongs to."""
+    found, i = {}, b.find(b"PK\x05\x06")
     while i >= 0 and i + 22 <= len(b):
         entries, size, start, note = struct.unpack_from("<HIIH", b, i + 10)
-        if entries and at + start + size == i and b[at + start : at + start + 4] == b"PK\x01\x02" and i + 22 + note <= len(b):
-            return i + 22 + note - at
+        at = i - size - start
+        if entries and at >= 0 and b[at + start : at + start + 4] == b"PK\x01\x02" and i + 22 + note <= len(b):
+            found.setdefault(at, i + 22 + note)
         i = b.find(b"PK\x05\x06", i + 4)
-    return None
+    return found
 
 
 def _gzip(b: bytes, at: int) -> int | None:
@@ -215,7 +217,6 @@ VALIDATORS = {
     "image/bmp": _bmp,
     "riff": _riff,
     "application/pdf": _pdf,
-    "application/zip": _zip,
     "application/gzip": _gzip,
     "audio/ogg": _ogg,
     "audio/flac": _flac,
@@ -226,10 +227,15 @@ _RIFF_TYPES = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/x-ms
 
 def locate(data: bytes, machine=None) -> list[tuple[int, int, str]]:
     """(offset, length, type) of all media in the bytes; what lies within a found file is searched too."""
-    found = []
+    found, zips = [], None
     for end, (kind, n) in (machine or automaton()).iter(data.decode("latin-1")):
         at = end - n + 1 - (4 if kind == "video/mp4" else 0)
-        if at >= 0 and (size := VALIDATORS[kind](data, at)):
+        if kind == "application/zip":
+            zips = zip_ends(data) if zips is None else zips  # once for all local headers
+            size = zips.get(at, at) - at
+        else:
+            size = VALIDATORS[kind](data, at) if at >= 0 else None
+        if size:
             found.append((at, size, _RIFF_TYPES[data[at + 8 : at + 12]] if kind == "riff" else kind))
     return sorted(found, key=lambda x: (x[0], -x[1], x[2]))
 

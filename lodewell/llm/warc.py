@@ -6,7 +6,8 @@ revisits travel as marks beside the pages into one range shuffle by page_id; wit
 records are sorted, headers and digests are made anew, each record is a gzip member, and a file ends when
 its compressed size reaches `roll_bytes`. A task writes to names of its own attempt and renames a
 file once it is complete; a repeated task writes the same bytes over the same names. The manifest table
-is written last and commits the archive; the reader opens only what it lists and checks every digest.
+is written last and commits the archive; the reader opens only the files that it lists, streams them record by
+record, and checks every digest.
 
 Null html is an empty payload; null url is written as urn:page:<id>. Rows that repeat a page_id are
 records of their own (all of them responses where it is the largest). An empty table gives an archive
@@ -28,7 +29,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewell.plans.skew import BROADCAST_ROWS
 from lodewell.plans.storage import scratch_path, small_batches
 
 
@@ -77,14 +77,19 @@ def record(page_id: int | None, nth: int, url: str | None, payload: bytes, keepe
     return squeeze.compress(raw) + squeeze.flush()
 
 
+def _uri(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as the tasks open it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return re.sub(r"^file:/+", "file:///", uri)
+
+
 def write(pages: DataFrame, path: str | None = None, w: Writer = Writer()) -> str:
     """Write the archive; its place is returned once the manifest is there."""
     spark = pages.sparkSession
     small_batches(spark)
     path = path or scratch_path(spark, "warc")
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
-    uri = re.sub(r"^file:/+", "file:///", uri)
+    uri = _uri(spark, path)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     narrow = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("n"))
     total = narrow.agg(F.sum("n"), F.count("*")).first()
@@ -142,17 +147,21 @@ def write(pages: DataFrame, path: str | None = None, w: Writer = Writer()) -> st
     return path
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The gzip members of a file, one after the other."""
-    at, view = 0, memoryview(data)
-    while at < len(data):
+def members(source, size: int = 1 << 20, seen=lambda data: None) -> Iterator[bytes]:
+    """The gzip members of an open file, one after the other; seen gets all its bytes."""
+    rest = b""
+    while True:
         inflate, out = zlib.decompressobj(31), []
         while not inflate.eof:
-            if at >= len(data):
-                raise ValueError("a record is cut short")
-            piece = view[at : at + (1 << 16)]
-            out.append(inflate.decompress(piece))
-            at += len(piece) - len(inflate.unused_data)
+            if not rest:
+                rest = source.read(size)
+                seen(rest)
+                if not rest:
+                    if out:
+                        raise ValueError("a record is cut short")
+                    return
+            out.append(inflate.decompress(rest))
+            rest = inflate.unused_data
         yield b"".join(out)
 
 
@@ -169,34 +178,47 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return names, block
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, w: Writer = Writer()) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to and url of every record that the manifest commits."""
     manifest = spark.read.schema(_SCHEMA).parquet(f"{path}/manifest")
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
-    if not (listed_files := manifest.count()):
+    size = manifest.agg(F.count("*"), F.sum("bytes")).first()
+    if not size[0]:
         return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").load(f"{path}/data/part-*.warc.gz").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    known = manifest.select("file", "sha1")
-    listed = files.join(F.broadcast(known) if listed_files <= BROADCAST_ROWS else known, "file").select("content", "sha1")
+    uri, tasks = _uri(spark, path), max(1, ceil(size[1] / w.task_bytes), min(spark.sparkContext.defaultParallelism, size[0]))
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+
+    def row(raw: bytes) -> tuple:
+        head, block = parse(raw)
+        http, _, payload = block.partition(b"\r\n\r\n")
+        size = int(re.search(rb"Content-Length: (\d+)", http)[1])
+        digest = base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex()
+        if head["warc-type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
+            raise ValueError("a payload differs from its digest")
+        return int(head["page-id"]) if head["page-id"] else None, size, digest, head["warc-type"], int(head["refers-to-page-id"]) if "refers-to-page-id" in head else None, head["warc-target-uri"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        fs, root = FileSystem.from_uri(uri)
+        rows: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+            rows.clear()
+            return done
+
         for batch in batches:
-            for data, sha1 in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                data = data.as_py()
-                if hashlib.sha1(data).hexdigest() != sha1:
+            for name, sha1 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                whole = hashlib.sha1()
+                with fs.open_input_stream(f"{root}/data/{name}", compression=None) as source:
+                    for raw in members(source, seen=whole.update):
+                        rows.append(row(raw))
+                        if len(rows) >= 1024:
+                            yield out()
+                if whole.hexdigest() != sha1:
                     raise ValueError("a file differs from its manifest")
-                rows = []
-                for raw in members(data):
-                    names, block = parse(raw)
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-                    digest = base64.b32decode(names["warc-payload-digest"].removeprefix("sha1:")).hex()
-                    if names["warc-type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
-                        raise ValueError("a payload differs from its digest")
-                    rows.append((int(names["page-id"]) if names["page-id"] else None, size, digest, names["warc-type"], int(names["refers-to-page-id"]) if "refers-to-page-id" in names else None, names["warc-target-uri"]))
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    return listed.mapInArrow(run, schema)
+        yield out()
+
+    return manifest.select("file", "sha1").repartitionByRange(tasks, "file").mapInArrow(run, schema)

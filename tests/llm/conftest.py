@@ -58,6 +58,6 @@ def clashing(docs):
     from pyspark.sql import functions as F
 
     out = docs
-    for name in ("key", "token", "component_id", "shard", "slot", "at", "arc", "k", "t", "g", "size", "_text", "found", "run", "kept"):
+    for name in ("key", "token", "component_id", "shard", "slot", "at", "arc", "k", "t", "g", "size", "_text", "found", "run", "kept", "score", "lang_pred", "known_share", "doc", "row", "start", "spans", "label", "unit", "lead", "parts", "n", "class", "_n"):
         out = out.withColumn(name, F.lit("extra"))
     return out

@@ -1,6 +1,7 @@
 """Language ID, packing, BPE, media, sharding, WARC and vectors against brute force and round trips."""
 
 import hashlib
+import io
 import struct
 import zlib
 from collections import defaultdict
@@ -243,10 +244,10 @@ def test_warc_empty_and_damaged(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read(spark, warc.write(none, f"file://{tmp_path}/none")).count() == 0
     data = warc.record(1, 0, "http://x", b"body", None, warc.Writer())
-    names, block = warc.parse(next(warc.members(data)))
+    names, block = warc.parse(next(warc.members(io.BytesIO(data))))
     assert names["warc-type"] == "response" and block.endswith(b"body")
     with pytest.raises(ValueError):
-        warc.parse(next(warc.members(data)).replace(b"body", b"bodY"))
+        warc.parse(next(warc.members(io.BytesIO(data))).replace(b"body", b"bodY"))
 
 
 def brute_vectors(rows, t=0.93):
