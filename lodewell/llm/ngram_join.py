@@ -5,13 +5,13 @@ which levels and parts follow. A document's set holds the hashes of its distinct
 split at ASCII white space); with fewer words, its whole sequence as one; without words, or with null text, the set
 is empty and links with nothing. Two documents link when 100 * |intersection| >= 90 * |union|.
 
-Tokens. Linked sets of sizes s and t differ in at most (s + t) / 19 shingles. Sizes are cut into classes
-of ratio 10/9, so linked sets lie in one class or in neighbours; level j serves pairs whose larger class
-is j, with H the largest possible difference there. The shingle space is cut into more than H parts, and a token is
-(level, part, content of the set in that part). A shingle that differs spoils one part, so a set whose tokens
-number K shares at least K - H of them with every linked set (its `need`, one at least). There are so many parts that
-`need` is about a fifth of H: a passage that many documents quote makes a token here and there, never enough.
-Parts of no shingle or one give no token where a set has more than H others.
+Tokens. Linked sets of sizes s and t differ in at most (s + t) / 19 shingles; for a set of size s, and its largest
+partner, this is its H. Sizes are cut into classes of ratio 10/9, so linked sets lie in one class or in neighbours;
+level j serves pairs whose larger class is j. There the shingle space is cut into parts, and a token is (level, part,
+content of the set in that part). A shingle that differs spoils one part, so a set with K tokens shares at least
+K - H of them, its `need`, with every linked set. There are so many parts that `need` is some 0.3 H and more: a
+passage that many documents quote makes a token here and there, never enough. Parts without a shingle give no token,
+but where a set has no more than H others.
 
 Groups. Documents with equal sets collapse first. Every document picks the document with which it shares most
 tokens, among the first documents of its tokens; those that pick the same one, the lead, are a group, in parts
@@ -60,6 +60,8 @@ class Params:
 GROUP = 512
 GROUP_SHINGLES = 1 << 20
 SLICE = 4096
+#: Documents of a token beyond which it is counted last.
+HOT = 256
 
 
 def shingle_set(text: str | None, p: Params) -> np.ndarray:
@@ -68,44 +70,54 @@ def shingle_set(text: str | None, p: Params) -> np.ndarray:
 
 @lru_cache(maxsize=4096)
 def _level(j: int, p: Params) -> tuple[int, int, np.ndarray]:
-    """Largest size in class j, the largest difference there, and the lower bounds of the parts that serve level j."""
+    """Smallest and largest size in class j, and the lower bounds of the parts that serve level j."""
     low = 1
     for _ in range(j):
         low = low * p.den // p.num + 1
     high = low * p.den // p.num
-    most = (2 * high * (p.den - p.num)) // (p.den + p.num)
-    parts = most + 1
-    while parts < 2 * (most + 1):  # so many that those with two shingles or more are enough, and a fifth over
-        sparse = parts * (1 + low / parts) * exp(-low / parts)
-        if parts - sparse - 2 * sqrt(sparse) > 1.2 * most:
+    least = -(-low * p.num // p.den)  # the smallest set that links with one of this class
+    parts = 2 * high * (p.den - p.num) // (p.den + p.num) + 1
+    while parts < 2 * least:  # until the smallest set has 1.3 times as many parts with shingles as may differ
+        full = parts * (1 - exp(-least / parts))
+        if full - 2 * sqrt(full * exp(-least / parts)) >= 1.3 * _most(least, high, p):
             break
         parts += 1
-    return high, most, np.array([-((-i << 64) // parts) for i in range(parts)], np.uint64)
+    return low, high, np.array([-((-i << 64) // parts) for i in range(parts)], np.uint64)
+
+
+def _most(n: int, high: int, p: Params) -> int:
+    """In how many shingles a set of n can differ from a linked one of `high` shingles at most."""
+    return (n + min(high, n * p.den // p.num)) * (p.den - p.num) // (p.den + p.num)
 
 
 def _class_of(n: int, p: Params) -> int:
     j = 0
-    while _level(j, p)[0] < n:
+    while _level(j, p)[1] < n:
         j += 1
     return j
 
 
+def _levels(n: int, p: Params) -> list[int]:
+    """The levels that a set of n needs: that of its class, and the next one if a linked set can lie there."""
+    j = _class_of(n, p)
+    return [j, j + 1] if n * p.den // p.num >= _level(j + 1, p)[0] else [j]
+
+
 def _cut(own: np.ndarray, level: int, p: Params) -> tuple[np.ndarray, np.ndarray, int]:
     """The bounds of the parts of a sorted set, which of them give tokens, and how many a linked set must share."""
-    _, most, bounds = _level(level, p)
+    _, high, bounds = _level(level, p)
     at = np.append(np.searchsorted(own, bounds), len(own))
-    sizes = np.diff(at)
-    kept = next(k for k in (sizes >= 2, sizes >= 1, sizes >= 0) if k.sum() > most or k.all())
-    return at, kept, max(1, int((sizes >= 2).sum()) - most)
+    full = np.diff(at) > 0
+    need = int(full.sum()) - _most(len(own), high, p)
+    return at, full if need > 0 else np.ones(len(full), bool), max(1, need)
 
 
 def tokens(own: np.ndarray, p: Params) -> np.ndarray:
-    """The tokens of a sorted set, at the level of its class and at the next one; the last bit is that of the level."""
-    j = _class_of(len(own), p)
+    """The tokens of a sorted set at its levels; the last bit is that of the level."""
     sums = np.zeros(len(own) + 1, np.uint64)
     np.cumsum(mix(own + np.uint64(1)), out=sums[1:])
     out = []
-    for level in (j, j + 1):
+    for level in _levels(len(own), p):
         at, kept, _ = _cut(own, level, p)
         part = np.arange(len(kept), dtype=np.uint64) + np.uint64(level << 40)
         whole = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(part + np.uint64(0x51ED27)))[kept]
@@ -128,9 +140,9 @@ def features(docs: DataFrame, p: Params) -> DataFrame:
                 n.append(len(own))
                 one.append(mix(own).sum(dtype=np.uint64))
                 two.append(mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
-                j = _class_of(len(own), p)
-                for level in (j, j + 1):
-                    needs[level & 1].append(_cut(own, level, p)[2])
+                need = {level & 1: _cut(own, level, p)[2] for level in _levels(len(own), p)}
+                for k in (0, 1):
+                    needs[k].append(need.get(k, 1))
             sig = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *sig, *(pa.array(x, pa.int32()) for x in needs)], names=["doc_id", "n_shingles", "sig1", "sig2", "even", "odd"])
 
@@ -291,14 +303,22 @@ def groups(shared: DataFrame, feats: DataFrame) -> DataFrame:
 def open_units(shared: DataFrame, marked: DataFrame) -> DataFrame:
     """(doc_id, unit): the units that a document must ask, by its tokens in them.
 
-    marked: doc_id, unit, size (of the unit), class, even, odd.
+    marked: doc_id, unit, size (of the unit), class, even, odd. Documents that have need of hot tokens are `deep`;
+    hot tokens join these with each other only.
     """
-    rows = shared.select("doc_id", "token").join(marked, "doc_id")
+    hot = shared.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("token", F.lit(True).alias("hot"))
+    hot = materialize(hot, "hot")
+    is_odd = F.col("token").bitwiseAND(F.lit(1)) == 1
+    rows = shared.select("doc_id", "token").join(F.broadcast(hot) if hot.count() <= skew.BROADCAST_ROWS else hot, "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    lost = rows.where("hot").groupBy("doc_id").agg(F.count_if(~is_odd).alias("lost_even"), F.count_if(is_odd).alias("lost_odd"))
+    zero = F.lit(0)
+    needs = marked.join(lost, "doc_id", "left").withColumn("even", F.col("even") - F.coalesce("lost_even", zero)).withColumn("odd", F.col("odd") - F.coalesce("lost_odd", zero))
+    rows = rows.join(needs.drop("lost_even", "lost_odd"), "doc_id").withColumn("need", F.when(is_odd, F.col("odd")).otherwise(F.col("even")))
+    rows = rows.where(~F.col("hot") | (F.col("need") < 1)).drop("even", "odd")
     matrix = rows.groupBy("token", "unit").agg(F.first("size").alias("of"), F.min("class").alias("low"), F.max("class").alias("high")).withColumnRenamed("unit", "other")
     met = rows.join(matrix, "token").where((F.struct("size", "unit") < F.struct(F.col("of").alias("size"), F.col("other").alias("unit"))) & ((F.col("low") != F.col("class")) | (F.col("high") != F.col("class"))))
-    odd = F.col("token").bitwiseAND(F.lit(1)) == 1
-    counts = met.groupBy("doc_id", "other", odd.alias("is_odd")).agg(F.count("*").alias("c"), F.first("even").alias("even"), F.first("odd").alias("odd"))
-    return counts.where(F.col("c") >= F.when(F.col("is_odd"), F.col("odd")).otherwise(F.col("even"))).select("doc_id", F.col("other").alias("unit")).distinct()
+    counts = met.groupBy("doc_id", "other", is_odd.alias("is_odd")).agg(F.count("*").alias("c"), F.first("need").alias("need"))
+    return counts.where(F.col("c") >= F.col("need")).select("doc_id", F.col("other").alias("unit")).distinct()
 
 
 def links(docs: DataFrame, feats: DataFrame, p: Params) -> DataFrame:

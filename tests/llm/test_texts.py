@@ -4,10 +4,12 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodewell.llm import ngram_join, secrets, substring_dedup
 from lodewell.llm.textkit import shingles, sliding_min, words
+from lodewell.plans import skew
 
 
 def split(text):
@@ -39,11 +41,11 @@ def test_sliding_min():
         assert sliding_min(v, w).tolist() == [min(v[i : i + w].tolist()) for i in range(len(v) - w + 1)]
 
 
-def brute_classes(rows):
+def brute_classes(rows, k=3, num=90):
     sets = {}
     for i, t, *_ in rows:
         w = split(t)
-        sets[i] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+        sets[i] = {tuple(w[x : x + k]) for x in range(max(1, len(w) - k + 1))} if w else set()
     up = {i: i for i in sets}
 
     def top(x):
@@ -54,7 +56,7 @@ def brute_classes(rows):
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
                 x, y = top(a), top(b)
                 up[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), top(i)) for i in ids}
@@ -68,7 +70,8 @@ def test_ngram_join_equals_brute_force(docs, rows, clashing):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
-def test_ngram_join_near_threshold(spark, monkeypatch):
+@pytest.mark.parametrize("large", [False, True])
+def test_ngram_join_near_threshold(spark, monkeypatch, large):
     """Families with many members around the threshold, in one group and in several."""
     from tests.llm.conftest import words as make
 
@@ -81,10 +84,17 @@ def test_ngram_join_near_threshold(spark, monkeypatch):
                 w[(7 * copy + 13 * k) % len(w)] = f"n{copy}x{k}"
             rows.append((i := i + 1, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = {k: v[1] for k, v in brute_classes(rows).items()}
-    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(df).collect()} == want
+    p = ngram_join.Params(5, 80, 100) if large else ngram_join.Params()
+    want = {k: v[1] for k, v in brute_classes(rows, p.shingle, p.num).items()}
+    assert 3 * len(set(want.values())) < 2 * len(rows)
+    if not large:
+        assert {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(df, p).collect()} == want
+    # small bounds: groups in parts, sliced queries, hot tokens, nothing broadcast
     monkeypatch.setattr(ngram_join, "GROUP", 5)
-    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(df).collect()} == want
+    monkeypatch.setattr(ngram_join, "SLICE", 3)
+    monkeypatch.setattr(ngram_join, "HOT", 4)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0 if large else 200_000)
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(df, p).collect()} == want
 
 
 def test_near_copies_stage_links_at_five_words_and_0_8(spark):
@@ -116,6 +126,27 @@ def test_near_copies_stage_links_at_five_words_and_0_8(spark):
     assert top(1) == 0 and top(11) == 10 and top(21) == 21
 
 
+def test_a_set_shares_what_it_needs_with_every_linked_set():
+    """Random pairs at the limit, of all sizes: their common tokens reach the need of both."""
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    for p in (ngram_join.Params(), ngram_join.Params(5, 80, 100)):
+        for n in [*range(1, 60), 100, 333, 1000]:
+            for _ in range(6):
+                pool = np.unique(r.integers(0, 1 << 64, 3 * n + 8, dtype=np.uint64))
+                r.shuffle(pool)
+                a, gone, new = pool[:n], int(r.integers(0, n // 3 + 1)), int(r.integers(0, n // 3 + 2))
+                b = np.concatenate([a[gone:], pool[n : n + new]])
+                if not len(b) or p.den * (n - gone) < p.num * (n + new):
+                    continue
+                a, b = np.sort(a), np.sort(b)
+                common = np.intersect1d(ngram_join.tokens(a, p), ngram_join.tokens(b, p))
+                level = max(ngram_join._class_of(len(x), p) for x in (a, b))
+                count = int((common & np.uint64(1) == level & 1).sum())
+                assert count >= max(ngram_join._cut(x, level, p)[2] for x in (a, b))
+
+
 def test_ngram_join_edge_tables(spark, empty):
     assert ngram_join.jaccard_classes(empty).count() == 0
     odd = spark.createDataFrame([(None, "a b c d"), (1, "a b c d")], "doc_id long, text string")
