@@ -93,7 +93,7 @@ def test_ngram_join_near_threshold(spark, monkeypatch, large):
     monkeypatch.setattr(ngram_join, "GROUP", 5)
     monkeypatch.setattr(ngram_join, "SLICE", 3)
     monkeypatch.setattr(ngram_join, "HOT", 4)
-    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0 if large else 200_000)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 2 if large else 200_000)
     assert {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(df, p).collect()} == want
 
 
