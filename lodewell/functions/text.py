@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodewell.functions.tokens import let
+from lodewell.lexicon import MODULES, SUBSYSTEMS, UNKNOWN_SUBSYSTEM
 
 #: Characters of standard Chinese punctuation.
 CJK_PUNCT = "，。！？、；：“”‘’【】（）《》"
@@ -290,7 +291,7 @@ def block_name(kind: Column, content: Column, name: Column, nth: Column) -> Colu
     """A name for a parsed block: by its table header, command code, heading or first line, else the old one."""
     text = _trim(content)
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(_trim(x)) > 5)
-    top = F.element_at(lines, 1)
+    top = F.try_element_at(lines, F.lit(1))
     head = F.regexp_replace(heading(top)["text"], r"^[第0-9一二三四五六七八九十百千]+[章节部分篇]?\s*", "")
     first = F.regexp_replace(F.substring(F.coalesce(top, F.substring(text, 1, 30)), 1, 30), r"^[【\[]?\s*", "")
     table = F.regexp_extract(text, r"^[\x{4e00}-\x{9fa5}A-Za-z]+", 0)
@@ -303,12 +304,6 @@ def is_incomplete_name(name: Column) -> Column:
     return name.rlike(r"^(Section_[0-9]+|Table_[0-9]+|表格_[0-9]+|第?[0-9]*[章节部分篇]?)$") | ~F.length(name).between(4, 30)
 
 
-#: Sample lookup of modules, in order of trial.
-MODULES = (("OTA", "ota|upgrade|dfu|bootloader|固件|升级"), ("BLE", "ble|bluetooth|hid|蓝牙|配对"), ("CAN", "can|总线"), ("RS485", "rs485|uart|串口"), ("IoT", "iot|mqtt|网络"), ("BMS", "bms|电池|充电"), ("Sensor", "sensor|传感器"), ("Display", "display|lcd|屏幕"), ("Storage", "storage|eeprom|flash|存储"))
-#: Sample lookup of subsystems by a part of the path, in order of trial.
-SUBSYSTEMS = (("gnss", "gil/gps"), ("ble", "cil/ble"), ("hci", "cil/ble"), ("can", "can/vehicle"), ("uart", "atdev/uart"), ("flash", "atdev/uart"), ("ota", "mos/ota"), ("common", "apptools/app"))
-
-
 def module_of(path: Column, content: Column) -> Column:
     """The first module whose words occur in the path or the text, else General."""
     out = F.lit("General")
@@ -317,13 +312,22 @@ def module_of(path: Column, content: Column) -> Column:
     return out
 
 
-def subsystem_of(path: Column) -> Column:
-    out = F.lit("unknown")
-    for part, name in reversed(SUBSYSTEMS):
-        out = F.when(F.lower(F.translate(path, "\\", "/")).contains(part), name).otherwise(out)
+def _subsystem(path: Column, which: int) -> Column:
+    out = F.lit(UNKNOWN_SUBSYSTEM[which])
+    for part, *names in reversed(SUBSYSTEMS):
+        out = F.when(F.lower(F.translate(path, "\\", "/")).contains(part), names[which]).otherwise(out)
     return out
 
 
+def subsystem_of(path: Column) -> Column:
+    """The subsystem of the first part that the path holds."""
+    return _subsystem(path, 0)
+
+
+def subsystem_context(path: Column) -> Column:
+    return _subsystem(path, 1)
+
+
 def with_context(content: Column, file_name: Column, module: Column) -> Column:
     """The block under a comment that names its module and file."""
     mark = F.when(module != "General", F.concat(F.lit("["), module, F.lit("]"))).otherwise("")

@@ -53,8 +53,11 @@ def tfidf_tokens(text: Column) -> Column:
     return F.concat(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0)), _pairs(text))
 
 
-def bm25_tokens(text: Column, longest: int = 5000) -> Column:
-    """Hex codes whole, words split at _ (two characters and more), Chinese bigrams; dp words add their family."""
+def bm25_tokens(text: Column, longest: int | None = None) -> Column:
+    """Hex codes whole, words split at _ (two characters and more), Chinese bigrams; dp words add their family.
+
+    `longest` keeps the first tokens only.
+    """
     none = F.array().cast("array<string>")
     family = F.array(F.lit("dp"), F.lit("DP"), F.lit("data"), F.lit("Data"))
 
@@ -63,7 +66,8 @@ def bm25_tokens(text: Column, longest: int = 5000) -> Column:
         rest = F.regexp_replace(low, "0x[0-9a-f]{1,8}", " ")
         return F.concat(codes, let(rest, lambda r: F.concat(F.regexp_extract_all(r, F.lit("(?<![a-z0-9])[a-z0-9]{2,}"), F.lit(0)), _pairs(r))))
 
-    return let(let(F.lower(text), of), lambda t: F.slice(F.concat(t, F.when(F.exists(t, lambda x: x.isin("dp", "data", "datapoint")), family).otherwise(none)), 1, longest))
+    every = let(let(F.lower(text), of), lambda t: F.concat(t, F.when(F.exists(t, lambda x: x.isin("dp", "data", "datapoint")), family).otherwise(none)))
+    return every if longest is None else F.slice(every, 1, longest)
 
 
 def key_terms(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodewell.functions.text import HEADINGS, LIST_START, merge_lines
+from lodewell.functions.tokens import fold, gaps
 
 
 def overlap_of(size: int, percent: int) -> int:
@@ -171,15 +172,13 @@ COMMAND = r"(?:命令|指令|CMD|cmd|帧ID|Frame.?ID|Message.?ID)\s*[:：]?\s*(0
 
 def command_blocks(df: DataFrame, key: str, text: str, around: int = 200) -> DataFrame:
     """(key, nth, start, command, content): every command code with the characters around it, if over 50."""
-    t = F.col(text)
-    found = F.regexp_extract_all(t, F.lit(COMMAND), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(t, COMMAND, -1), 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    none = F.array().cast("array<struct<start:int,m:string>>")
-    places = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, x: F.struct((acc["at"] + x["g"] + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), x["m"].alias("m")))).alias("out")), lambda acc: acc["out"])
-    rows = df.select(F.col(key), t.alias("t"), F.posexplode(places).alias("nth", "x"))
+    rows = df.select(F.col(key), F.col(text).alias("_text"))
+    t = F.col("_text")
+    step = lambda at, x: (at + x["g"] + F.length(x["m"]), F.array(F.struct((at + x["g"]).alias("start"), x["m"].alias("m"))))
+    rows = rows.select(key, "_text", F.posexplode(fold(gaps(t, COMMAND), step, "struct<start:int,m:string>")).alias("nth", "x"))
     start = F.greatest(F.col("x.start") - around, F.lit(0))
     stop = F.col("x.start") + F.length("x.m") + around
-    out = rows.select(key, "nth", F.col("x.start").alias("start"), F.regexp_extract("x.m", COMMAND, 1).alias("command"), F.substring("t", start + 1, stop - start).alias("content"))
+    out = rows.select(key, "nth", F.col("x.start").alias("start"), F.regexp_extract("x.m", COMMAND, 1).alias("command"), F.substring("_text", start + 1, stop - start).alias("content"))
     return out.where("length(content) > 50")
 
 

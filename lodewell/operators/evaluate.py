@@ -24,6 +24,15 @@ def metrics(rows: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     return cut.select("question_id", "k", hits.alias("hits"), F.when(F.size("want") > 0, hits / F.size("want")).otherwise(0.0).alias("hit_rate"), F.when(first > 0, 1.0 / first).otherwise(0.0).alias("mrr"))
 
 
+def hit_metrics(hits: DataFrame, wants: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """`metrics` from counts: hits (question_id, rank) are the retrieved ids that were expected, wants (question_id,
+    want) how many are; no list of expected ids is made."""
+    asked = wants.select("question_id", "want", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    met = asked.join(hits.select("question_id", F.col("rank").alias("r")), "question_id", "left").withColumn("r", F.when(F.col("r") <= F.col("k"), F.col("r")))
+    found = met.groupBy("question_id", "k").agg(F.count("r").cast("int").alias("hits"), F.max("want").alias("want"), F.min("r").alias("first"))
+    return found.select("question_id", "k", "hits", F.when(F.col("want") > 0, F.col("hits") / F.col("want")).otherwise(0.0).alias("hit_rate"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"))
+
+
 def score_bin(score: Column, bins: int = 5) -> Column:
     """Equal bins of 0 to 1, from 1; 1.0 lies in the last."""
     return F.least(F.lit(bins), F.greatest(F.lit(1), F.floor(score * bins).cast("int") + 1))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodewell.functions import text as X
 from lodewell.functions.tokens import fold, gaps
+from lodewell.lexicon import BUILTINS
 from lodewell.plans.storage import in_blocks
 
 
@@ -25,6 +26,13 @@ def node_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(lists, "id", "left").select("id", F.coalesce("edges", F.array().cast("array<struct<type:string,target:string,direction:string>>")).alias("edges"))
 
 
+def edge_counts(edges: DataFrame) -> DataFrame:
+    """(id, n_out, n_in) of every node that has an edge, without its list; a self-loop counts as out only."""
+    out = edges.select(F.col("from_node").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+    in_ = edges.where("from_node != to_node").select(F.col("to_node").alias("id"), F.lit(0), F.lit(1))
+    return out.union(in_).groupBy("id").agg(F.sum("out").alias("n_out"), F.sum("into").alias("n_in"))
+
+
 def callers(edges: DataFrame, of: DataFrame) -> DataFrame:
     """(id, caller): the distinct callers of every given node."""
     return edges.join(of.select(F.col("id").alias("to_node")), "to_node").select(F.col("to_node").alias("id"), F.col("from_node").alias("caller")).distinct()
@@ -51,7 +59,7 @@ def mentions(items: DataFrame, names: DataFrame, most: int = 5000) -> DataFrame:
     return in_blocks(names.select("name").distinct(), "name", most, block)
 
 
-def resolve_calls(calls: DataFrame, functions: DataFrame, builtins: tuple[str, ...] = ("printf", "memcpy", "memset", "malloc", "free", "strlen")) -> DataFrame:
+def resolve_calls(calls: DataFrame, functions: DataFrame, builtins: tuple[str, ...] = BUILTINS) -> DataFrame:
     """calls (file, caller, callee) with target: func: if the file defines the callee or it is built in, else ext:."""
     own = functions.select("file", F.col("name").alias("callee"), F.lit(True).alias("known")).distinct()
     met = calls.join(own, ["file", "callee"], "left")

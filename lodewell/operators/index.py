@@ -7,10 +7,13 @@ and pre-aggregate; nothing is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodewell.functions import tokens as T
+from lodewell.plans.storage import materialize, scratch_path
 
 
 def items(df: DataFrame, item_id: Column, scope: Column, text: Column) -> DataFrame:
@@ -38,11 +41,16 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
     return tf.groupBy("scope", "token").agg(F.count("*").alias("df"))
 
 
-def vocabulary(tf: DataFrame, size: int = 2000) -> DataFrame:
-    """(scope, token, cf, df): the most frequent tokens of each scope; ties go to the one met first (item, then place)."""
+def vocabulary(tf: DataFrame, size: int = 2000, buckets: int = 32) -> DataFrame:
+    """(scope, token, cf, df): the most frequent tokens of each scope; ties go to the one met first (item, then place).
+
+    The best of each bucket of a scope are taken first, so no task sorts all tokens of a scope.
+    """
     counts = tf.groupBy("scope", "token").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"), F.min(F.struct("item_id", "pos")).alias("first"))
-    order = Window.partitionBy("scope").orderBy(F.desc("cf"), "first")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("scope", "token", "cf", "df", "rank")
+    counts = counts.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)))
+    order = [F.desc("cf"), "first"]
+    best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("scope", "bucket").orderBy(*order))).where(F.col("rank") <= size)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("scope").orderBy(*order))).where(F.col("rank") <= size).select("scope", "token", "cf", "df", "rank")
 
 
 def bigram_index(rows: DataFrame) -> DataFrame:
@@ -55,10 +63,19 @@ def files_with_bigrams(index: DataFrame, wanted: DataFrame) -> DataFrame:
     return index.join(wanted.select("bigram").distinct(), "bigram", "left_semi").select("scope").distinct()
 
 
-def grouped_text(rows: DataFrame) -> DataFrame:
-    """(scope, content): the non-empty texts of each file joined by blanks in item order."""
+def grouped_text(rows: DataFrame, items: int = 1000, lane: Column | None = None) -> DataFrame:
+    """(scope, piece, content): the non-empty texts of each file joined by blanks in item order, `items` of them a piece.
+
+    lane: a range of ids, in their order; of numbers, `items` of them. Items are numbered lane by lane, so that no task
+    numbers a whole file.
+    """
     kept = rows.where("text is not null and text != ''")
-    return kept.groupBy("scope").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]), " ").alias("content"))
+    wide = lane if lane is not None else F.floor(F.col("item_id") / items)
+    sizes = kept.groupBy("scope", wide.alias("lane")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("scope").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = kept.withColumn("lane", wide).join(sizes.withColumn("before", before).drop("n"), ["scope", "lane"])
+    nth = F.col("before") + F.row_number().over(Window.partitionBy("scope", "lane").orderBy("item_id")) - 1
+    return at.withColumn("piece", F.floor(nth / items)).groupBy("scope", "piece").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]), " ").alias("content"))
 
 
 def fts_postings(rows: DataFrame) -> DataFrame:
@@ -80,3 +97,56 @@ def fts_match(postings: DataFrame, queries: DataFrame, contains: bool = False) -
         cut = postings.select("scope", "token", F.explode(F.array_distinct(F.array(F.substring("token", 1, 1), F.substring("token", 1, 2)))).alias("head"))
         met = asked.withColumn("head", F.expr("substring(prefix, 1, least(length(prefix), 2))")).where(width > 0).join(cut, "head").where(F.col("token").startswith(F.col("prefix")))
     return met.select("query_id", "scope").distinct()
+
+
+def _bucket(token: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
+
+@dataclass(frozen=True)
+class Kept:
+    """A written index: postings with their statistics, split into folders by a hash of the token.
+
+    A search joins them with the tokens it asks for, which picks the folders to be read (dynamic partition
+    pruning); texts are not read, and nothing is counted again.
+
+    words: scope, item_id, token, tf, dl, df (BM25); tokens: scope, item_id, token, w (unit tf-idf weights), idf;
+    scopes: scope, n, avgdl; full: token, scope (full text); names: token, scope; files: scope, n_items.
+    """
+
+    spark: SparkSession
+    root: str
+    buckets: int
+
+    @staticmethod
+    def build(rows: DataFrame, names: DataFrame, root: str | None = None, buckets: int = 16, size: int = 2000) -> Kept:
+        """Index rows (scope, item_id, text); names: (scope, token), the words by which a file is found without its text."""
+        spark = rows.sparkSession
+        root = root or scratch_path(spark, "index")
+
+        def put(df: DataFrame, name: str) -> None:
+            df = df.withColumn("bucket", _bucket(F.col("token"), buckets)) if "token" in df.columns else df
+            writer = df.repartition("bucket", "token").sortWithinPartitions("bucket", "token") if "token" in df.columns else df
+            (writer.write.partitionBy("bucket") if "token" in df.columns else writer.write).parquet(f"{root}/{name}")
+
+        words = materialize(term_frequencies(rows, T.bm25_tokens), "words")
+        put(words.join(document_frequencies(words), ["scope", "token"]).drop("pos"), "words")
+        put(lengths(rows, words), "scopes")
+        plain = materialize(term_frequencies(rows), "tokens")
+        n = rows.groupBy("scope").agg(F.count("*").alias("n"))
+        idf = vocabulary(plain, size).join(n, "scope").select("scope", "token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+        weight = plain.join(idf, ["scope", "token"]).withColumn("w", F.col("tf") / F.col("dl") * F.col("idf"))
+        norm = weight.groupBy("scope", "item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        put(weight.join(norm, ["scope", "item_id"]).select("scope", "item_id", "token", (F.col("w") / F.col("norm")).alias("w"), "idf"), "tokens")
+        put(fts_postings(rows), "full")
+        put(names.select("token", "scope").distinct(), "names")
+        put(n.withColumnRenamed("n", "n_items"), "files")
+        return Kept(spark, root, buckets)
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
+    def postings(self, name: str, asked: DataFrame) -> DataFrame:
+        """Rows of the asked tokens (a query batch's: broadcast), from their folders only."""
+        wanted = asked.select("token", _bucket(F.col("token"), self.buckets).alias("bucket")).distinct()
+        return self.table(name).join(F.broadcast(wanted), ["bucket", "token"]).drop("bucket")

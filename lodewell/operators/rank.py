@@ -152,6 +152,77 @@ def hybrid(items: DataFrame, queries: DataFrame, top_k: int = 5, extra_legs: tup
     return final.select("query_id", "item_id", "source", "title", "score", "rank", F.substring("text", 1, 800).alias("content_preview"))
 
 
+def search_files(kept: I.Kept, variants: DataFrame, most: int = 20) -> DataFrame:
+    """(query_id, scope): the files in which a query is searched, `most` at most.
+
+    variants: query_id, ord, variant, query. Each variant takes its candidates by full text, else by shared names; a
+    query takes those of its variants in their order, each file once.
+    """
+    asked = variants.select(F.col("variant").alias("query_id"), "query")
+    files = kept.table("files")
+    matched = I.fts_match(kept.table("full"), asked)
+    found = candidate_files(files, matched, most).select("query_id", "scope", "rank")
+    rest = asked.join(matched.select("query_id").distinct(), "query_id", "left_anti")
+    tokens = query_tokens(rest).select("query_id", "token")
+    named = by_overlap(kept.postings("names", tokens), files, tokens, most).select("query_id", "scope", "rank")
+    every = found.unionByName(named).withColumnRenamed("query_id", "variant").join(variants.select("query_id", "variant", "ord"), "variant")
+    first = every.groupBy("query_id", "scope").agg(F.min(F.struct("ord", "rank")).alias("at"))
+    w = Window.partitionBy("query_id").orderBy("at", "scope")
+    return first.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).select("query_id", "scope")
+
+
+def kept_scores(kept: I.Kept, variants: DataFrame, files: DataFrame, k1: float = 1.5, b: float = 0.75, weights: dict[str, float] = TERM_WEIGHTS) -> tuple[DataFrame, DataFrame]:
+    """BM25 and TF-IDF scores (query_id, variant, scope, item_id, score) over 0 of each variant in its query's files."""
+    own = variants.select("query_id", "variant")
+    asked = variants.select(F.col("variant").alias("query_id"), "query")
+
+    def within(hits: DataFrame, tokens: DataFrame) -> DataFrame:
+        met = hits.join(F.broadcast(tokens.withColumnRenamed("query_id", "variant")), "token").join(F.broadcast(own), "variant")
+        return met.join(F.broadcast(files), ["query_id", "scope"], "left_semi")
+
+    words = query_tokens(asked, T.bm25_tokens)
+    met = within(kept.postings("words", words), words).join(kept.table("scopes"), "scope")
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    by = ["query_id", "variant", "scope", "item_id"]
+    bm = met.groupBy(*by).agg(F.sum(part * F.col("times") * _weight(F.col("token"), weights)).alias("score")).where("score > 0")
+    plain = query_tokens(asked)
+    length = plain.groupBy("query_id").agg(F.sum("times").alias("ql"))
+    met = within(kept.postings("tokens", plain), plain.join(length, "query_id")).withColumn("qw", F.col("times") / F.col("ql") * F.col("idf"))
+    # the query's own norm counts each of its tokens once in every file whose vocabulary has it
+    known = met.select("variant", "scope", "token", "qw").distinct().groupBy("variant", "scope").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
+    dot = met.groupBy(*by).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    ti = dot.join(known, ["variant", "scope"]).select(*by, (F.col("dot") / F.col("qnorm")).alias("score"))
+    return bm, ti
+
+
+def search(kept: I.Kept, items: DataFrame, queries: DataFrame, top_k: int = 5, extra_legs: tuple[DataFrame, ...] = (), variants: int = 5, files: int = 20, overfetch: int = 1, aliases: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(query_id, item_id, source, title, score, rank, content_preview): the whole search of a query batch in a kept index.
+
+    Queries are expanded, `variants` of each searched; candidate files are picked first, and only the asked tokens'
+    postings in these are scored. An item's scores are summed over the variants, the legs are fused, and the
+    first top_k are boosted, the best of each source kept. Categories fall out as in `hybrid`.
+    """
+    from lodewell.operators.expand import expand
+
+    asked = queries.select("query_id", "query")
+    rows = expand(asked).where(F.col("ord") <= variants).select("query_id", "ord", F.col("expansion").alias("query"))
+    rows = materialize(rows.withColumn("variant", F.concat_ws("#", F.col("query_id").cast("string"), F.col("ord").cast("string"))), "variants")
+    within = materialize(search_files(kept, rows, files), "files")
+    per_file = max(50, 3 * top_k)
+    legs = []
+    for scored in kept_scores(kept, rows, within):
+        best = top(scored.withColumn("score", F.round("score", 9)), per_file, ["variant", "scope"]).drop("rank")
+        legs.append(best.groupBy("query_id", "item_id").agg(F.round(F.sum("score"), 9).alias("score")))
+    legs += list(extra_legs)
+    if "category" in queries.columns:
+        legs = _in_category(legs, items, queries, aliases or {})
+    fused = top(reciprocal_rank_fusion(legs), top_k * overfetch, ["query_id"]).drop("rank")
+    hits = items.join(F.broadcast(fused), "item_id").join(F.broadcast(asked), "query_id")
+    final = top(best_per_source(boost(hits)), top_k, ["query_id"])
+    return final.select("query_id", "item_id", "source", "title", "score", "rank", F.substring("text", 1, 800).alias("content_preview"))
+
+
 def category_priority(hits: DataFrame, priorities: DataFrame) -> DataFrame:
     """Of hits (query_id, category, ...), those of the first category in the query's order that has any."""
     met = hits.join(priorities, ["query_id", "category"])
@@ -183,14 +254,23 @@ def candidate_files(files: DataFrame, matched: DataFrame, most: int = 10) -> Dat
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("query_id", "scope", "n_items", "business", "rank")
 
 
+def name_tokens(names: DataFrame) -> DataFrame:
+    """(scope, token): the distinct words of what names a file (scope, names), whole and split at _."""
+    words = F.flatten(F.transform(T.tfidf_tokens(F.col("names")), lambda t: F.array_union(F.array(t), F.split(t, "_"))))
+    return names.select("scope", F.explode(words).alias("token")).where("token != ''").distinct()
+
+
 def overlap_files(files: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
     """Fallback without full-text hits: files by how many distinct query words their names or item ids share.
 
     files: scope, n_items, names (text of file name and item ids).
     """
-    words = files.select("scope", "n_items", F.explode(F.array_distinct(F.flatten(F.transform(T.tfidf_tokens(F.col("names")), lambda t: F.array_union(F.array(t), F.split(t, "_")))))).alias("token"))
-    asked = query_tokens(queries).select("query_id", "token")
-    met = asked.join(words, "token").groupBy("query_id", "scope", "n_items").agg(F.count("*").cast("double").alias("score"))
+    return by_overlap(name_tokens(files.select("scope", "names")), files.select("scope", "n_items"), query_tokens(queries).select("query_id", "token"), most)
+
+
+def by_overlap(words: DataFrame, files: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """The `most` files (scope, n_items) of each query (query_id, token) that share most of their words (scope, token) with it."""
+    met = asked.join(words, "token").join(files, "scope").groupBy("query_id", "scope", "n_items").agg(F.count("*").cast("double").alias("score"))
     business = F.col("scope").rlike("protocol_docs|business_docs")
     met = met.withColumn("score", F.col("score") + F.when(business, 1000.0).otherwise(0.0))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "n_items", "scope")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodewell import providers, schemas
 from lodewell.operators import expand as E
 from lodewell.operators import graph as G
+from lodewell.operators import index as I
 from lodewell.operators import rank as R
 from lodewell.operators import registry as K
 
@@ -31,9 +32,28 @@ def stale_files(items: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 class KnowledgeBase:
+    """Searches go through an index that is built at the first of them and again after the items have changed."""
+
     def __init__(self, items: DataFrame, vectors: DataFrame | None = None):
         self.items, self.vectors = items, vectors
 
+    @property
+    def items(self) -> DataFrame:
+        return self._items
+
+    @items.setter
+    def items(self, rows: DataFrame) -> None:
+        self._items, self._kept = rows, None
+
+    @property
+    def kept(self) -> I.Kept:
+        if self._kept is None:
+            rows = I.items(self._items, F.col("id"), F.col("source_file"), F.col("content"))
+            base = F.element_at(F.split(F.translate("source_file", "\\", "/"), "/"), -1)
+            names = self._items.select(F.col("source_file").alias("scope"), F.explode(F.array(base, F.col("id"))).alias("names"))
+            self._kept = I.Kept.build(rows, R.name_tokens(names))
+        return self._kept
+
     @classmethod
     def load(cls, spark: SparkSession, root: str) -> KnowledgeBase:
         return cls(K.current(spark, root, "knowledge_items"))
@@ -53,7 +73,7 @@ class KnowledgeBase:
         if self.vectors is not None:
             asked = providers.encode(queries, "query_id", "query")
             legs = (R.dense(self.vectors.select(F.col("id").alias("item_id"), "vector"), asked),)
-        return R.hybrid(shaped, queries, top_k, extra_legs=legs, aliases=ALIASES)
+        return R.search(self.kept, shaped, queries, top_k, extra_legs=legs, aliases=ALIASES)
 
     def search(self, queries: DataFrame, top_k: int = 5, category: str | None = None) -> DataFrame:
         """Hits of a query batch with their items, in rank order.
@@ -129,5 +149,6 @@ class KnowledgeBase:
         new = providers.encode(rows, "id", "content", encoder).join(rows.select("id", "source_file", "content_hash"), "id")
         kept = old.join(stale.select("source_file"), "source_file", "left_anti").unionByName(new) if old is not None else new
         self.vectors = kept.select("id", "source_file", "content_hash", "vector")
-        self.items = K.mark(self.items, self.vectors, "id")
+        kept, self.items = self._kept, K.mark(self.items, self.vectors, "id")
+        self._kept = kept  # texts are as before
         return self

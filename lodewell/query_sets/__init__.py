@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text", "search", "chunks", "events", "evaluation")
+MODULES: tuple[str, ...] = ("text", "characters", "search", "chunks", "events", "evaluation", "registry")
 
 
 def load() -> None:

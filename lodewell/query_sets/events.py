@@ -41,11 +41,7 @@ with e as (select distinct 'p' || l_partkey as f, 's' || l_suppkey as t from lin
 x as (select f as id, 'out' as dir from e union all select t, 'in' from e where f <> t)
 select id, count_if(dir = 'out')::bigint as n_out, count_if(dir = 'in')::bigint as n_in from x group by id""")
 def _(spark, d):
-    e = _edges(spark, d)
-    nodes = e.select(F.col("from_node").alias("id")).union(e.select("to_node")).distinct()
-    lists = G.node_edges(nodes, e)
-    side = lambda s: F.size(F.filter("edges", lambda x: x["direction"] == s)).cast("long")
-    return lists.select("id", side("out").alias("n_out"), side("in").alias("n_in"))
+    return G.edge_counts(_edges(spark, d))
 
 
 def _edges(spark, d):
@@ -53,9 +49,9 @@ def _edges(spark, d):
     return li.withColumn("edge_type", F.lit("calls"))
 
 
-@query("callers", "select distinct 's' || l_suppkey as id, 'p' || l_partkey as caller from lineitem where l_suppkey <= 50")
+@query("callers", "select distinct 's' || l_suppkey as id, 'p' || l_partkey as caller from lineitem")
 def _(spark, d):
-    of = table(spark, d, "supplier").where("s_suppkey <= 50").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
+    of = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
     return G.callers(_edges(spark, d), of)
 
 
@@ -67,12 +63,12 @@ def _(spark, d):
 
 @query("resolved_calls", """
 with f as (select distinct s_nationkey as file, (s_suppkey % 7)::varchar as name from supplier)
-select c_nationkey as file, c_custkey as caller, (c_custkey % 9)::varchar as callee, case when f.name is not null then 'func:' else 'ext:' end || (c_custkey % 9)::varchar as target
+select c_nationkey as file, c_custkey as caller, (c_custkey % 9)::varchar as callee, case when f.name is not null or c_custkey % 9 = 3 then 'func:' else 'ext:' end || (c_custkey % 9)::varchar as target
 from customer left join f on f.file = c_nationkey and f.name = (c_custkey % 9)::varchar""")
 def _(spark, d):
     calls = table(spark, d, "customer").select(F.col("c_nationkey").alias("file"), F.col("c_custkey").alias("caller"), (F.col("c_custkey") % 9).cast("string").alias("callee"))
     fs = table(spark, d, "supplier").select(F.col("s_nationkey").alias("file"), (F.col("s_suppkey") % 7).cast("string").alias("name"))
-    return G.resolve_calls(calls, fs, builtins=("printf",)).select("file", "caller", "callee", "target")
+    return G.resolve_calls(calls, fs, builtins=("3",)).select("file", "caller", "callee", "target")
 
 
 @query("proximity_join", """
@@ -85,12 +81,54 @@ def _(spark, d):
     return near.select("user_id", "pos", F.col("match").alias("event_id"), F.size("others").cast("long").alias("n"))
 
 
-@query("dp_relations", None)
+_MARKS = "select doc_id, unnest(list_transform(range(1, len(ms) + 1), lambda k: {{'p': (coalesce(list_sum(list_transform(gs[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0))::bigint, 'm': ms[k]}})) as x from (select doc_id, regexp_extract_all(t, '{0}') as ms, string_split_regex(t, '{0}') as gs from t) where len(ms) > 0"
+
+
+@query("dp_relations", f"""
+with t as (select doc_id, replace(replace(text, ' the ', ' DP 7 '), ' of ', ' 0x00FE ') as t from documents),
+a as ({_MARKS.format(G.DP_MARK)}), b as ({_MARKS.format(G.CAN_MARK)})
+select a.doc_id, a.x.p::int as pos, coalesce(nullif(regexp_extract(a.x.m, '0x([0-9A-Fa-f]+)', 1), ''), nullif(regexp_extract(a.x.m, '([0-9]+)$', 1), ''), 'unknown') as dp_id, count(b.x.p)::int as n
+from a left join b on a.doc_id = b.doc_id and abs(a.x.p - b.x.p) < 200 group by all""")
+def _(spark, d):
+    t = F.replace(F.replace("text", F.lit(" the "), F.lit(" DP 7 ")), F.lit(" of "), F.lit(" 0x00FE "))
+    return G.dp_relations(table(spark, d, "documents").select("doc_id", t.alias("t")), "doc_id", "t").select("doc_id", "pos", "dp_id", F.size("related_can_ids").alias("n"))
+
+
+def _code(spark, d):
+    k = F.col("p_partkey").cast("string")
+    lines = ("int f_{0}(int a) {{", "  return g_{0}(a) + printf(\"x\");", "}}", "#define M_{0} 1", "struct s_{0} {{ int x; }};", "enum e_{0} {{ A_{0}, B_{0} }};", "int v_{0} = 3;", "int g_{0}(int b) {{ return b; }}")
+    text = F.concat_ws("\n", *[F.replace(F.lit(x.replace("{{", "{").replace("}}", "}")), F.lit("{0}"), k) for x in lines])
+    return table(spark, d, "part").select(F.concat(F.lit("cil/ble/p"), k, F.lit(".c")).alias("path"), text.alias("code"))
+
+
+@query("code_nodes", """
+select 'cil/ble/p' || p_partkey || '.c' as file, x.type, x.prefix || p_partkey as name, x.a as line_start, x.b as line_end, x.pre || ':' || x.prefix || p_partkey as id, 'cil/ble' as subsystem, 'BLE' as module
+from part, (values ('function', 'f_', 1, 3, 'func'), ('macro', 'M_', 4, 4, 'macro'), ('struct', 's_', 5, 5, 'struct'), ('enum', 'e_', 6, 6, 'enum'), ('variable', 'v_', 7, 7, 'variable'), ('function', 'g_', 8, 8, 'func')) x(type, prefix, a, b, pre)""")
 def _(spark, d):
-    from lodewell.query_sets.shared import documents
+    return G.code_nodes(_code(spark, d), "path", "code").select("file", "type", "name", "line_start", "line_end", "id", "subsystem", "module")
+
 
-    t = F.regexp_replace(F.regexp_replace("text", r"\bthe\b", "DP 7"), r"\bof\b", "0x00FE")
-    return G.dp_relations(documents(spark, d).select("doc_id", t.alias("t")), "doc_id", "t").select("doc_id", "pos", "dp_id", F.size("related_can_ids").alias("n"))
+@query("code_edges", """
+select 'cil/ble/p' || p_partkey || '.c' as file, replace(x.a, '*', p_partkey::varchar) as from_node, replace(x.b, '*', p_partkey::varchar) as to_node, x.t as edge_type
+from part, (values ('func:f_*', 'param:a', 'has_param'), ('func:f_*', 'type:int', 'uses_type'), ('func:f_*', 'func:g_*', 'calls'), ('func:f_*', 'ext:printf', 'calls'), ('func:g_*', 'param:b', 'has_param'), ('func:g_*', 'type:int', 'uses_type'), ('enum:e_*', 'value:A_*', 'has_value'), ('enum:e_*', 'value:B_*', 'has_value')) x(a, b, t)""")
+def _(spark, d):
+    return G.code_edges(_code(spark, d), "path", "code")
+
+
+@query("code_blocks", """
+select 'cil/ble/p' || p_partkey || '.c:' || x.line || ':' || x.type || ':' || x.prefix || p_partkey as id, x.prefix || p_partkey as name, x.line as line_number
+from part, (values ('function', 'f_', 1), ('macro', 'M_', 4), ('struct', 's_', 5), ('enum', 'e_', 6), ('function', 'g_', 8)) x(type, prefix, line)""")
+def _(spark, d):
+    return G.code_blocks(_code(spark, d), "path", "code").select("id", "name", "line_number")
+
+
+@query("call_targets", """
+select 'p' || l_partkey as id, string_agg(distinct 's' || l_suppkey, ',' order by 's' || l_suppkey) as callees from lineitem group by 1
+union all select 's' || l_suppkey, '' from lineitem group by 1""")
+def _(spark, d):
+    e = _edges(spark, d)
+    nodes = e.select(F.col("from_node").alias("id")).union(e.select("to_node")).distinct()
+    return G.call_chain(e, nodes).select("id", F.array_join(F.array_sort("callees"), ",").alias("callees"))
 
 
 @query("hourly_counts", "select date_trunc('hour', ts) as hour, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")

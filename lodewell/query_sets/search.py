@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from lodewell import lexicon as L
 from lodewell.catalog import query
+from lodewell.operators import expand as E
 from lodewell.operators import index as I
 from lodewell.operators import rank as R
 from lodewell.plans.storage import table
@@ -17,7 +19,7 @@ df as (select source, token, count(*) as df from tf group by all)"""
 _QT = "qt as (select query_id, token, count(*) as times from (select query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9_]+')) as token from q) group by all)"
 _WEIGHTS = "case when token in ('dp','dpid','dp_id','data_point','datapoint') then 2.0 when token in ('cmd','command','frame_id','frameid','message_id','messageid') then 1.8 when token in ('ota','ble','fault','alarm') then 1.5 else 1.0 end"
 _BTOK = """
-case when len(list_filter({1}, lambda t: t in ('dp', 'data', 'datapoint'))) > 0 then list_concat({1}, ['dp', 'DP', 'data', 'Data'])[1:5000] else ({1})[1:5000] end"""
+case when len(list_filter({1}, lambda t: t in ('dp', 'data', 'datapoint'))) > 0 then list_concat({1}, ['dp', 'DP', 'data', 'Data']) else {1} end"""
 
 
 def _btokens(text):
@@ -81,25 +83,84 @@ def _(spark, d):
     return R.tfidf(_rows(spark, d), queries(spark, d)).select("query_id", F.col("scope").alias("source"), F.col("item_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+#: Expansions of the queries, with the tables of the engine as data.
+def _values(table, first):
+    return ", ".join("('" + k.replace("'", "''") + "', '" + w.replace("'", "''") + f"', {i})" for k, ws in table.items() for i, w in enumerate(ws[:first], 1))
+
+
+_EXPAND = f"""
+lx as (select * from (values {_values(L.SYNONYMS, 6)}) x(k, w, i) union all select * from (values {_values(L.TECH_TERMS, 6)}) x(k, w, i) union all select * from (values {_values(L.CHINESE_TO_ENGLISH, 3)}) x(k, w, i)),
+lq as (select query_id, lower(query) as q from q),
+lw as (select query_id, q, unnest(regexp_extract_all(q, '[a-z0-9_]+')) as t from lq),
+lh as (select query_id, regexp_extract(t, '^(?:0x)?([0-9a-f]{{2,}})$', 1) as h from lw union all select query_id, unnest(regexp_extract_all(t, '[0-9a-f]{{4,}}')) from lw),
+le as (
+  select query_id, q as e from lq union select query_id, t from lw
+  union select query_id, unnest(['0x' || h, '0x00' || h]) from lh where h <> ''
+  union select query_id, replace(q, t, v) from lw, (select unnest({list(L.DP_VARIANTS)}) as v) where t in {L.DP_TOKENS} and v <> t
+  union select query_id, q || ' ' || w from lw join lx on k = t
+  union select query_id, w from lw join (select * from (values {_values(L.CHINESE_TO_ENGLISH, 3)}) x(k, w, i)) y on k = t
+  union select query_id, q || ' ' || s from lq, (select unnest({list(L.DP_SUFFIXES)}) as s) where (contains(q, 'dp') or contains(q, '数据') or contains(q, '上报')) and not contains(q, lower(s))),
+ex as (select query_id, e as expansion, row_number() over (partition by query_id order by e <> q, not starts_with(e, q), length(e) desc, e) as ord from le join lq using (query_id) where e <> '' qualify ord <= 20)"""
+
+
+@query("query_expansion", f"with {QUERIES_SQL}, {_EXPAND[1:]} select query_id, ord::int as ord, expansion from ex")
+def _(spark, d):
+    return E.expand(queries(spark, d)).select("query_id", "ord", "expansion")
+
+
+# the same with variants as queries: their scores are summed
 _HYBRID = f"""
-with {QUERIES_SQL}, {_QT}, {_TF[1:]}, {_BM25[1:]}, {_VOCAB[1:]}, {_TFIDF[1:]},
-a as (select query_id, doc_id, round(score, 9) as score from bm qualify row_number() over (partition by query_id, source order by round(score, 9) desc, doc_id) <= 50),
-b as (select query_id, doc_id, round(score, 9) as score from ti qualify row_number() over (partition by query_id, source order by round(score, 9) desc, doc_id) <= 50),
-ra as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as r from a qualify r <= 50),
-rb as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as r from b qualify r <= 50),
+with {QUERIES_SQL.replace("q as (", "q0 as (")}, {_EXPAND[1:].replace(" from q)", " from q0)")},
+q as (select query_id * 100 + ord as query_id, expansion as query from ex where ord <= 5),
+fp as (select distinct query_id, regexp_replace(unnest(regexp_extract_all(lower(query), '[a-z0-9_]+|[^\\sa-z0-9_]+')), '[^\\p{{L}}\\p{{N}}]', '', 'g') as prefix from q),
+ft as (select distinct source, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) as token from documents),
+fm as (select distinct query_id, source from fp join ft on starts_with(token, prefix) where prefix <> ''),
+fs as (select source, count(*) as n_items from documents group by source),
+nq as (select distinct query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9_]+')) as token from q where query_id not in (select query_id from fm)),
+nm0 as (select query_id, source from nq join (select source, unnest(['doc', source, 'doc_' || doc_id]) as token from documents union select source, doc_id::varchar from documents) using (token) group by all),
+al as (select distinct query_id // 100 as q0, source from (select * from fm union all select * from nm0)),
+{_QT}, {_TF[1:]}, {_BM25[1:]}, {_VOCAB[1:]}, {_TFIDF[1:]},
+a as (select bm.query_id, doc_id, bm.source, round(score, 9) as score from bm join al on q0 = bm.query_id // 100 and al.source = bm.source qualify row_number() over (partition by bm.query_id, bm.source order by round(score, 9) desc, doc_id) <= 50),
+b as (select ti.query_id, doc_id, ti.source, round(score, 9) as score from ti join al on q0 = ti.query_id // 100 and al.source = ti.source qualify row_number() over (partition by ti.query_id, ti.source order by round(score, 9) desc, doc_id) <= 50),
+sa as (select query_id // 100 as query_id, doc_id, round(sum(score), 9) as score from a group by all),
+sb as (select query_id // 100 as query_id, doc_id, round(sum(score), 9) as score from b group by all),
+ra as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as r from sa qualify r <= 50),
+rb as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as r from sb qualify r <= 50),
 f as (select query_id, doc_id, round(sum(1.0 / (60 + r)), 12) as score from (select * from ra union all select * from rb) group by query_id, doc_id qualify row_number() over (partition by query_id order by score desc, doc_id) <= 5),
 h as (select query_id, doc_id, source, f.score * (case when source = 'src1' then 10.0 else 1.0 end) * (case when contains(lower(substring(string_split(text, chr(10))[1], 1, 40)), lower(query)) then 2.0 else 1.0 end) as score
-  from f join documents using (doc_id) join q using (query_id)),
+  from f join documents using (doc_id) join q0 using (query_id)),
 s as (select * from h qualify row_number() over (partition by query_id, source order by score desc, doc_id) = 1)
 select query_id, doc_id, source, round(score, 9) as score, row_number() over (partition by query_id order by score desc, doc_id) as rank from s"""
 
+_KEPT = {}
+
+
+def kept(spark, d):
+    """The index of the documents, built once in a session for the same files."""
+    key = (spark.sparkContext.applicationId, d, *table(spark, d, "documents").inputFiles())
+    if key not in _KEPT:
+        names = items(spark, d).select(F.col("source").alias("scope"), F.explode(F.array(F.col("source"), F.concat(F.lit("doc_"), F.col("item_id").cast("string")))).alias("names"))
+        _KEPT[key] = I.Kept.build(_rows(spark, d), R.name_tokens(names))
+    return _KEPT[key]
+
 
 @query("hybrid_search", _HYBRID)
 def _(spark, d):
-    hits = R.hybrid(items(spark, d), queries(spark, d))
+    hits = R.search(kept(spark, d), items(spark, d), queries(spark, d))
     return hits.select("query_id", F.col("item_id").alias("doc_id"), "source", F.round("score", 9).alias("score"), "rank")
 
 
+@query("kept_index", f"with {_TF[1:]}, {_VOCAB[1:]}, t as (select source, doc_id, token from tf semi join vocab using (source, token)) select source, count(*) as n_weights, count(distinct token) as n_tokens from t group by source")
+def _(spark, d):
+    t = kept(spark, d).table("tokens")
+    return t.groupBy(F.col("scope").alias("source")).agg(F.count("*").alias("n_weights"), F.countDistinct("token").alias("n_tokens"))
+
+
+@query("fts_documents", "with k as (select source, doc_id, text, row_number() over (partition by source order by doc_id) - 1 as nth from documents where text <> '') select source, (nth // 1000)::bigint as piece, md5(string_agg(text, ' ' order by doc_id)) as digest from k group by all")
+def _(spark, d):
+    return I.grouped_text(_rows(spark, d)).select(F.col("scope").alias("source"), "piece", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
 @query("dense_top10", """
 with v as (select vec_id, embedding::double[] as e from embeddings), s as (
   select a.vec_id as query_id, b.vec_id as item_id, round(list_dot_product(a.e, b.e), 9) as score from v a join v b on a.vec_id % 100 = 0)
@@ -163,7 +224,7 @@ def _(spark, d):
 
 
 @query("category_priority", """
-with h as (select c_nationkey as q, c_mktsegment as cat, c_custkey from customer where c_acctbal > 5000), p as (select cat, row_number() over (order by cat) as pr from (select distinct c_mktsegment as cat from customer)),
+with h as (select c_nationkey as q, c_mktsegment as cat, c_custkey from customer ), p as (select cat, row_number() over (order by cat) as pr from (select distinct c_mktsegment as cat from customer)),
 m as (select q, cat, c_custkey, pr, min(pr) over (partition by q) as f from h join p using (cat)) select q, cat, c_custkey from m where pr = f""")
 def _(spark, d):
     from pyspark.sql import Window
@@ -171,21 +232,76 @@ def _(spark, d):
     c = table(spark, d, "customer")
     pr = c.select(F.col("c_mktsegment").alias("category")).distinct().withColumn("priority", F.row_number().over(Window.orderBy("category")))
     of = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id")).join(F.broadcast(pr))  # five segments
-    hits = c.where("c_acctbal > 5000").select(F.col("c_nationkey").alias("query_id"), F.col("c_mktsegment").alias("category"), "c_custkey")
+    hits = c.select(F.col("c_nationkey").alias("query_id"), F.col("c_mktsegment").alias("category"), "c_custkey")
     return R.category_priority(hits, of).select(F.col("query_id").alias("q"), F.col("category").alias("cat"), "c_custkey")
 
 
-@query("query_expansion", None)
-def _(spark, d):
-    from lodewell.operators import expand as E
+def _sum(words, value):
+    return " + ".join(f"case when {value(w)} then 1.0 else 0.0 end" for w in words) or "0.0"
 
-    return E.expand(queries(spark, d)).select("query_id", "ord", "expansion")
 
+def _best(scores, other):
+    top = f"greatest({', '.join(scores.values())})"
+    return "case " + " ".join(f"when {s} = {top} and {top} > 0 then '{n}'" for n, s in scores.items()) + f" else {other} end", top
 
-@query("query_intents", None)
-def _(spark, d):
-    from lodewell.operators import expand as E
 
+_LOW = lambda w: f"contains(lower(query), '{w.lower()}')"
+_COARSE, _ = _best({n: f"({_sum(ws, _LOW)})" for n, ws in L.COARSE}, "null")
+_FIELDS = "len(list_filter(regexp_extract_all(query, '0x[0-9A-Fa-f]{2,8}'), lambda x: x in (%s)))"
+_FINE, _TOP = _best({n: f"({_sum(ws, _LOW)} + 2 * ({_sum(ps, lambda p: f"regexp_matches(lower(query), '{p}')")}) + {1.5 * bool(hs)} * {_FIELDS % (', '.join(map(repr, hs)) or "''")})" for n, ws, ps, hs in E.FINE}, "'business'")
+_HITS = " + ".join(f"({_sum(ws, _LOW)})" for _, ws, _, _ in E.FINE)
+_KIND = "case " + " ".join(f"when {' or '.join(f'contains(query, {w!r})' for w in ws)} then '{n}'" for n, ws in L.QUESTION_TYPES) + " else 'what' end"
+#: Queries of all kinds: passages behind words of the rules.
+_ASKED = "q as (select item_id as query_id, ['如何 ', '蓝牙 配对 ', 'OTA 升级 error ', 'struct enum ', '为什么 0x8001 ', 'dp 3 ', 'CAN 总线 ', ''][item_id % 8 + 1] || substring(text, 1, 30) as query from benchmark)"
+
+
+def _asked(spark, d):
+    heads = F.array(*[F.lit(x) for x in ("如何 ", "蓝牙 配对 ", "OTA 升级 error ", "struct enum ", "为什么 0x8001 ", "dp 3 ", "CAN 总线 ", "")])
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.element_at(heads, (F.col("item_id") % 8 + 1).cast("int")), F.substring("text", 1, 30)).alias("query"))
+
+
+@query("query_intents", f"""
+with {_ASKED}, s as (select *, {_TOP} as best, {_HITS} as hits from q)
+select query_id, {_COARSE} as coarse, {_KIND} as kind, {_FINE} as fine,
+  round(case when best = 0 then 0.5 when hits > 1 then least(least(best / 5.0, 1.0) + 0.1 * (hits - 1), 1.0) else least(best / 5.0, 1.0) end, 6) as confidence from s""")
+def _(spark, d):
     q = F.col("query")
     fine = E.fine_intent(q)
-    return queries(spark, d).select("query_id", E.coarse_category(q).alias("coarse"), E.question_type(q).alias("kind"), fine["category"].alias("fine"), fine["confidence"].alias("confidence"))
+    return _asked(spark, d).select("query_id", E.coarse_category(q).alias("coarse"), E.question_type(q).alias("kind"), fine["category"].alias("fine"), F.round(fine["confidence"], 6).alias("confidence"))
+
+
+@query("query_entities", f"""
+with {_ASKED} select query_id, array_to_string(list_filter([{', '.join(f"case when {' or '.join(_LOW(w) for w in ws)} then '{n}' end" for n, ws in sorted(E.Lexicon().entities.items()))}], lambda x: x is not null), ',') as entities from q""")
+def _(spark, d):
+    return E.detect_entities(_asked(spark, d)).select("query_id", F.array_join("entities", ",").alias("entities"))
+
+
+def _terms_sql():
+    new = lambda t: f"case when contains(lower(query), '{t.lower()}') then null else query || ' {t}' end"
+    lists = " ".join(f"when '{n}' then [{', '.join(map(new, ts))}]" for n, ts in L.SEARCH_TERMS.items())
+    return f"array_to_string(list_concat([query], list_filter(case coarse {lists} else [] end, lambda x: x is not null))[1:3], '|')"
+
+
+@query("query_search_terms", f"with {_ASKED}, c as (select *, {_COARSE} as coarse from q) select query_id, {_terms_sql()} as terms from c")
+def _(spark, d):
+    q = F.col("query")
+    return _asked(spark, d).select("query_id", F.array_join(E.search_terms(q, E.coarse_category(q)), "|").alias("terms"))
+
+
+def _rewrite_sql(x):
+    for k, v in [*L.COLLOQUIAL.items(), *L.PRONOUNS.items()]:
+        x = f"replace({x}, '{k}', '{v}')"
+    return x
+
+
+@query("query_rewrite", f"""
+with {_ASKED}, r as (select query_id, {_rewrite_sql("['那个', '车子咋办 查询功能码 ', '它的功能码升级 '][query_id % 3 + 1] || query")} as r from q)
+select query_id, case when contains(r, '功能码') and not contains(r, '0x') then case {' '.join(f"when contains(r, '{k}') then replace(r, '功能码', '{v}')" for k, v in L.CODE_HINTS)} else r end else r end as rewritten from r""")
+def _(spark, d):
+    heads = F.array(F.lit("那个"), F.lit("车子咋办 查询功能码 "), F.lit("它的功能码升级 "))
+    return _asked(spark, d).select("query_id", E.rewrite(F.concat(F.element_at(heads, (F.col("query_id") % 3 + 1).cast("int")), F.col("query"))).alias("rewritten"))
+
+
+@query("query_fallback", f"with {_ASKED}, t as (select distinct query_id, unnest(list_filter(list_concat(regexp_extract_all(lower(query), '[a-z0-9_]+'), list_transform(range(1, greatest(len(regexp_extract_all(query, '[\\x{{4e00}}-\\x{{9fff}}]')), 1)), lambda i: regexp_extract_all(query, '[\\x{{4e00}}-\\x{{9fff}}]')[i] || regexp_extract_all(query, '[\\x{{4e00}}-\\x{{9fff}}]')[i + 1])), lambda x: length(x) >= 2)) as fallback from q) select query_id, (row_number() over (partition by query_id order by -length(fallback), fallback) - 1)::int as ord, fallback from t qualify ord < 3")
+def _(spark, d):
+    return E.fallback_queries(_asked(spark, d))

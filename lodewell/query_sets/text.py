@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lodewell.catalog import query
 from lodewell.functions import text as X
 from lodewell.functions import tokens as T
+from lodewell.lexicon import MODULES
 from lodewell.plans.storage import table
 from lodewell.query_sets.shared import documents
 
@@ -119,17 +120,12 @@ def _(spark, d):
     return documents(spark, d).select("doc_id", b.alias("b")).select("doc_id", "b.byte_count", F.concat(F.lit("["), F.array_join("b.byte_values", ", "), F.lit("]")).alias("byte_values"))
 
 
-@query("text_modules", r"""
-select doc_id, case when regexp_matches(lower(text), 'ota|upgrade|dfu|bootloader|固件|升级') then 'OTA' when regexp_matches(lower(text), 'ble|bluetooth|hid|蓝牙|配对') then 'BLE' when regexp_matches(lower(text), 'can|总线') then 'CAN'
-  when regexp_matches(lower(text), 'rs485|uart|串口') then 'RS485' when regexp_matches(lower(text), 'iot|mqtt|网络') then 'IoT' when regexp_matches(lower(text), 'bms|电池|充电') then 'BMS' when regexp_matches(lower(text), 'sensor|传感器') then 'Sensor'
-  when regexp_matches(lower(text), 'display|lcd|屏幕') then 'Display' when regexp_matches(lower(text), 'storage|eeprom|flash|存储') then 'Storage' else 'General' end as module from documents""")
-def _(spark, d):
-    return documents(spark, d).select("doc_id", X.module_of(F.lit(""), F.col("text")).alias("module"))
+MODULE_SQL = "case " + " ".join(f"when regexp_matches(lower(text), '{words}') then '{name}'" for name, words in MODULES) + " else 'General' end"
 
 
-@query("text_clean", None)
+@query("text_modules", f"select doc_id, {MODULE_SQL} as module from documents")
 def _(spark, d):
-    return documents(spark, d).select("doc_id", X.clean(F.col("text")).alias("t")).select("doc_id", F.length("t").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))
+    return documents(spark, d).select("doc_id", X.module_of(F.lit(""), F.col("text")).alias("module"))
 
 
 @query("text_key_terms", r"select item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda t: length(t) >= 2))), ' ') as terms from benchmark")

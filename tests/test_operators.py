@@ -1,3 +1,4 @@
+import random
 """Ranking, expansion, logs, graphs, dedup, evaluation and registry on literal fixtures."""
 
 import math
@@ -92,7 +93,8 @@ def test_expansion(spark):
     got = [r.expansion for r in Q.expand(ask(spark, "BLE fe01")).orderBy("ord").collect()]
     assert got[0] == "ble fe01" and got[1].startswith("ble fe01 ") and {"0xfe01", "0x00fe01", "ble"} <= set(got) and len(got) <= 20
     assert Q.expand(ask(spark, "dp " + "a b c d e f g h i j k l m n o p q r s t")).count() == 20
-    assert Q.structured(ask(spark, "ble report")).first().expression == "ble OR report AND report"
+    assert Q.structured(ask(spark, "fault report")).first().expression == "fault AND report" and Q.structured(ask(spark, "x")).first().expression == "x"
+    assert {"同步 sync", "sync"} & {r.expansion for r in Q.expand(ask(spark, "同步"))  .collect()} and "0x8003" in {x for r in Q.expand(ask(spark, "0x8003")).collect() for x in r.expansion.split()}
     assert Q.detect_entities(ask(spark, "蓝牙升级")).first().entities == ["bluetooth", "ota"]
     assert Q.related_queries(ask(spark, "ota")).count() == 4
 
@@ -105,7 +107,9 @@ def test_classifiers(spark):
     assert got[3].f.category == "business" and got[3].f.confidence == 0.5
     assert got[4].f.category == "bluetooth" and got[4].f.score == 2.5 and got[4].f.confidence == 0.5
     assert [r.k for r in got][4:] == ["how", "what"]
-    assert ask(spark, "这个连不上").select(Q.rewrite(q).alias("r")).first().r == "该功能连接失败"
+    assert [r.r for r in ask(spark, "那个咋办", "查询功能码", "功能码0x01").select(Q.rewrite(q).alias("r")).collect()] == ["设备解决方案", "查询功能码0x0000或0x0003", "功能码0x01"]
+    assert ask(spark, "如何绑定").select(Q.hypothetical_queries(q).alias("h")).first().h[0] == "如何方法绑定"
+    assert ask(spark, "can协议x").select(Q.hypothetical_queries(q).alias("h")).first().h == ["CAN协议格式", "CAN PGN定义", "CAN指令下发"]
     assert ask(spark, "abcd efgh,ijkl mnop").select(Q.hypothetical_queries(q).alias("h")).first().h == ["abcd efgh", "ijkl mnop"]
     s = ask(spark, "x" * 80).select(Q.search_string(q, F.array(F.lit("enhance"))).alias("s")).first().s
     assert len(s) <= 50
@@ -190,8 +194,15 @@ def test_dedup(spark):
     b = spark.createDataFrame([(1, 1, "command", "c", "the quick brown fox jumps"), (1, 2, "section", "s", "the quick brown fox jumps x"), (1, 3, "section", "t", "nothing like it at all"), (2, 1, "section", "u", "the quick brown fox jumps")], "f long, n long, kind string, name string, content string")
     got = sorted((r.f, r.n, r.name) for r in D.greedy_blocks(b, "f", "n").collect())
     assert got == [(1, 1, "c"), (1, 3, "t"), (2, 1, "u")]
-    parts = {r.id: r.component for r in D.cluster_blocks(b.select((F.col("f") * 10 + F.col("n")).alias("id"), "content"), "id", "content").collect()}
-    assert parts[21] == parts[11] == parts[12] and parts[13] == 13
+    r = random.Random(2)
+    for _ in range(300):
+        x, y = ("".join(r.choice("ab") for _ in range(r.randint(0, 12))) for _ in range(2))
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            diag, row[0] = row[0], i
+            for j, e in enumerate(y, 1):
+                diag, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diag + (c != e))
+        assert D.edit_distance(x, y) == row[-1]
     new = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "z")], "id long, c string")
     known = new.where("id = 4").select(F.md5(F.col("c").cast("binary")).alias("md5_hash"))
     assert sorted(r.id for r in D.new_assets(new, known, "id", "c").collect()) == [1, 3]
