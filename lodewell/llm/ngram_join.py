@@ -15,9 +15,10 @@ but where a set has no more than H others.
 
 Groups. Documents with equal sets collapse first. Every document picks the document with which it shares most
 tokens, among the first documents of its tokens; those that pick the same one, the lead, are a group, in parts
-of GROUP documents or GROUP_SHINGLES shingles, the lead in every part. A task compares each part with
-itself and names the classes found. The matrix then holds, for every token, the units that have it: of each group
-the documents linked with the lead, and the others part by part. A query document is bounded by the number of
+of GROUP documents or GROUP_SHINGLES shingles, the lead in every part; leads are compared with their own picks too,
+so groups of one family meet in a tree. A task compares each part with itself, and connected components of what
+it found are the classes so far. The matrix then holds, for every token, the units that have it: classes of two
+and more, and the other documents by the part of their group. A query document is bounded by the number of
 its tokens in a unit; only units that reach its `need` are opened, by the document of the smaller unit, and only where
 they are not of its class. In an opened part the query must have at least 90 % of its own shingles in the
 union of the members before it is counted, shingle by shingle, against every member. No pair of a group is
@@ -286,7 +287,7 @@ def shared_tokens(docs: DataFrame, feats: DataFrame, p: Params) -> DataFrame:
 
 
 def groups(shared: DataFrame, feats: DataFrame) -> DataFrame:
-    """doc_id, lead, part, parts, n (of the group), even, odd for every document that shares a token."""
+    """doc_id, lead, part, parts, n (of the group), pick, even, odd for every document that shares a token; pick is that of a lead."""
     needs = feats.where("doc_id is not null").groupBy("doc_id").agg(F.sum("n_shingles").alias("size"), F.min("even").alias("even"), F.min("odd").alias("odd"))
     common = shared.where("doc_id != leader").groupBy("doc_id", "leader").agg(F.count("*").alias("c"))
     best = common.groupBy("doc_id").agg(F.max(F.struct("c", (-F.col("leader")).alias("k"))).alias("best")).select("doc_id", F.col("best.c").alias("c"), (-F.col("best.k")).alias("lead"))
@@ -294,10 +295,10 @@ def groups(shared: DataFrame, feats: DataFrame) -> DataFrame:
     picks = known.join(best, "doc_id", "left").select("doc_id", "size", "even", "odd", F.when(F.col("c") >= F.least("even", "odd"), F.col("lead")).alias("lead"))
     picks = materialize(picks, "picks")
     leads = picks.where("lead is not null").select(F.col("lead").alias("doc_id")).distinct().withColumn("leads", F.lit(True))
-    own = picks.join(leads, "doc_id", "left").select("doc_id", "size", "even", "odd", F.when(F.col("leads") | F.col("lead").isNull(), F.col("doc_id")).otherwise(F.col("lead")).alias("lead"))
+    own = picks.join(leads, "doc_id", "left").select("doc_id", "size", "even", "odd", F.when(F.col("leads") | F.col("lead").isNull(), F.col("doc_id")).otherwise(F.col("lead")).alias("lead"), F.when(F.col("leads"), F.col("lead")).alias("pick"))
     sizes = own.groupBy("lead").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("size") / GROUP_SHINGLES)).cast("int").alias("parts")).withColumn("m", F.col("n"))
     laid = skew.hot_join(own, sizes, ["lead"], "m", picks.count())
-    return laid.select("doc_id", "lead", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), "parts", "n", "even", "odd")
+    return laid.select("doc_id", "lead", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), "parts", "n", "pick", "even", "odd")
 
 
 def open_units(shared: DataFrame, marked: DataFrame) -> DataFrame:
@@ -326,17 +327,23 @@ def links(docs: DataFrame, feats: DataFrame, p: Params) -> DataFrame:
     shared = shared_tokens(docs, feats, p)
     laid = materialize(groups(shared, feats), "groups")
     inside = laid.where("n > 1").select("doc_id", "lead", "part")
-    spread = laid.where("parts > 1 and doc_id = lead").select("doc_id", "lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    inside = materialize(inside.union(spread).distinct().select("doc_id", "lead", "part", F.col("lead").alias("class"), F.lit(False).alias("asks")), "inside")
+    heads = laid.where("doc_id = lead").select("lead", "parts")
+    spread = heads.where("parts > 1").select(F.col("lead").alias("doc_id"), "lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    bridge = laid.where("pick is not null").select("doc_id", F.col("pick").alias("lead")).join(heads, "lead").select("doc_id", "lead", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"))
+    inside = inside.union(spread).union(bridge).union(bridge.select(F.col("lead").alias("doc_id"), "lead", "part")).distinct()
+    inside = materialize(inside.select("doc_id", "lead", "part", F.col("lead").alias("class"), F.lit(False).alias("asks")), "inside")
     stars = materialize(within(docs, inside, p), "stars")
-    # a lead is in all parts of its group, under its own name in each
-    label = stars.groupBy("doc_id").agg(F.min("label").alias("class"))
-    marked = laid.join(label, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
-    main = F.col("class") == F.col("lead")
-    marked = marked.withColumn("unit", F.when(main, F.xxhash64("lead")).otherwise(F.xxhash64("lead", "part")))
-    marked = materialize(marked.select("doc_id", "unit", "part", "class", "even", "odd"), "marked")
-    sizes = marked.groupBy("unit").agg(F.count("*").alias("size")).withColumn("m", F.col("size"))
-    units = materialize(skew.hot_join(marked, sizes, ["unit"], "m", marked.count()), "units")
+    classes = connected_components(stars, "doc_id", "label")
+    marked = laid.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "lead", "part", F.coalesce("component", "doc_id").alias("class"), "even", "odd")
+    marked = materialize(marked, "marked")
+    total = marked.count()
+    sizes = marked.groupBy("class").agg(F.count("*").alias("n"), F.ceil(F.count("*") / GROUP).cast("int").alias("parts")).withColumn("m", F.col("n"))
+    own = skew.hot_join(marked, sizes, ["class"], "m", total)
+    many = F.col("n") > 1
+    own = own.select("doc_id", F.when(many, F.xxhash64("class")).otherwise(F.xxhash64("lead", "part")).alias("unit"), F.when(many, F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(0).cast("int").alias("part"), "class", "even", "odd")
+    own = materialize(own, "own")
+    sizes = own.groupBy("unit").agg(F.count("*").alias("size")).withColumn("m", F.col("size"))
+    units = materialize(skew.hot_join(own, sizes, ["unit"], "m", total), "units")
     opened = materialize(open_units(shared, units.select("doc_id", "unit", "size", "class", "even", "odd")), "opened")
     discard(shared)
     asks = opened.join(units.select("unit", "part").distinct(), "unit").join(units.select("doc_id", "class"), "doc_id")
