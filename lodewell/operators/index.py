@@ -66,11 +66,12 @@ def files_with_bigrams(index: DataFrame, wanted: DataFrame) -> DataFrame:
 def grouped_text(rows: DataFrame, items: int = 1000, lane: Column | None = None) -> DataFrame:
     """(scope, piece, content): the non-empty texts of each file joined by blanks in item order, `items` of them a piece.
 
-    lane: a range of ids, in their order; of numbers, `items` of them. Items are numbered lane by lane, so that no task
-    numbers a whole file.
+    lane: a range of ids, in their order; `items` numbers in a row, or strings that begin alike. Items are numbered
+    lane by lane, so that no task numbers a whole file.
     """
     kept = rows.where("text is not null and text != ''")
-    wide = lane if lane is not None else F.floor(F.col("item_id") / items)
+    text = rows.schema["item_id"].dataType.typeName() == "string"
+    wide = lane if lane is not None else F.substring("item_id", 1, 4) if text else F.floor(F.col("item_id") / items)
     sizes = kept.groupBy("scope", wide.alias("lane")).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("scope").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     at = kept.withColumn("lane", wide).join(sizes.withColumn("before", before).drop("n"), ["scope", "lane"])
