@@ -9,8 +9,9 @@ each shard that fills up. Rows then find their shard and slot by their rank with
 larger than an arc is ever sorted by one task; the number of virtual nodes grows with the rows to keep
 arcs near `arc_rows`.
 
-doc_id is a key; rows with a null doc_id share one place on the ring. Null text weighs 8 bytes. An
-empty table gives an empty result.
+doc_id is a key; rows with a null doc_id take the place of their text, so that many of them do not meet in one arc.
+Null text weighs 8 bytes. Rows that repeat a doc_id are rows of their own, next to each other. An empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def shard_rows(docs: DataFrame, ring: Ring = Ring()) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (gapless from 0 in each shard) for every row."""
     spark = docs.sparkSession
     data = F.col("text").cast("string").cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(data), F.lit(0)) + 8).cast("long").alias("size"), F.coalesce(F.crc32(data), F.lit(0)).cast("long").alias("text_crc32"), F.xxhash64(F.col("doc_id").cast("long")).bitwiseAND(F.lit((1 << 63) - 1)).alias("at"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(data), F.lit(0)) + 8).cast("long").alias("size"), F.coalesce(F.crc32(data), F.lit(0)).cast("long").alias("text_crc32"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"))), F.xxhash64(data)).bitwiseAND(F.lit((1 << 63) - 1)).alias("at"))
     n = docs.count()
     vnodes = min(ring.max_vnodes, max(ring.vnodes, ceil(n / (ring.shards * ring.arc_rows))))
     shards = ring.shards

@@ -35,6 +35,61 @@ def test_language_id_on_held_out_documents(spark):
     assert (want == out.held_out).all()
 
 
+def test_language_id_equals_plain_kernels(spark):
+    """Sets of n-grams, kernels, the Nystrom map and ridge regression written out plainly, on the same sample."""
+    p = language_id.Params(bits=22, per_lang=20, landmarks_per_lang=5)
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labelled = df.where(~language_id.held_out(F.col("doc_id"))).where("text is not null and lang is not null")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(df, p).collect()}
+
+    def plain(text):
+        t = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower())
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    rows = labelled.select("doc_id", "text", "lang", F.xxhash64("doc_id", F.lit(7)).alias("o"), (F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("dice")).collect()
+    langs = sorted({r.lang for r in rows})
+    count = {g: sum(r.lang == g for r in rows) for g in langs}
+    each = min(p.per_lang, p.sample_rows // len(langs))
+    sample = []
+    for g in langs:
+        drawn = [r for r in rows if r.lang == g and language_id.has_letter(r.text) and r.dice * count[g] <= 2 * each + 8]
+        sample += sorted(drawn, key=lambda r: r.o)[:each]
+    sets = [plain(r.text) for r in sample]
+    nth = defaultdict(int)
+    marks = []
+    for i, r in enumerate(sample):
+        nth[r.lang] += 1
+        if nth[r.lang] <= p.landmarks_per_lang:
+            marks.append(i)
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    k = np.array([[kernel(a, sets[m]) for m in marks] for a in sets])
+    values, vectors = np.linalg.eigh(k[marks])
+    good = values > 1e-6 * values.max()
+    z = k @ (vectors[:, good] / np.sqrt(values[good]))
+    y = np.array([[1.0 if r.lang == g else -1.0 for g in langs] for r in sample])
+    balance = np.array([1 / sum(x.lang == r.lang for x in sample) for r in sample])
+    balance *= len(sample) / balance.sum()
+    w = np.linalg.solve((z * balance[:, None]).T @ z + p.ridge * len(y) / z.shape[1] * np.eye(z.shape[1]), (z * balance[:, None]).T @ y)
+    same = total = 0
+    for r in df.collect():
+        if not language_id.has_letter(r.text):
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        f = (np.array([kernel(plain(r.text), sets[m]) for m in marks]) @ (vectors[:, good] / np.sqrt(values[good]))) @ w
+        total += 1
+        same += got[r.doc_id][0] == langs[int(np.argmax(f))] and abs(got[r.doc_id][1] - min(1, max(0, (f.max() + 1) / 2))) < 0.02
+    assert same >= 0.99 * total > 150
+
+
+def test_language_id_knows_all_languages(spark):
+    """Many labels, each kept, within the bound of the sample."""
+    r = np.random.default_rng(0)
+    rows = [(i, " ".join("".join(chr(0x3400 + 30 * (i % 40) + c) for c in r.integers(0, 30, 5)) for _ in range(12)), f"l{i % 40:02d}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language_id.identify(df, language_id.Params(sample_rows=100)).join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([x.lang == x.lang_pred for x in out]) > 0.95
+
+
 def test_language_id_reads_only_text(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     a = {r.doc_id: r.lang_pred for r in language_id.identify(df).collect()}
@@ -199,6 +254,28 @@ def test_ring_rows_and_slots(docs, rows, clashing, empty):
     assert ring.shard_rows(empty).count() == 0
 
 
+def test_ring_equals_a_plain_walk(spark):
+    """Row by row: rows in ring order go to the first place clockwise whose shard is not full."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(None, "a"), (None, "b"), (None, None), (3, "again")], "doc_id long, text string"))
+    small = ring.Ring(shards=5, vnodes=8, max_vnodes=8)
+    got = {(r.doc_id, r.size, r.text_crc32): (r.shard, r.slot) for r in ring.shard_rows(df, small).collect()}
+    rows = df.withColumn("at", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64(F.col("text").cast("binary"))).bitwiseAND(F.lit((1 << 63) - 1))).collect()
+    spots, owners = ring.places(5, 8)
+    arc = lambda at: int(np.searchsorted(spots, at)) % len(spots)
+    raw = lambda r: (r.text or "").encode()
+    order = sorted(rows, key=lambda r: (arc(r["at"]), r["at"], -1 if r.doc_id is None else r.doc_id, len(raw(r)), zlib.crc32(raw(r))))
+    n, load, want = len(rows), [0] * 5, {}
+    quota = [n // 5 + (s < n % 5) for s in range(5)]
+    for r in order:
+        k = arc(r["at"])
+        while load[owners[k % len(owners)]] >= quota[owners[k % len(owners)]]:
+            k += 1
+        s = int(owners[k % len(owners)])
+        want[r.doc_id, len(raw(r)) + 8, zlib.crc32(raw(r))] = (s, load[s])
+        load[s] += 1
+    assert got == want
+
+
 def test_ring_moves_little_and_bounds_loads():
     r = np.random.default_rng(0)
     keys = r.integers(0, 1 << 62, 20_000)
@@ -324,6 +401,71 @@ def test_vectors_of_one_direction_are_dealt_out_and_stay_together(spark):
     assert out == want
 
 
+HARD = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_empty_tables_and_null_ids_in_all_operators(spark, empty):
+    """Empty tables give empty results; rows without an id, null texts and a very long text go through everything."""
+    from lodewell.llm import ngram_join, secrets, substring_dedup
+
+    r = np.random.default_rng(5)
+    long = " ".join("".join(chr(97 + c) for c in r.integers(0, 26, 6)) for _ in range(40_000)) + " token: abcdefghijklmnop"
+    rows = [(None, "no id at all here", "aa", None, None), (None, None, None, None, None), (None, "no id at all here", "aa", None, None), (7, long, "aa", "s", len(long)), (7, long, "aa", "s", len(long)), (8, "", None, None, 0)]
+    hard = spark.createDataFrame(rows, HARD)
+    for f, per_row in (
+        (secrets.secret_spans, True), (secrets.redact, True), (lambda d: packing.pack_documents(d, JSON, PATTERN, emit_ids=False), False), (lambda d: bpe.encode_documents(d, TIK, PATTERN, digests=True), True),
+        (lambda d: media.features(media.media_of(d)), True), (ring.shard_rows, True), (ngram_join.jaccard_classes, True), (language_id.identify, True), (substring_dedup.remove_repeats, False),
+    ):
+        assert f(empty).count() == 0
+        assert f(hard).count() == len(rows) if per_row else f(hard).count() > 0
+    out = {r.doc_id: r for r in secrets.redact(hard).collect()}
+    assert out[7].text == long[: -len("token: abcdefghijklmnop")] + "<SECRET>" and out[7].n_chars == len(out[7].text)
+    assert {r.doc_id for r in substring_dedup.clusters(hard).collect()} <= {7}
+    pieces = packing.pack_documents(hard, JSON, PATTERN, emit_ids=False)
+    whole = pieces.where("doc_id = 7").agg(F.sum("length"), F.max("doc_tokens")).first()
+    assert whole[0] == 2 * whole[1] > 2 * 40_000
+
+
+def test_pipeline_equals_brute_force_on_a_small_table(spark, tmp_path):
+    """Stage by stage on texts whose fate is known: rejected, near copy, repeated passage, secret, clean."""
+    import corpus_pipeline
+
+    source = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and length(text) between 600 and 3000 and not text rlike '[0-9]'").orderBy("doc_id").collect()
+    seen, clean = set(), []
+    for r in source:  # documents that share no 12 words with each other
+        w = r.text.lower().split()
+        own = {tuple(w[k : k + 12]) for k in range(len(w) - 11)}
+        if not own & seen and len(clean) < 40:
+            clean.append((len(clean), r.text, "en", "s", len(r.text)))
+        seen |= own
+    assert len(clean) == 40
+    words_ = clean[0][1].split()
+    near = " ".join([*words_[: len(words_) // 2], "inserted", *words_[len(words_) // 2 :]])
+    passage = " ".join(f"shared{k}" for k in range(55))
+    extra = [(100, near, "en", "s", None), (101, clean[1][1], None, "s", None), (102, clean[2][1] + " " + passage, "en", "s", None), (103, clean[3][1] + " " + passage, "en", "s", None), (104, clean[4][1] + " password = hunter2hunter2x", "en", "s", None), (105, "12345 --- 999", None, "s", None), (106, None, "en", "s", None), (107, "漢字仮名交じり文です" * 30, None, "s", None)]
+    extra = [(i, t if i in (100, 101, 105, 106, 107) else "start of its own kind " * 1 + t, g, s, n) for i, t, g, s, n in extra]
+    df = spark.createDataFrame(clean + extra, HARD).withColumn("score", F.lit("clash")).withColumn("found", F.lit(1))
+    docs, stages = df, dict(corpus_pipeline.STAGES)
+    step = lambda name, d: [x for x in [stages[name](spark, d, str(tmp_path))] if x.columns == df.columns][0]
+    docs = step("language_id", docs).cache()
+    assert {r.doc_id for r in docs.collect()} == {r[0] for r in clean + extra} - {105, 106, 107}
+    sets = {r.doc_id: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for r in docs.collect() for w in [r.text.lower().split()]}
+    gone = {b for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    before, docs = docs, step("ngram_jaccard_join", docs).cache()
+    assert {r.doc_id for r in docs.collect()} == set(sets) - gone and {100, 101} <= gone
+    before, docs = {r.doc_id: r.text for r in docs.collect()}, step("substring_dedup", docs).cache()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    holders = [i for i in sorted(before) if passage in before[i]]
+    assert [i for i in texts if passage in texts[i]] == holders[:1]
+    assert all(texts[i] == t for i, t in before.items() if i not in holders[1:] and i < 100)
+    docs = step("secret_scan", docs).cache()
+    after = {r.doc_id: r.text for r in docs.collect()}
+    assert all((after[i] != texts[i]) == ("hunter2" in texts[i]) for i in texts if i < 100 or i == 104)
+    pieces = stages["packing"](spark, docs, str(tmp_path))
+    totals = {r.doc_id: (r.n, r.t) for r in pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()}
+    assert set(totals) == set(after) and all(n == t for n, t in totals.values())
+
+
 def test_pipeline_stages(spark, tmp_path, rows):
     import corpus_pipeline
 
