@@ -435,15 +435,14 @@ def test_pipeline_equals_brute_force_on_a_small_table(spark, tmp_path):
     for r in source:  # documents that share no 12 words with each other
         w = r.text.lower().split()
         own = {tuple(w[k : k + 12]) for k in range(len(w) - 11)}
-        if not own & seen and len(clean) < 40:
+        if not own & seen and len(own) == len(w) - 11:
             clean.append((len(clean), r.text, "en", "s", len(r.text)))
         seen |= own
-    assert len(clean) == 40
+    clean, others = clean[:40], [r[1] for r in clean[40:43]]
     words_ = clean[0][1].split()
     near = " ".join([*words_[: len(words_) // 2], "inserted", *words_[len(words_) // 2 :]])
     passage = " ".join(f"shared{k}" for k in range(55))
-    extra = [(100, near, "en", "s", None), (101, clean[1][1], None, "s", None), (102, clean[2][1] + " " + passage, "en", "s", None), (103, clean[3][1] + " " + passage, "en", "s", None), (104, clean[4][1] + " password = hunter2hunter2x", "en", "s", None), (105, "12345 --- 999", None, "s", None), (106, None, "en", "s", None), (107, "漢字仮名交じり文です" * 30, None, "s", None)]
-    extra = [(i, t if i in (100, 101, 105, 106, 107) else "start of its own kind " * 1 + t, g, s, n) for i, t, g, s, n in extra]
+    extra = [(100, near, "en", "s", None), (101, clean[1][1], None, "s", None), (102, f"{others[0]} {passage}", "en", "s", None), (103, f"{others[1]} {passage}", "en", "s", None), (104, f"{others[2]} password = hunter2hunter2x", "en", "s", None), (105, "12345 --- 999", None, "s", None), (106, None, "en", "s", None), (107, "漢字仮名交じり文です" * 30, None, "s", None)]
     df = spark.createDataFrame(clean + extra, HARD).withColumn("score", F.lit("clash")).withColumn("found", F.lit(1))
     docs, stages = df, dict(corpus_pipeline.STAGES)
     step = lambda name, d: [x for x in [stages[name](spark, d, str(tmp_path))] if x.columns == df.columns][0]
@@ -456,7 +455,7 @@ def test_pipeline_equals_brute_force_on_a_small_table(spark, tmp_path):
     before, docs = {r.doc_id: r.text for r in docs.collect()}, step("substring_dedup", docs).cache()
     texts = {r.doc_id: r.text for r in docs.collect()}
     holders = [i for i in sorted(before) if passage in before[i]]
-    assert [i for i in texts if passage in texts[i]] == holders[:1]
+    assert holders == [102, 103] and [i for i in texts if passage in texts[i]] == holders[:1]
     assert all(texts[i] == t for i, t in before.items() if i not in holders[1:] and i < 100)
     docs = step("secret_scan", docs).cache()
     after = {r.doc_id: r.text for r in docs.collect()}
