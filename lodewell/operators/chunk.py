@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodewell.functions.text import HEADINGS, LIST_START, merge_lines
+from lodewell.functions.text import HEADINGS, LIST_START, merge_lines, scene
 from lodewell.functions.tokens import fold, gaps
+from lodewell.providers import create
 
 
 def overlap_of(size: int, percent: int) -> int:
@@ -190,6 +191,29 @@ def protocol_blocks(df: DataFrame, key: str, text: str, most: int = 30) -> DataF
     return commands.unionByName(inside.select(key, F.col("type").alias("kind"), F.col("title").alias("name"), "content"))
 
 
+def image_blocks(images: DataFrame, vision: str = "none", most: int = 10) -> DataFrame:
+    """(path, kind, name, content, scene) of pictures (path, page, nth, name, width, height, data, text: of the page).
+
+    The first `most` pictures of a file are shown to the vision service; what it reads as a table becomes one, the
+    others are described by file, page, size and the first lines of their page.
+    """
+    order = F.row_number().over(Window.partitionBy("path").orderBy("page", "nth"))
+    rows = images.withColumn("_n", order)
+
+    def read(data: pd.Series, context: pd.Series, n: pd.Series) -> pd.Series:
+        service = create("vision", vision)
+        return pd.Series([service.table(bytes(d), c or "") if k <= most else None for d, c, k in zip(data, context, n, strict=True)], dtype=object)
+
+    table = F.pandas_udf(read, "string")(F.col("data"), F.col("text"), F.col("_n"))
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    size = F.when((F.col("width") > 0) & (F.col("height") > 0), F.concat(F.lit("尺寸"), F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"))).otherwise("")
+    plain = F.concat(F.lit("[图片文件: "), F.col("name"), F.lit("]\n[来源: PDF page "), F.col("page").cast("string"), F.lit("]\n["), size, F.lit("]\n[上下文] "), F.substring(F.array_join(F.slice(lines, 1, 5), " "), 1, 200))
+    seen = rows.select("path", "_n", table.alias("t"), plain.alias("c"), scene(F.coalesce("text", F.lit(""))).alias("scene"))
+    is_table = F.coalesce(F.col("t") != "", F.lit(False))
+    number = F.col("_n").cast("string")
+    return seen.select("path", F.when(is_table, "table_image").otherwise("image").alias("kind"), F.concat(F.when(is_table, "Table_Image_").otherwise("Image_"), number).alias("name"), F.when(is_table, F.col("t")).otherwise(F.col("c")).alias("content"), "scene")
+
+
 def merge_short_blocks(blocks: DataFrame, key: str, nth: str, shortest: int = 30) -> DataFrame:
     """Blocks shorter than `shortest`, but tables, are appended to the block before them in their file."""
     short = (F.length(F.trim("content")) < shortest) & (F.col("kind") != "table")

@@ -108,8 +108,7 @@ def _bucket(token: Column, buckets: int) -> Column:
 class Kept:
     """A written index: postings with their statistics, split into folders by a hash of the token.
 
-    A search joins them with the tokens it asks for, which picks the folders to be read (dynamic partition
-    pruning); texts are not read, and nothing is counted again.
+    A search reads the folders of the tokens it asks for; texts are not read, and nothing is counted again.
 
     words: scope, item_id, token, tf, dl, df (BM25); tokens: scope, item_id, token, w (unit tf-idf weights), idf;
     scopes: scope, n, avgdl; full: token, scope (full text); names: token, scope; files: scope, n_items.
@@ -147,7 +146,13 @@ class Kept:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}")
 
-    def postings(self, name: str, asked: DataFrame) -> DataFrame:
-        """Rows of the asked tokens (a query batch's: broadcast), from their folders only."""
-        wanted = asked.select("token", _bucket(F.col("token"), self.buckets).alias("bucket")).distinct()
-        return self.table(name).join(F.broadcast(wanted), ["bucket", "token"]).drop("bucket")
+    def postings(self, name: str, asked: DataFrame, most: int = 5000) -> DataFrame:
+        """Rows of the asked tokens. Up to `most` of them are written into the plan, so that only their folders are
+        read, and in these the row groups that can hold them; more are joined."""
+        asked = asked.select("token").distinct()
+        some = [r["token"] for r in asked.limit(most + 1).collect()]
+        rows = self.table(name)
+        if len(some) > most:
+            return rows.join(asked, "token").drop("bucket")
+        folders = self.spark.createDataFrame([(t,) for t in some], "token string").select(_bucket(F.col("token"), self.buckets).alias("b")).distinct()
+        return rows.where(F.col("bucket").isin([r["b"] for r in folders.collect()]) & F.col("token").isin(some)).drop("bucket")

@@ -18,7 +18,7 @@ from lodewell.operators import logs as L
 from lodewell.operators import registry as K
 from lodewell.sources import files as S
 
-CODE, LOGS, DOCUMENTS = ("c", "h"), ("log", "txt"), ("md", "docx", "xlsx", "csv")
+CODE, LOGS, DOCUMENTS = ("c", "h"), ("log", "txt"), ("md", "docx", "xlsx", "csv", "pdf")
 
 
 def to_items(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -51,7 +51,8 @@ def document_items(pages: DataFrame) -> DataFrame:
     whole = pages.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n\n").alias("t")).withColumn("t", X.clean(F.col("t")))
     text = C.protocol_blocks(whole, "path", "t")
     tables = pages.select("path", "page", F.posexplode("tables").alias("nth", "rows")).select("path", F.lit("table").alias("kind"), F.concat(F.lit("Table_"), (F.col("page") * 100 + F.col("nth")).cast("string")).alias("name"), C.table_to_markdown(F.col("rows")).alias("content")).where("length(trim(content)) >= 10")
-    both = text.unionByName(tables).withColumn("nth", F.monotonically_increasing_id())
+    pictures = C.image_blocks(S.images(pages)).select("path", "kind", "name", "content")
+    both = text.unionByName(tables).unionByName(pictures).withColumn("nth", F.monotonically_increasing_id())
     kept = D.greedy_blocks(both, "path", "nth")
     named = kept.withColumn("name", X.block_name(F.col("kind"), F.col("content"), F.col("name"), F.col("nth")))
     return to_items(named, id=F.concat_ws(":", "path", F.col("nth").cast("string")), type=F.col("kind"), category=F.lit("protocol"), title=F.coalesce("name", F.lit("Untitled")), content=F.col("content"), source_file=F.col("path"), metadata=F.create_map(F.lit("scene"), X.scene(F.col("content"))))

@@ -33,6 +33,17 @@ class Ocr(Protocol):
     def pages(self, data: bytes) -> list[str]: ...
 
 
+class Vision(Protocol):
+    def table(self, data: bytes, context: str) -> str | None: ...
+
+
+class NoVision:
+    """Takes no picture for a table."""
+
+    def table(self, data: bytes, context: str) -> str | None:
+        return None
+
+
 class HashingEncoder:
     """Unit vectors of hashed words and character trigrams."""
 
@@ -72,7 +83,7 @@ class NoOcr:
         raise NotImplementedError("no OCR service is set up")
 
 
-_FACTORIES: dict[tuple[str, str], Callable[[], object]] = {("encoder", "hashing"): HashingEncoder, ("reranker", "none"): OrderReranker, ("generator", "extractive"): ExtractiveGenerator, ("ocr", "none"): NoOcr}
+_FACTORIES: dict[tuple[str, str], Callable[[], object]] = {("encoder", "hashing"): HashingEncoder, ("reranker", "none"): OrderReranker, ("generator", "extractive"): ExtractiveGenerator, ("ocr", "none"): NoOcr, ("vision", "none"): NoVision}
 
 
 def register(kind: str, name: str, factory: Callable[[], object]) -> None:

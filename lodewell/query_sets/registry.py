@@ -119,11 +119,49 @@ def _(spark, d):
     return KnowledgeBase(_items(spark, d)).stats().withColumn("last_created", F.col("last_created").cast("timestamp_ntz"))
 
 
-@query("file_digests", "select 'kb\\' || source as source_file, md5(string_agg(text, '|' order by doc_id::varchar)) as content_hash, count(*)::int as doc_count from documents group by source")
+@query("file_digests", """
+with h as (select source, md5(doc_id || '|' || text) as h from documents)
+select 'kb\\' || source as source_file, sum(('0x' || substring(h, 1, 15))::bigint::hugeint)::varchar || ':' || sum(('0x' || substring(h, 16, 15))::bigint::hugeint)::varchar as content_hash, count(*)::int as doc_count from h group by source""")
 def _(spark, d):
     return content_hashes(_items(spark, d))
 
 
+def _pdfs(spark, d):
+    """PDF files made of customers: one line of text and a picture on the first page, nothing on the second."""
+    name, key = F.col("c_name"), F.col("c_custkey").cast("string")
+    jpeg = F.concat(F.unhex(F.lit("FFD8FFE000104A464946")), key.cast("binary"), F.unhex(F.lit("FFD9")))
+    head = F.concat(F.lit("%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R 6 0 R] /Count 2 >>\nendobj\n3 0 obj\n<< /Type /Page /Resources << /XObject << /Im0 5 0 R >> >> /Contents 4 0 R >>\nendobj\n6 0 obj\n<< /Type /Page >>\nendobj\n4 0 obj\n<< /Length 99 >>\nstream\nBT /F1 12 Tf (Hello \\(") , name, F.lit("\\)) Tj 0 -14 Td [(ke) -10 (y) -500 ("), key, F.lit(")] TJ ET\nendstream\nendobj\n5 0 obj\n<< /Type /XObject /Subtype /Image /Width 30 /Height 20 /Filter /DCTDecode >>\nstream\n"))
+    data = F.concat(head.cast("binary"), jpeg, F.lit("\nendstream\nendobj\n%%EOF").cast("binary"))
+    return table(spark, d, "customer").select(F.concat(F.lit("p/"), key, F.lit(".pdf")).alias("path"), F.lit("pdf").alias("extension"), data.alias("content"))
+
+
+@query("pdf_pages", "select 'p/' || c_custkey || '.pdf' as path, 1 as page, 'Hello (' || c_name || ')' || chr(10) || 'key ' || c_custkey as text, 1 as n_images from customer")
+def _(spark, d):
+    return S.parse(_pdfs(spark, d)).select("path", "page", "text", F.size("images").alias("n_images"))
+
+
+@query("pdf_images", "select 'p/' || c_custkey || '.pdf' as path, 'jpg' as extension, 30 as width, 20 as height, upper(hex('JFIF' || c_custkey)) as middle from customer")
+def _(spark, d):
+    found = S.images(S.parse(_pdfs(spark, d)))
+    return found.select("path", S.image_extension(F.col("data")).alias("extension"), "width", "height", F.regexp_extract(F.hex("data"), "^FFD8FFE00010(.*)FFD9$", 1).alias("middle"))
+
+
+@query("image_blocks", "select 'p/' || c_custkey || '.pdf' as path, 'image' as kind, 'Image_1' as name, '[来源: PDF page 1]' || chr(10) || '[尺寸30x20]' || chr(10) || '[上下文] Hello (' || c_name || ') key ' || c_custkey as content from customer")
+def _(spark, d):
+    from lodewell.operators import chunk as C
+
+    blocks = C.image_blocks(S.images(S.parse(_pdfs(spark, d))))
+    return blocks.select("path", "kind", "name", F.regexp_replace("content", r"^\[图片文件: \w+_p1_i0\.jpg\]\n", "").alias("content"))
+
+
+@query("parse_fallback", "select 'p/' || c_custkey || '.pdf' as path, case when c_custkey % 3 = 0 then 'cached' else 'pdf' end as tool from customer")
+def _(spark, d):
+    files = _pdfs(spark, d)
+    n = F.regexp_extract("path", r"(\d+)", 1).cast("long")
+    cache = S.parse(files.where(n % 3 == 0)).withColumn("tool", F.lit("cached"))
+    return S.parse_cached(files, cache, "cached", S.default_readers("none")).select("path", "tool")
+
+
 @query("stale_files", "select distinct 'kb\\' || source as source_file from documents where doc_id % 100 = 0 and length(text) > 0")
 def _(spark, d):
     items = _items(spark, d)

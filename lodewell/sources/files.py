@@ -7,6 +7,7 @@ extension in order of priority until one succeeds, and keeps every failure in th
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import json
 import re
@@ -19,7 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodewell import providers
 from lodewell.functions.text import sanitize
+from lodewell.sources import pdf
 
 #: Encodings tried after UTF-8, in order.
 ENCODINGS = ("utf-8", "gb18030", "big5", "shift-jis", "euc-kr")
@@ -98,6 +101,8 @@ def decoded(files: DataFrame) -> DataFrame:
 class Page:
     text: str
     tables: list[list[list[str]]] = field(default_factory=list)
+    images: list[tuple[str, int, int, bytes]] = field(default_factory=list)  # extension, width, height, data
+    number: int | None = None  # where it is not its place among the pages
 
 
 def read_text(data: bytes) -> list[Page]:
@@ -176,6 +181,21 @@ def read_csv(data: bytes) -> list[Page]:
     return [Page("\n".join("\t".join(r) for r in rows), [rows])]
 
 
+def read_pdf(data: bytes) -> list[Page]:
+    """Text and pictures of each page; pages with neither are left out, the others keep their numbers."""
+    sheets = enumerate(pdf.read(data), 1)
+    return [Page(s.text, [], [(x.extension, x.width, x.height, x.data) for x in s.pictures], i) for i, s in sheets if s.text or s.pictures]
+
+
+def ocr_reader(name: str) -> Callable[[bytes], list[Page]]:
+    """A reader that gives the bytes to the OCR service of that name."""
+
+    def read(data: bytes) -> list[Page]:
+        return [Page(text) for text in providers.create("ocr", name).pages(data)]
+
+    return read
+
+
 class Readers:
     """Readers by extension, in order of priority and then of registration."""
 
@@ -206,8 +226,12 @@ class Readers:
         return None, [], "; ".join(errors) or f"no reader for .{extension}"
 
 
-def default_readers() -> Readers:
+def default_readers(ocr: str | None = None) -> Readers:
+    """All readers of this module; with an OCR service, it comes first for PDF files and is the one for pictures."""
     found = Readers()
+    if ocr is not None:
+        found.register("ocr", ocr_reader(ocr), ("pdf", "png", "jpg", "jpeg"), 2)
+    found.register("pdf", read_pdf, ("pdf",), 1)
     found.register("text", read_text, ("txt", "log", "c", "h", "json", "js"))
     found.register("markdown", read_markdown, ("md",), 1)
     found.register("docx", read_docx, ("docx",), 1)
@@ -216,7 +240,7 @@ def default_readers() -> Readers:
     return found
 
 
-PAGES = "path string, success boolean, tool string, error string, page int, text string, tables array<array<array<string>>>"
+PAGES = "path string, md5 string, success boolean, tool string, error string, page int, text string, tables array<array<array<string>>>, images array<struct<extension:string,width:int,height:int,data:binary>>"
 
 
 def parse(files: DataFrame, readers: Readers | None = None) -> DataFrame:
@@ -224,16 +248,36 @@ def parse(files: DataFrame, readers: Readers | None = None) -> DataFrame:
     readers = readers or default_readers()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        names = ["path", "md5", "success", "tool", "error", "page", "text", "tables", "images"]
+        for pdf_ in batches:
             rows = []
-            for path, ext, data in zip(pdf["path"], pdf["extension"], pdf["content"], strict=True):
-                tool, pages, error = readers.execute(ext, bytes(data))
-                rows += [(path, True, tool, None, i, p.text, p.tables) for i, p in enumerate(pages, 1)] if tool else [(path, False, None, error, None, None, None)]
-            yield pd.DataFrame(rows, columns=["path", "success", "tool", "error", "page", "text", "tables"]).astype({"page": "Int32"})
+            for path, ext, data in zip(pdf_["path"], pdf_["extension"], pdf_["content"], strict=True):
+                data = bytes(data or b"")
+                digest = hashlib.md5(data).hexdigest()
+                tool, pages, error = readers.execute(ext, data)
+                shown = lambda p: [dict(zip(("extension", "width", "height", "data"), x, strict=True)) for x in p.images]
+                rows += [(path, digest, True, tool, None, p.number or i, p.text, p.tables, shown(p)) for i, p in enumerate(pages, 1)] if tool else [(path, digest, False, None, error, None, None, None, None)]
+            yield pd.DataFrame(rows, columns=names).astype({"page": "Int32"})
 
     return files.select("path", "extension", "content").mapInPandas(run, PAGES)
 
 
+def parse_cached(files: DataFrame, cache: DataFrame, tool: str, readers: Readers | None = None) -> DataFrame:
+    """parse, with the pages of an earlier parse by this tool for files of the same content (cache: as parse gives them)."""
+    known = cache.where((F.col("tool") == tool) & F.col("success"))
+    hashed = files.withColumn("md5", F.md5("content"))
+    pages = [c.split()[0] for c in PAGES.split(", ")]
+    old = hashed.select("path", "md5").join(known.drop("path").dropDuplicates(["md5", "page"]), "md5").select(*pages)
+    return old.unionByName(parse(hashed.join(known.select("md5").distinct(), "md5", "left_anti").select("path", "extension", "content"), readers))
+
+
+def images(pages: DataFrame) -> DataFrame:
+    """(path, page, nth, name, extension, width, height, data, text) of all pictures in parsed pages, named by the file's digest."""
+    rows = pages.where("success").select("path", "md5", "page", "text", F.posexplode("images").alias("nth", "x"))
+    name = F.concat("md5", F.lit("_p"), F.col("page").cast("string"), F.lit("_i"), F.col("nth").cast("string"), F.lit("."), F.col("x.extension"))
+    return rows.select("path", "page", "nth", name.alias("name"), "x.extension", "x.width", "x.height", "x.data", "text")
+
+
 def complexity(pages: DataFrame, first: int = 5) -> DataFrame:
     """(path, n_tables, n_images, n_chars, is_complex, recommendation) from the first pages of each file.
 

@@ -1,0 +1,200 @@
+"""A small PDF reader: the text and the pictures of each page, for files without encryption.
+
+Objects are found by their marks, in object streams too, so a broken cross-reference table does no harm. Text is what the
+content streams show, in their order; strings are read by the font's ToUnicode map where there is one, else as
+Latin-1. Pictures are JPEG and JPEG 2000 streams as they are, and 8-bit grey and RGB samples as PNG.
+"""
+
+from __future__ import annotations
+
+import re
+import struct
+import zlib
+from dataclasses import dataclass, field
+
+_OBJECT = re.compile(rb"(?<!\d)(\d+)\s+\d+\s+obj\b(.*?)\bendobj\b", re.S)
+_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
+_REF = re.compile(rb"(\d+)\s+\d+\s+R\b")
+_TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/<>\[\]()]+|[-+]?\d*\.?\d+|[A-Za-z'\"*]+", re.S)
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+@dataclass
+class Picture:
+    data: bytes
+    extension: str
+    width: int
+    height: int
+
+
+@dataclass
+class Sheet:
+    text: str
+    pictures: list[Picture] = field(default_factory=list)
+
+
+def _filters(head: bytes) -> list[bytes]:
+    found = re.search(rb"/Filter\s*(\[[^\]]*\]|/\w+)", head)
+    return re.findall(rb"/(\w+)", found[1]) if found else []
+
+
+def _stream(body: bytes) -> tuple[bytes, bytes]:
+    """(what stands before the stream, its bytes as stored)."""
+    m = _STREAM.search(body)
+    return (body[: m.start()], m[1]) if m else (body, b"")
+
+
+def _inflated(body: bytes) -> bytes:
+    head, data = _stream(body)
+    for name in _filters(head):
+        if name != b"FlateDecode":
+            return b""
+        data = zlib.decompressobj().decompress(data)
+    return data
+
+
+def _objects(data: bytes) -> dict[int, bytes]:
+    found = {int(m[1]): m[2] for m in _OBJECT.finditer(data)}
+    for body in list(found.values()):
+        if b"/ObjStm" not in body:
+            continue
+        head, inner = _stream(body)[0], _inflated(body)
+        first, n = (int(re.search(rb"/%s\s+(\d+)" % k, head)[1]) for k in (b"First", b"N"))
+        numbers = list(map(int, inner[:first].split()))[: 2 * n]
+        for k in range(0, len(numbers), 2):
+            end = numbers[k + 3] if k + 3 < len(numbers) else len(inner) - first
+            found.setdefault(numbers[k], inner[first + numbers[k + 1] : first + end])
+    return found
+
+
+def _value(body: bytes, name: bytes, objects: dict[int, bytes]) -> bytes:
+    """The dictionary or reference behind a name, resolved once."""
+    m = re.search(rb"/" + name + rb"\b\s*", body)
+    if not m:
+        return b""
+    if ref := _REF.match(body, m.end()):
+        return objects.get(int(ref[1]), b"")
+    if body[m.end() : m.end() + 2] != b"<<":
+        return body[m.end() :].split(b"/")[0]
+    depth = 0
+    for x in re.compile(rb"<<|>>").finditer(body, m.end()):
+        depth += 1 if x[0] == b"<<" else -1
+        if not depth:
+            return body[m.end() : x.end()]
+    return body[m.end() :]
+
+
+def _pages(objects: dict[int, bytes]) -> list[int]:
+    """Page objects in the order of the page tree; in that of the file if there is no tree."""
+    is_page = {k for k, v in objects.items() if re.search(rb"/Type\s*/Page(?!s)\b", v)}
+    order: list[int] = []
+
+    def walk(k: int, seen: frozenset) -> None:
+        if k in is_page:
+            order.append(k)
+        elif k in objects and k not in seen and (kids := re.search(rb"/Kids\s*\[([^\]]*)\]", objects[k])):
+            for ref in _REF.finditer(kids[1]):
+                walk(int(ref[1]), seen | {k})
+
+    for body in objects.values():
+        if re.search(rb"/Type\s*/Catalog\b", body) and (root := re.search(rb"/Pages\s+(\d+)", body)):
+            walk(int(root[1]), frozenset())
+    return order or sorted(is_page)
+
+
+def _maps(fonts: bytes, objects: dict[int, bytes]) -> dict[bytes, dict[int, str]]:
+    """For each font name its map from codes to text."""
+    out = {}
+    for name, ref in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", fonts):
+        table: dict[int, str] = {}
+        text = _inflated(_value(objects.get(int(ref), b""), b"ToUnicode", objects))
+        read = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+        for part in re.findall(rb"beginbfchar(.*?)endbfchar", text, re.S):
+            table |= {int(a, 16): read(b) for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part)}
+        for part in re.findall(rb"beginbfrange(.*?)endbfrange", text, re.S):
+            for a, b, c in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part):
+                table |= {k: chr(ord(read(c)[0]) + k - int(a, 16)) for k in range(int(a, 16), min(int(b, 16), int(a, 16) + 0xFFFF) + 1)}
+        out[name] = table
+    return out
+
+
+def _string(token: bytes, table: dict[int, str]) -> str:
+    if token[:1] == b"<":
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        raw = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() and m[1][:1] < b"8" else b"" if m[1].strip() == b"" else _ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.S)
+    if not table:
+        return raw.decode("utf-16", "replace") if raw[:2] in (b"\xfe\xff", b"\xff\xfe") else raw.decode("latin-1")
+    width = 2 if max(table) > 255 or token[:1] == b"<" and len(raw) % 2 == 0 and not any(k in table for k in raw) else 1
+    return "".join(table.get(int.from_bytes(raw[i : i + width], "big"), "") for i in range(0, len(raw), width))
+
+
+def shown_text(content: bytes, maps: dict[bytes, dict[int, str]]) -> str:
+    """The text that a content stream shows; moves to another line begin a new one, wide gaps are blanks."""
+    out: list[str] = []
+    args: list[bytes] = []
+    table: dict[int, str] = {}
+    for m in _TOKEN.finditer(content):
+        t = m[0]
+        if t[:1] in b"(</[]" or t[:1] in b"+-.0123456789":
+            args.append(t)
+            continue
+        if t == b"Tf":
+            table = next((maps[a[1:]] for a in args if a[:1] == b"/" and a[1:] in maps), {})
+        elif t in (b"T*", b"'", b'"', b"Tm") or t in (b"Td", b"TD") and args and float(args[-1]) != 0:
+            out.append("\n")
+        if t in (b"Tj", b"'", b'"', b"TJ"):
+            for a in args:
+                if a[:1] in b"(<":
+                    out.append(_string(a, table))
+                elif t == b"TJ" and a[:1] in b"+-.0123456789" and float(a) < -200:
+                    out.append(" ")
+        elif t == b"ET":
+            out.append("\n")
+        args = []
+    lines = (re.sub(r"[ \t]+", " ", x).strip() for x in "".join(out).split("\n"))
+    return "\n".join(x for x in lines if x)
+
+
+def _png(samples: bytes, width: int, height: int, channels: int) -> bytes:
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    step = width * channels
+    rows = b"".join(b"\0" + samples[i * step : (i + 1) * step] for i in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2 if channels == 3 else 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def _picture(body: bytes) -> Picture | None:
+    head, data = _stream(body)
+    if not re.search(rb"/Subtype\s*/Image\b", head):
+        return None
+    number = lambda k: int(m[1]) if (m := re.search(rb"/%s\s+(\d+)" % k, head)) else 0
+    width, height, names = number(b"Width"), number(b"Height"), _filters(head)
+    if names[-1:] == [b"DCTDecode"] or names[-1:] == [b"JPXDecode"]:
+        for _ in names[:-1]:
+            data = zlib.decompressobj().decompress(data)
+        return Picture(data, "jpg" if names[-1] == b"DCTDecode" else "jp2", width, height)
+    channels = 3 if b"/DeviceRGB" in head else 1 if b"/DeviceGray" in head else 0
+    if not channels or number(b"BitsPerComponent") != 8 or b"/Predictor" in head or set(names) - {b"FlateDecode"}:
+        return None
+    samples = _inflated(body)
+    return Picture(_png(samples, width, height, channels), "png", width, height) if len(samples) >= width * height * channels else None
+
+
+def read(data: bytes) -> list[Sheet]:
+    """All pages in order."""
+    if not data.lstrip()[:5] == b"%PDF-":
+        raise ValueError("not a PDF file")
+    if re.search(rb"/Encrypt\s+\d+", data):
+        raise ValueError("the PDF file is encrypted")
+    objects, out = _objects(data), []
+    for k in _pages(objects):
+        body = objects[k]
+        resources = _value(body, b"Resources", objects)
+        found = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
+        content = b"\n".join(_inflated(objects.get(int(ref[1]), b"")) for ref in _REF.finditer(found[1])) if found else b""
+        pictures = [p for ref in _REF.finditer(_value(resources, b"XObject", objects)) if (p := _picture(objects.get(int(ref[1]), b"")))]
+        out.append(Sheet(shown_text(content, _maps(_value(resources, b"Font", objects), objects)), pictures))
+    if not out:
+        raise ValueError("the PDF file has no pages")
+    return out

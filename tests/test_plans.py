@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodewell import catalog
 from lodewell.functions import text as X
+from lodewell.functions import tokens as T
 from lodewell.operators import chunk as C
 from lodewell.operators import graph as G
 from lodewell.operators import rank as R
@@ -40,6 +41,33 @@ def test_built_in_queries_run_no_python(spark, name):
     assert not re.search("Python|Pandas|Arrow", plan(catalog.queries()[name](spark, D)))
 
 
+def test_a_kept_index_reads_the_folders_of_the_asked_tokens(spark):
+    from lodewell.operators import index as I
+
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    rows = I.items(docs, F.col("doc_id"), F.col("source"), F.col("text"))
+    kept = I.Kept.build(rows, R.name_tokens(docs.select(F.col("source").alias("scope"), F.col("source").alias("names"))), buckets=8)
+    asked = spark.createDataFrame([("the",), ("of",)], "token string")
+    hits = kept.postings("words", asked)
+    assert re.search(r"PartitionFilters: \[isnotnull\(bucket#\d+\), bucket#\d+ IN|PartitionFilters: \[bucket#\d+ IN", plan(hits)) and "In(token, [" in plan(hits) and {r.token for r in hits.select("token").distinct().collect()} == {"the", "of"}
+    assert kept.postings("words", asked, most=1).count() == hits.count()
+    whole = I.term_frequencies(rows, T.bm25_tokens)
+    assert hits.count() == whole.where("token in ('the', 'of')").count()
+    queries = spark.createDataFrame([(1, "the of"), (2, "nothing_here_at_all"), (3, "src1")], "query_id int, query string")
+    items = docs.select(F.col("doc_id").alias("item_id"), "source", F.lit("t").alias("title"), "text", F.lit("x").alias("type"), F.lit(None).cast("string").alias("scene"), F.lit(None).cast("string").alias("subsystem"))
+    found = R.search(kept, items, queries, 3)
+    assert {r.query_id for r in found.collect()} >= {1}
+
+
+def test_vocabulary_takes_the_best_of_each_bucket_first(spark):
+    from lodewell.operators import index as I
+
+    tf = I.term_frequencies(I.items(spark.read.parquet(f"{D}/documents.parquet"), F.col("doc_id"), F.col("source"), F.col("text")))
+    plain = I.vocabulary(tf, 50, buckets=1).select("scope", "token", "rank").collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, I.vocabulary(tf, 50, buckets=7).select("scope", "token", "rank").collect()))
+    assert plan(I.vocabulary(tf, 50)).count("WindowGroupLimit") >= 2
+
+
 def test_disjunctive_and_band_joins_are_equi_joins(spark):
     e = spark.read.parquet(f"{D}/lineitem.parquet").select(F.col("l_partkey").cast("string").alias("from_node"), F.col("l_suppkey").cast("string").alias("to_node"), F.lit("calls").alias("edge_type"))
     assert "NestedLoop" not in plan(G.node_edges(e.select(F.col("from_node").alias("id")).distinct(), e)) and "Cartesian" not in plan(catalog.queries()["proximity_join"](spark, D))

@@ -156,3 +156,73 @@ def test_oracles_agree(spark):
         assert sorted(df.columns) == sorted(o.columns), name
         a, b = shape(df.columns, [tuple(r) for r in df.collect()]), shape(o.columns, [tuple(float(x) if type(x).__name__ == "Decimal" else x for x in r) for r in o.fetchall()])
         assert a == b, name
+
+
+def a_pdf():
+    """Two pages out of file order, one content stream packed, text by a font's map, a grey picture and a JPEG."""
+    import zlib
+
+    content = b"BT /F1 9 Tf <00410042> Tj 0 -12 Td /F2 9 Tf (plain \\(x\\) \\101\\\nB) ' ET"
+    cmap = b"1 beginbfchar <0041> <4E2D> endbfchar 1 beginbfrange <0042> <0043> <6587> endbfrange"
+    parts = [
+        b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj",
+        b"2 0 obj << /Type /Pages /Kids [ 7 0 R 3 0 R ] /Count 2 >> endobj",
+        b"3 0 obj << /Type /Page /Contents [4 0 R] /Resources 9 0 R >> endobj",
+        b"4 0 obj << /Filter /FlateDecode >> stream\n" + zlib.compress(content) + b"\nendstream endobj",
+        b"5 0 obj << /Subtype /Image /Width 2 /Height 2 /ColorSpace /DeviceGray /BitsPerComponent 8 /Filter /FlateDecode >> stream\n" + zlib.compress(b"\x00\x40\x80\xff") + b"\nendstream endobj",
+        b"6 0 obj << /Subtype /Image /Width 7 /Height 8 /Filter [/FlateDecode /DCTDecode] >> stream\n" + zlib.compress(b"\xff\xd8jpeg\xff\xd9") + b"\nendstream endobj",
+        b"7 0 obj << /Type /Page /Contents 8 0 R >> endobj",
+        b"8 0 obj << >> stream\nBT (first) Tj ET\nendstream endobj",
+        b"11 0 obj << /Filter /FlateDecode >> stream\n" + zlib.compress(cmap) + b"\nendstream endobj",
+    ]
+    inner = b"<< /XObject << /A 5 0 R /B 6 0 R >> /Font << /F1 10 0 R >> >> << /ToUnicode 11 0 R >>"
+    head = b"9 0 10 %d " % inner.index(b"<< /ToUnicode")
+    parts.append(b"12 0 obj << /Type /ObjStm /N 2 /First %d /Filter /FlateDecode >> stream\n" % len(head) + zlib.compress(head + inner) + b"\nendstream endobj")
+    return b"%PDF-1.5\n" + b"\n".join(parts) + b"\n%%EOF"
+
+
+def test_pdf_pages_in_tree_order_with_text_and_pictures():
+    from lodewell.sources import pdf
+
+    first, second = pdf.read(a_pdf())
+    assert first.text == "first" and not first.pictures
+    assert second.text == "中文\nplain (x) AB"
+    grey, jpeg = second.pictures
+    assert (grey.extension, grey.width, grey.height) == ("png", 2, 2) and grey.data.startswith(b"\x89PNG") and grey.data.endswith(b"IEND\xaeB`\x82")
+    assert (jpeg.extension, jpeg.width, jpeg.height, jpeg.data) == ("jpg", 7, 8, b"\xff\xd8jpeg\xff\xd9")
+    for bad in (b"", b"text", b"%PDF-1.4\n", a_pdf() + b"/Encrypt 5 0 R"):
+        with pytest.raises(ValueError):
+            pdf.read(bad)
+
+
+def test_ocr_comes_first_and_falls_back(spark):
+    from lodewell import providers
+
+    class Words:
+        def pages(self, data):
+            if b"first" not in data:
+                raise ValueError("nothing to see")
+            return ["seen"]
+
+    providers.register("ocr", "words", Words)
+    readers = S.default_readers("words")
+    assert readers.execute("pdf", a_pdf())[0] == "ocr" and readers.execute("png", b"first")[1][0].text == "seen"
+    assert readers.execute("pdf", a_pdf().replace(b"first", b"third"))[0] == "pdf" and readers.execute("pdf", b"x")[0] is None
+    files = spark.createDataFrame([("a.pdf", "pdf", bytearray(a_pdf()))], "path string, extension string, content binary")
+    pages = S.parse(files)
+    assert [(r.page, r.text[:5]) for r in pages.orderBy("page").collect()] == [(1, "first"), (2, "中文\npl")]
+    names = [r.name for r in S.images(pages).orderBy("nth").collect()]
+    assert [n[32:] for n in names] == ["_p2_i0.png", "_p2_i1.jpg"]
+    again = S.parse_cached(files.withColumn("path", F.lit("b.pdf")), pages, "pdf", S.Readers())
+    assert {r.path for r in again.collect()} == {"b.pdf"} and again.count() == 2
+
+
+def test_pictures_become_blocks(spark):
+    from lodewell import providers
+    from lodewell.operators import chunk as C
+
+    assert providers.create("vision", "none").table(b"t", "") is None
+    rows = [("f", 1, i, f"n{i}", 10, 20 if i else None, bytearray(b"t" if i in (1, 11) else b"x"), "one\n\n two \n使用 x") for i in range(12)]
+    images = spark.createDataFrame(rows, "path string, page int, nth int, name string, width int, height int, data binary, text string")
+    plain = {r.name: r for r in C.image_blocks(images).collect()}
+    assert len(plain) == 12 and plain["Image_2"].content == "[图片文件: n1]\n[来源: PDF page 1]\n[尺寸10x20]\n[上下文] one two 使用 x" and plain["Image_1"].scene == "使用 x"
