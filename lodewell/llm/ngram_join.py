@@ -62,7 +62,7 @@ GROUP = 512
 GROUP_SHINGLES = 1 << 20
 SLICE = 4096
 #: Documents of a token beyond which it is counted last.
-HOT = 256
+HOT = 32
 
 
 def shingle_set(text: str | None, p: Params) -> np.ndarray:
@@ -304,21 +304,23 @@ def groups(shared: DataFrame, feats: DataFrame) -> DataFrame:
 def open_units(shared: DataFrame, marked: DataFrame) -> DataFrame:
     """(doc_id, unit): the units that a document must ask, by its tokens in them.
 
-    marked: doc_id, unit, size (of the unit), class, even, odd. Documents that have need of hot tokens are `deep`;
-    hot tokens join these with each other only.
+    marked: doc_id, unit, size (of the unit), class, even, odd. No token of a document that is not deep has more than
+    HOT rows, so the rows that meet grow with the tokens.
     """
     hot = shared.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("token", F.lit(True).alias("hot"))
     hot = materialize(hot, "hot")
     is_odd = F.col("token").bitwiseAND(F.lit(1)) == 1
     rows = shared.select("doc_id", "token").join(F.broadcast(hot) if hot.count() <= skew.BROADCAST_ROWS else hot, "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     lost = rows.where("hot").groupBy("doc_id").agg(F.count_if(~is_odd).alias("lost_even"), F.count_if(is_odd).alias("lost_odd"))
-    zero = F.lit(0)
-    needs = marked.join(lost, "doc_id", "left").withColumn("even", F.col("even") - F.coalesce("lost_even", zero)).withColumn("odd", F.col("odd") - F.coalesce("lost_odd", zero))
-    rows = rows.join(needs.drop("lost_even", "lost_odd"), "doc_id").withColumn("need", F.when(is_odd, F.col("odd")).otherwise(F.col("even")))
-    rows = rows.where(~F.col("hot") | (F.col("need") < 1)).drop("even", "odd")
-    matrix = rows.groupBy("token", "unit").agg(F.first("size").alias("of"), F.min("class").alias("low"), F.max("class").alias("high")).withColumnRenamed("unit", "other")
-    met = rows.join(matrix, "token").where((F.struct("size", "unit") < F.struct(F.col("of").alias("size"), F.col("other").alias("unit"))) & ((F.col("low") != F.col("class")) | (F.col("high") != F.col("class"))))
-    counts = met.groupBy("doc_id", "other", is_odd.alias("is_odd")).agg(F.count("*").alias("c"), F.first("need").alias("need"))
+    less = lambda k: F.col(k) - F.coalesce(f"lost_{k}", F.lit(0))
+    needs = marked.join(lost, "doc_id", "left").withColumn("deep", (less("even") < 1) | (less("odd") < 1))
+    needs = needs.select("doc_id", "unit", "size", "class", "deep", *[F.when(F.col("deep"), F.col(k)).otherwise(less(k)).alias(k) for k in ("even", "odd")])
+    rows = rows.join(needs, "doc_id").where("deep or not hot").withColumn("need", F.when(is_odd, F.col("odd")).otherwise(F.col("even"))).drop("even", "odd", "hot")
+    matrix = rows.groupBy("token", "unit", "deep").agg(F.first("size").alias("of"), F.min("class").alias("low"), F.max("class").alias("high")).withColumnsRenamed({"unit": "other", "deep": "other_deep"})
+    smaller = F.struct("size", "unit") < F.struct(F.col("of").alias("size"), F.col("other").alias("unit"))
+    asks = F.when(F.col("deep") == F.col("other_deep"), smaller).otherwise(~F.col("deep") & (F.col("unit") != F.col("other")))
+    met = rows.join(matrix, "token").where(asks & ((F.col("low") != F.col("class")) | (F.col("high") != F.col("class"))))
+    counts = met.groupBy("doc_id", "other", "other_deep", is_odd.alias("is_odd")).agg(F.count("*").alias("c"), F.first("need").alias("need"))
     return counts.where(F.col("c") >= F.col("need")).select("doc_id", F.col("other").alias("unit")).distinct()
 
 
