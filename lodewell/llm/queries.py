@@ -110,6 +110,49 @@ from p left join k on p.d = k.d
 """,
 }
 
+def _little(n: str) -> str:
+    """The four bytes of a number, lowest first, in hex."""
+    return " || ".join(f"format('{{:02x}}', ({n}) >> {8 * k} & 255)" for k in range(4))
+
+
+def _crc_table() -> list[int]:
+    """What a byte does to a CRC-32, by its rule."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+ORACLES["op8_signature_sniffing"] = f"""
+with t as (select doc_id, encode(coalesce(text, '')) as b from documents),
+p as (select doc_id, octet_length(b) as n, greatest(1, (octet_length(b) + {media.UNIT - 1}) // {media.UNIT}) * {media.UNIT} as m, hex(b) as h from t),
+q as (select doc_id, n, m, unhex(h || repeat('ff', m - n)) as payload, h || repeat('FF', m - n) as h from p),
+r as (select *, unhex('52494646' || {_little("36 + m")} || '57415645666d74201000000001000100' || {_little(str(media.RATE))} || {_little(str(media.RATE))} || '0100080064617461' || {_little("m")} || h) as media,
+  list_transform(range(32), lambda i: ('0x' || substring(right(h, 64), 2 * i + 1, 2))::ubigint) as tail from q)
+select doc_id, n::bigint as n_bytes, m::bigint as payload_bytes, sha256(payload) as payload_sha256,
+  xor(list_reduce(list_concat([4294967295::ubigint], tail), lambda a, b: xor(a >> 8, ({_crc_table()}::ubigint[])[(xor(a, b) & 255)::int + 1])), 4294967295::ubigint)::bigint as tail_crc32,
+  (44 + m)::bigint as media_bytes, sha256(media) as media_sha256, 'declared=application/octet-stream|type=audio/wav|corrected=1|samples=' || m || '|carved=' as feature from r
+"""
+
+_RING = ring.Ring()
+ORACLES["op9_hash_ring"] = f"""
+with recursive t as (select doc_id, encode(coalesce(text, '')) as b from documents),
+d as (select doc_id, (octet_length(b) + 8)::bigint as size, ('0x' || substring(md5(doc_id::varchar), 1, 15))::bigint as place,
+  xor(list_reduce(list_concat([4294967295::ubigint], list_transform(range(octet_length(b)), lambda i: ('0x' || substring(hex(b), 2 * i::int + 1, 2))::ubigint)), lambda a, c: xor(a >> 8, ({_crc_table()}::ubigint[])[(xor(a, c) & 255)::int + 1])), 4294967295::ubigint)::bigint as crc from t),
+spots as (select ('0x' || substring(md5(s || '/' || v), 1, 15))::bigint as p, s from range({_RING.shards}) x(s), range({_RING.vnodes}) y(v)),
+own as (select list(s order by p, s) as o, (select count(*) from d) as n from spots),
+r as (select *, (select count(*) from spots where p < place) % {_RING.shards * _RING.vnodes} as arc from d),
+r2 as (select *, row_number() over (order by arc, place, doc_id, size, crc) as i from r),
+walk as (
+  select 0::bigint as i, list_transform(range({_RING.shards}), lambda s: 0::bigint) as loads, null::bigint as shard, null::bigint as slot
+  union all
+  select i, list_transform(loads, lambda x, k: x + case when k = s + 1 then 1 else 0 end), s, loads[s + 1] from (
+    select r2.i, loads, list_filter(list_concat(o[arc + 1:], o[:arc]), lambda s: loads[s + 1] < n // {_RING.shards} + case when s < n % {_RING.shards} then 1 else 0 end)[1] as s from walk join r2 on r2.i = walk.i + 1, own))
+select doc_id, size, crc as text_crc32, 'rows' as law, shard::int as shard, slot, null::int as grown_shard from r2 join walk using (i)
+"""
+
 _KINDS = ((secrets.ASSIGN.replace("\\\"", '"'), 0), (secrets.ACCESS, 1), (secrets.HEX, 2), (secrets.CANDIDATE, 3))
 _ASSIGN = _KINDS[0][0].replace("'", "''")
 _FOUND = " union all ".join(f"select doc_id, {k} as kind, regexp_extract_all(t, '{p}') as ms, string_split_regex(t, '{p}') as gs from t" for p, k in ((p.replace("'", "''"), k) for p, k in _KINDS))

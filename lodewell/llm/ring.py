@@ -1,6 +1,6 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads.
 
-Every shard has `vnodes` places on a ring of 63-bit hashes; a key belongs to the first place clockwise.
+Every shard has `vnodes` places on a ring of 60-bit hashes (the head of an md5); a key belongs to the first place clockwise.
 Loads are bounded by quotas that differ by one row at most (`balance` 1.0), or by `balance` times
 the mean. Arcs are taken clockwise; rows that overflow a full shard continue clockwise to the next shard
 with room. Because an arc's rows are in ring order, the overflow is decided on row counts of arcs alone: a
@@ -38,7 +38,7 @@ class Ring:
 
 def places(shards: int, vnodes: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted ring positions of all virtual nodes, and their shards."""
-    found = sorted((int.from_bytes(hashlib.blake2b(f"{s}/{v}".encode(), digest_size=8).digest(), "big") >> 1, s) for s in range(shards) for v in range(vnodes))
+    found = sorted((int(hashlib.md5(f"{s}/{v}".encode()).hexdigest()[:15], 16), s) for s in range(shards) for v in range(vnodes))
     return np.array([p for p, _ in found], np.int64), np.array([s for _, s in found], np.int32)
 
 
@@ -71,7 +71,9 @@ def shard_rows(docs: DataFrame, ring: Ring = Ring()) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (gapless from 0 in each shard) for every row."""
     spark = docs.sparkSession
     data = F.col("text").cast("string").cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(data), F.lit(0)) + 8).cast("long").alias("size"), F.coalesce(F.crc32(data), F.lit(0)).cast("long").alias("text_crc32"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"))), F.xxhash64(data)).bitwiseAND(F.lit((1 << 63) - 1)).alias("at"))
+    name = F.coalesce(F.col("doc_id").cast("long").cast("string").cast("binary"), data, F.lit("").cast("binary"))
+    at = F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(data), F.lit(0)) + 8).cast("long").alias("size"), F.coalesce(F.crc32(data), F.lit(0)).cast("long").alias("text_crc32"), at.alias("at"))
     n = docs.count()
     vnodes = min(ring.max_vnodes, max(ring.vnodes, ceil(n / (ring.shards * ring.arc_rows))))
     shards = ring.shards
