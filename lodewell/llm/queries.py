@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewell.llm import bpe, flat_graph, language_id, media, ngram_join, packing, ring, secrets, substring_dedup, warc
+from lodewell.llm import bpe, flat_graph, importance, language_id, media, ngram_join, packing, periodic, ring, secrets, sentence_pieces, substring_dedup, warc
 from lodewell.plans.storage import table
 
 
@@ -59,6 +59,18 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode_documents(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model")[0], digests=True)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_substring_dedup, op2_language_id, op3_embedding_near_dedup, op4_warc_writer, op5_secret_scan, op6_packing, op7_byte_bpe, op8_signature_sniffing, op9_hash_ring, op10_ngram_jaccard_join, pipeline)
+    ops = (op1_substring_dedup, op2_language_id, op3_embedding_near_dedup, op4_warc_writer, op5_secret_scan, op6_packing, op7_byte_bpe, op8_signature_sniffing, op9_hash_ring, op10_ngram_jaccard_join, op11_periodic_runs, op12_sentencepiece, op13_importance_resampling, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -153,6 +165,44 @@ walk as (
 select doc_id, size, crc as text_crc32, 'rows' as law, shard::int as shard, slot, null::int as grown_shard from r2 join walk using (i)
 """
 
+_RUN = periodic.Params()
+ORACLES["op11_periodic_runs"] = rf"""
+with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, encode(doc_id::varchar) as e from documents),
+c as (select doc_id, w, len(w) as n, xor(list_reduce(list_concat([4294967295::ubigint], list_transform(range(octet_length(e)), lambda i: ('0x' || substring(hex(e), 2 * i::int + 1, 2))::ubigint)), lambda x, y: xor(x >> 8, ({_crc_table()}::ubigint[])[(xor(x, y) & 255)::int + 1])), 4294967295::ubigint)::bigint as h from t),
+a as (select doc_id, w, n, case when h % 10 = 0 and n > 0 then (h // 10) % n end as a, h // 10 as g from c),
+p as (select doc_id, n, case when a is null then w else list_concat(w[:a], list_transform(range(a, n), lambda i: w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1])) end as w from a),
+u as (select doc_id, n, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from p),
+pairs as (select x.doc_id, x.i, y.i - x.i as q from u x join u y on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i and {_RUN.min_periods} * (y.i - x.i) <= x.n),
+isles as (select doc_id, q, min(i) as s, count(*) + q as l from (select *, i - row_number() over (partition by doc_id, q order by i) as isle from pairs) group by doc_id, q, isle having count(*) + q >= greatest({_RUN.min_words}, {_RUN.min_periods} * q)),
+runs as (select doc_id, s, l, min(q) as q from isles group by all),
+best as (select doc_id, count(*) over (partition by doc_id) as n_runs, s, l, q, row_number() over (partition by doc_id order by l / q desc, s, q) as k from runs),
+texts as (select doc_id, string_agg(word, ' ' order by i) as kept from u where not exists (select 1 from runs r where r.doc_id = u.doc_id and u.i >= r.s + r.q and u.i < r.s + r.l) group by doc_id),
+lists as (select doc_id, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) as listed from runs group by doc_id)
+select t.doc_id, coalesce(n_runs, 0)::bigint as n_runs, s::bigint as start, l::bigint as length, q::bigint as period, (1000 * l // q)::bigint as exponent_milli,
+  sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+from t left join (select * from best where k = 1) b using (doc_id) left join lists using (doc_id) left join texts using (doc_id)
+"""
+
+_SPARSE = importance.Params()
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op13_importance_resampling"] = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+a as (select doc_id, w, count(*) as n from (select doc_id, unnest(w) as w from d) group by all),
+b as (select w, count(*) as n from (select unnest({_WORDS}) as w from benchmark) group by all),
+v as (select w, encode(w) as e from (select w from a union select w from b)),
+c as (select w, (xor(list_reduce(list_concat([4294967295::ubigint], list_transform(range(octet_length(e)), lambda i: ('0x' || substring(hex(e), 2 * i::int + 1, 2))::ubigint)), lambda x, y: xor(x >> 8, ({_crc_table()}::ubigint[])[(xor(x, y) & 255)::int + 1])), 4294967295::ubigint) % {_SPARSE.buckets})::int as k from v),
+s as (select k, sum(n)::double as s from a join c using (w) group by k),
+t as (select k, sum(n)::double as t from b join c using (w) group by k),
+tot as (select coalesce((select sum(s) from s), 0) as ss, coalesce((select sum(t) from t), 0) as tt),
+g as (select k, floor(1000 * ln((coalesce(t, 0) + 1) * (ss + {_SPARSE.buckets}) / ((coalesce(s, 0) + 1) * (tt + {_SPARSE.buckets}))))::bigint as g from s full join t using (k), tot),
+m as (select doc_id, sum(n * g) as g, sum(n)::bigint as n from a join c using (w) join g using (k) group by doc_id),
+f as (select d.doc_id, coalesce(n, 0)::bigint as n, len(d.w) as words, case when n > 0 then floor(m.g::double / n)::bigint else 0 end as weight,
+  ('0x' || substring(sha256('{_SPARSE.seed}:' || d.doc_id), 1, 8))::ubigint::double as h from d left join m using (doc_id)),
+r as (select *, (weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0))))::bigint as score from f),
+p as (select doc_id, row_number() over (order by score desc, doc_id) as i, count(*) over () as n from r where words >= {_SPARSE.min_words})
+select r.doc_id, r.n as n_features, weight, score, case when i <= p.n * {_SPARSE.share[0]} // {_SPARSE.share[1]} then i end as rank from r left join p using (doc_id)
+"""
+
 _KINDS = ((secrets.ASSIGN.replace("\\\"", '"'), 0), (secrets.ACCESS, 1), (secrets.HEX, 2), (secrets.CANDIDATE, 3))
 _ASSIGN = _KINDS[0][0].replace("'", "''")
 _FOUND = " union all ".join(f"select doc_id, {k} as kind, regexp_extract_all(t, '{p}') as ms, string_split_regex(t, '{p}') as gs from t" for p, k in ((p.replace("'", "''"), k) for p, k in _KINDS))
