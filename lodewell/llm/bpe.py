@@ -2,7 +2,9 @@
 
 Long texts are cut where no match of the pattern can cross: before white space that follows a
 character other than white space. Every part is then encoded alone, so memory is bounded by the part,
-and the ids are those of the whole text. Decoding joins raw bytes, never characters, since a token may
+and the ids are those of the whole text. Very long runs of white space, on which a matcher with look-ahead
+runs out of stack, are taken out first: all of such a run but its last character before a word is one match of the
+pattern (checked for the pattern given), and goes to the merges without the matcher. Decoding joins raw bytes, never characters, since a token may
 end within one. Null text counts as empty: no ids. An unpaired surrogate cannot occur in Spark strings.
 """
 
@@ -13,6 +15,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +25,12 @@ from lodewell.plans.storage import small_batches
 
 #: Characters after which the next safe boundary is looked for.
 PART = 1 << 18
-_BOUNDARY = re.compile(r"(?<=\S)(?=\s)")
+#: White space as tiktoken's patterns have it (the Unicode property; \x1c to \x1f are not in it).
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BOUNDARY = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
+#: Runs of white space from this length on are not matched by the pattern.
+RUN = 1 << 15
+_RUNS = re.compile(f"[{_SPACE}]{{{RUN},}}")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -52,6 +60,29 @@ def encoding(ranks: dict[bytes, int], pattern: str):
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=8)
+def _plain_runs(pattern: str) -> bool:
+    """Whether the pattern takes a run of white space whole at the end of a text, and all but its last character before another."""
+    import regex
+
+    short = [" ", "\n", "\t", "\r", "\xa0", "\u3000"]
+    runs = [c * 5 for c in short] + [a + b + a + b + a for a in short for b in short]
+    return all(regex.findall(pattern, x + r) == [x, r] and regex.findall(pattern, x + r + y)[:2] == [x, r[:-1]] for r in runs for x in ("a", "1", "!") for y in ("a", "1", "!", "'s"))
+
+
+def _match(enc, text: str) -> list[int]:
+    """Ids of a text or part; very long runs of white space go past the matcher."""
+    if len(text) < RUN or not _plain_runs(enc._pat_str):
+        return enc.encode_ordinary(text)
+    out, at = [], 0
+    for run in _RUNS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += enc.encode_ordinary(text[at : run.start()])
+        out += enc._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + enc.encode_ordinary(text[at:]) if at else enc.encode_ordinary(text)
+
+
 def parts(text: str, size: int = PART) -> Iterator[str]:
     """The text in parts of about `size` characters, cut at safe boundaries only."""
     at = 0
@@ -68,10 +99,10 @@ def encode(enc, text: str | None) -> list[int]:
     if not text:
         return []
     if len(text) <= PART:
-        return enc.encode_ordinary(text)
+        return _match(enc, text)
     out: list[int] = []
     for part in parts(text):
-        out += enc.encode_ordinary(part)
+        out += _match(enc, part)
     return out
 
 
