@@ -4,10 +4,11 @@ Every shard has `vnodes` places on a ring of 60-bit hashes (the head of an md5);
 Loads are bounded by quotas that differ by one row at most (`balance` 1.0), or by `balance` times
 the mean. Arcs are taken clockwise; rows that overflow a full shard continue clockwise to the next shard
 with room. Because an arc's rows are in ring order, the overflow is decided on row counts of arcs alone: a
-table of at most shards * max_vnodes counts, worked through on the driver, with at most one cut arc for
-each shard that fills up. Rows then find their shard and slot by their rank within their arc, so nothing
-larger than an arc is ever sorted by one task; the number of virtual nodes grows with the rows to keep
-arcs near `arc_rows`.
+table of shards * vnodes counts, worked through on the driver, with at most one cut arc for
+each shard that fills up. The ring depends on the shards and virtual nodes only, never on the number of rows. Rows find
+their shard and slot by their rank within their arc: arcs are counted in cells, ranges of the hash that hold about
+`cell_rows` rows; a row's rank is that of its cell and its place within the cell, so no task sorts more
+than a cell.
 
 doc_id is a key; rows with a null doc_id take the place of their text, so that many of them do not meet in one arc.
 Null text weighs 8 bytes. Rows that repeat a doc_id are rows of their own, next to each other. An empty table gives an
@@ -31,8 +32,7 @@ from pyspark.sql import functions as F
 class Ring:
     shards: int = 24
     vnodes: int = 64
-    max_vnodes: int = 16384
-    arc_rows: int = 20_000
+    cell_rows: int = 20_000
     balance: float = 1.0
 
 
@@ -74,8 +74,9 @@ def shard_rows(docs: DataFrame, ring: Ring = Ring()) -> DataFrame:
     name = F.coalesce(F.col("doc_id").cast("long").cast("string").cast("binary"), data, F.lit("").cast("binary"))
     at = F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(data), F.lit(0)) + 8).cast("long").alias("size"), F.coalesce(F.crc32(data), F.lit(0)).cast("long").alias("text_crc32"), at.alias("at"))
-    n = docs.count()
-    vnodes = min(ring.max_vnodes, max(ring.vnodes, ceil(n / (ring.shards * ring.arc_rows))))
+    # ranges of the hash, a power of two of them; they only say how rows are counted, not where they go
+    bits = max(0, ceil(docs.count() / ring.cell_rows) - 1).bit_length()
+    vnodes = ring.vnodes
     shards = ring.shards
 
     def arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,11 +86,15 @@ def shard_rows(docs: DataFrame, ring: Ring = Ring()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(arc.astype(np.int32))], names=["doc_id", "size", "text_crc32", "at", "arc"])
 
     laid = rows.mapInArrow(arcs, "doc_id long, size long, text_crc32 long, at long, arc int")
-    counts = {r["arc"]: r["count"] for r in laid.groupBy("arc").count().collect()}
+    laid = laid.withColumn("cell", F.shiftright("at", 60 - bits))
+    cells = laid.groupBy("arc", "cell").agg(F.count("*").alias("n"))
+    counts = {r["arc"]: r["n"] for r in cells.groupBy("arc").agg(F.sum("n").alias("n")).collect()}
     cuts = plan(counts, places(shards, vnodes)[1], shards, ring.balance)
-    segments = spark.createDataFrame(cuts, "arc int, first long, stop long, shard int, slot0 long")
-    order = Window.partitionBy("arc").orderBy("at", "doc_id", "size", "text_crc32")
-    ranked = laid.withColumn("rank", F.row_number().over(order) - 1)
-    # at most shards * (max_vnodes + 1) rows
-    met = ranked.join(F.broadcast(segments.withColumnRenamed("arc", "of")), (F.col("arc") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("stop")))
+    # one row an arc and one more for each shard that fills up
+    segments = F.broadcast(spark.createDataFrame(cuts, "of int, first long, stop long, shard int, slot0 long"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("arc").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select("arc", "cell", before.alias("before"))
+    within = F.row_number().over(Window.partitionBy("arc", "cell").orderBy("at", "doc_id", "size", "text_crc32")) - 1
+    ranked = laid.withColumn("within", within).join(cells, ["arc", "cell"]).withColumn("rank", F.col("before") + F.col("within"))
+    met = ranked.join(segments, (F.col("arc") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("stop")))
     return met.select("doc_id", "size", "text_crc32", "shard", (F.col("slot0") + F.col("rank") - F.col("first")).cast("long").alias("slot"))
