@@ -6,12 +6,14 @@ next version of a table and never reads and overwrites the same path.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodewell.operators.dedup import latest
+from lodewell.plans import versions
 
 #: Allowed changes of an asset's state.
 TRANSITIONS = {"uploaded": ("parsing", "error"), "parsing": ("parsed", "error"), "parsed": ("indexing", "error"), "indexing": ("indexed", "error"), "indexed": ("parsing",), "error": ("parsing", "uploaded")}
@@ -221,28 +223,29 @@ def totals(rows: DataFrame, status: str, source: str, done: str = "indexed") ->
 
 
 def commit(df: DataFrame, root: str, table: str, partition: str | None = None) -> str:
-    """Write df as a new version of a table under root, and point the table at it; older versions stay readable."""
+    """Write df as a new version of a table under root, and point the table at it; older versions stay readable.
+
+    The whole table is written: for changes of a few rows see `plans.tables`. A writer that another one has overtaken fails.
+    """
     spark: SparkSession = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
-    fs = at.getFileSystem(conf)
-    fs.mkdirs(at)
-    version = 1 + max([0, *[int(s.getPath().getName()[1:]) for s in fs.listStatus(at) if s.getPath().getName().startswith("v") and s.getPath().getName()[1:].isdigit()]])
-    path = f"{root}/{table}/v{version}"
-    writer = df.write
-    (writer.partitionBy(partition) if partition else writer).parquet(f"{path}.tmp")
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(f"{path}.tmp"), jvm.org.apache.hadoop.fs.Path(path)):
-        raise RuntimeError(f"version {version} of {table} was committed by another writer")
+    at = f"{root}/{table}"
+    base = max([0, *versions.numbers(spark, at)])
+    path = f"{at}/data/{uuid.uuid4().hex}"
+    (df.write.partitionBy(partition) if partition else df.write).parquet(path)
+    try:
+        versions.publish(spark, at, base, {"path": path})
+    except versions.Conflict:
+        versions.remove(spark, path)
+        raise
     return path
 
 
 def current(spark: SparkSession, root: str, table: str, merge: bool = False) -> DataFrame:
     """The newest committed version of a table."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
-    names = [s.getPath().getName() for s in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)]
-    version = max(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
-    return spark.read.option("mergeSchema", merge).parquet(f"{root}/{table}/v{version}")
+    found = versions.newest(spark, f"{root}/{table}")
+    if found is None:
+        raise FileNotFoundError(f"no table {table} under {root}")
+    return spark.read.option("mergeSchema", merge).parquet(found[1]["path"])
 
 
 def append(rows: DataFrame, new: DataFrame) -> DataFrame:

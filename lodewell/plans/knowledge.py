@@ -14,6 +14,7 @@ from lodewell.operators import graph as G
 from lodewell.operators import index as I
 from lodewell.operators import rank as R
 from lodewell.operators import registry as K
+from lodewell.plans.tables import Table
 
 #: Code is stored as graph items too; a search for one category looks into these.
 ALIASES = {"c_code": ("c_code", "graph")}
@@ -35,8 +36,8 @@ def stale_files(items: DataFrame, vectors: DataFrame) -> DataFrame:
 class KnowledgeBase:
     """Searches go through an index that is built at the first of them and again after the items have changed."""
 
-    def __init__(self, items: DataFrame, vectors: DataFrame | None = None):
-        self.items, self.vectors = items, vectors
+    def __init__(self, items: DataFrame, vectors: DataFrame | None = None, table: Table | None = None):
+        self.items, self.vectors, self.table = items, vectors, table
 
     @property
     def items(self) -> DataFrame:
@@ -63,6 +64,16 @@ class KnowledgeBase:
     def empty(cls, spark: SparkSession) -> KnowledgeBase:
         return cls(spark.createDataFrame([], schemas.KNOWLEDGE_ITEMS))
 
+    @classmethod
+    def stored(cls, spark: SparkSession, root: str, rows: DataFrame | None = None, buckets: int = 64) -> KnowledgeBase:
+        """A knowledge base whose changes are committed to a keyed table under root; rows begin a new one."""
+        table = Table.open(spark, root) if rows is None else Table.create(rows, root, "id", buckets)
+        return cls(table.rows(), table=table)
+
+    def _now(self, table: Table) -> KnowledgeBase:
+        self.table, self.items = table, table.rows()
+        return self
+
     def save(self, root: str) -> str:
         return K.commit(self.items, root, "knowledge_items")
 
@@ -127,18 +138,26 @@ class KnowledgeBase:
     # changes
 
     def add(self, rows: DataFrame) -> KnowledgeBase:
+        if self.table is not None:
+            return self._now(self.table.upsert(rows))
         self.items = K.upsert(self.items, rows)
         return self
 
     def update(self, changes: DataFrame, columns: tuple[str, ...] = ("title", "content")) -> KnowledgeBase:
+        if self.table is not None:
+            return self._now(self.table.patch(changes, columns))
         self.items = K.patch(self.items, changes, "id", columns)
         return self
 
     def delete(self, ids: DataFrame) -> KnowledgeBase:
+        if self.table is not None:
+            return self._now(self.table.delete(ids))
         self.items = K.hard_delete(self.items, ids, "id")
         return self
 
     def delete_category(self, category: str) -> KnowledgeBase:
+        if self.table is not None:
+            return self._now(self.table.delete(self.items.where(F.col("category") == category)))
         self.items = self.items.where((F.col("category") != category) | F.col("category").isNull())
         return self
 
@@ -150,6 +169,10 @@ class KnowledgeBase:
         new = providers.encode(rows, "id", "content", encoder).join(rows.select("id", "source_file", "content_hash"), "id")
         kept = old.join(stale.select("source_file"), "source_file", "left_anti").unionByName(new) if old is not None else new
         self.vectors = kept.select("id", "source_file", "content_hash", "vector")
-        kept, self.items = self._kept, K.mark(self.items, self.vectors, "id")
+        kept = self._kept
+        if self.table is not None:
+            self._now(self.table.mark(self.vectors))
+        else:
+            self.items = K.mark(self.items, self.vectors, "id")
         self._kept = kept  # texts are as before
         return self

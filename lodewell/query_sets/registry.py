@@ -7,7 +7,8 @@ from lodewell.operators import evaluate as E
 from lodewell.operators import registry as G
 from lodewell.plans import ingest
 from lodewell.plans.knowledge import KnowledgeBase, content_hashes, stale_files
-from lodewell.plans.storage import table
+from lodewell.plans.storage import scratch_path, table
+from lodewell.plans.tables import Table
 from lodewell.query_sets.evaluation import _assets
 from lodewell.query_sets.shared import documents
 from lodewell.sources import files as S
@@ -293,3 +294,17 @@ def _(spark, d):
 @query("next_states", "select o_orderkey as asset_id, case o_orderstatus when 'O' then 'parsing' when 'F' then null else 'parsed' end as next from orders")
 def _(spark, d):
     return _assets(spark, d).select("asset_id", G.next_status(F.col("status")).alias("next"))
+
+
+@query("bucketed_changes", """
+with a as (select o_orderkey as id, o_orderstatus as status, o_totalprice as price from orders),
+u as (select id, status, price from a where id % 7 <> 0 union all select id, 'R', price + 1 from a where id % 7 = 0 union all select -id, 'N', price from a where id % 7 = 0),
+p as (select id, case when status = 'F' and id % 5 = 0 then 'P' else status end as status, price from u)
+select id, status, round(price, 2) as price from p where id % 11 <> 0""")
+def _(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    first = Table.create(orders, scratch_path(spark, "orders"), buckets=16)
+    some = orders.where("id % 7 = 0")
+    more = first.upsert(some.withColumn("status", F.lit("R")).withColumn("price", F.col("price") + 1).unionByName(some.withColumn("id", -F.col("id")).withColumn("status", F.lit("N"))))
+    left = more.patch(more.rows().where("status = 'F' and id % 5 = 0").select("id", F.lit("P").alias("status")), ("status",))
+    return left.delete(left.rows().where("id % 11 = 0")).rows().select("id", "status", F.round("price", 2).alias("price"))
