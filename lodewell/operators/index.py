@@ -7,12 +7,19 @@ and pre-aggregate; nothing is collected.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import uuid
+from dataclasses import asdict, dataclass
+from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodewell.functions import tokens as T
+from lodewell.plans import versions
+from lodewell.plans.skew import BROADCAST_ROWS
 from lodewell.plans.storage import materialize, scratch_path
 
 
@@ -104,47 +111,121 @@ def _bucket(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
+def after(prefix: str) -> str | None:
+    """The least string above all that start with prefix, in the order of code points; None if there is none."""
+    while prefix:
+        code = ord(prefix[-1]) + 1
+        if code <= 0x10FFFF:
+            return prefix[:-1] + chr(0xE000 if 0xD800 <= code < 0xE000 else code)
+        prefix = prefix[:-1]
+    return None
+
+
+def spans(prefixes: list[str]) -> list[tuple[str, str | None]]:
+    """Prefixes as ranges [from, to) of strings, sorted, those within others left out."""
+    out: list[tuple[str, str | None]] = []
+    for p in sorted(set(prefixes)):
+        if not out or not (out[-1][1] is None or p < out[-1][1]):
+            out.append((p, after(p)))
+    return out
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How a segment is written. block_items: items of a block of postings, about; part_terms: terms of a part of the dictionary."""
+
+    buckets: int = 16
+    size: int = 2000
+    block_items: int = 1024
+    part_terms: int = 200_000
+    segments: int = 6
+    row_group: int = 4 << 20
+
+
 @dataclass(frozen=True)
 class Kept:
-    """A written index: postings with their statistics, split into folders by a hash of the token.
+    """A written index: postings with their statistics, in segments that are never changed.
 
-    A search reads the folders of the tokens it asks for; texts are not read, and nothing is counted again.
+    words: scope, item_id, token, tf, dl, df, grp (BM25); blocks: token, scope, grp, n, max_tf, min_dl, df, the bounds of the
+    blocks of words; tokens: scope, item_id, token, w (unit tf-idf weights), idf; scopes: scope, n, avgdl; terms: token,
+    term, a sorted dictionary in parts; full: term, scope (full text); names: token, scope; files: scope, n_items.
 
-    words: scope, item_id, token, tf, dl, df (BM25); tokens: scope, item_id, token, w (unit tf-idf weights), idf;
-    scopes: scope, n, avgdl; full: token, scope (full text); names: token, scope; files: scope, n_items.
+    Tables with a token lie in folders by its hash; the dictionary and its postings in parts by ranges of terms, whose bounds
+    are kept, so a prefix is a range of parts and, in these, of row groups. A scope (a file) lies in one segment: `update`
+    writes one with the changed scopes and notes that the older segments' rows of them are dead, and merges the
+    smaller segments when there are too many. Statistics are those of a scope, so scores do not depend on the segments.
     """
 
     spark: SparkSession
     root: str
-    buckets: int
+    number: int
+    manifest: dict
+    layout: Layout
+
+    @property
+    def buckets(self) -> int:
+        return self.layout.buckets
 
     @staticmethod
-    def build(rows: DataFrame, names: DataFrame, root: str | None = None, buckets: int = 16, size: int = 2000) -> Kept:
+    def build(rows: DataFrame, names: DataFrame, root: str | None = None, buckets: int = 16, size: int = 2000, layout: Layout | None = None) -> Kept:
         """Index rows (scope, item_id, text); names: (scope, token), the words by which a file is found without its text."""
         spark = rows.sparkSession
         root = root or scratch_path(spark, "index")
+        layout = layout or Layout(buckets=buckets, size=size)
+        segment = _write_segment(rows, names, root, layout)
+        manifest = {"segments": [segment], "layout": asdict(layout)}
+        return Kept(spark, root, versions.publish(spark, root, max([0, *versions.numbers(spark, root)]), manifest), manifest, layout)
 
-        def put(df: DataFrame, name: str) -> None:
-            df = df.withColumn("bucket", _bucket(F.col("token"), buckets)) if "token" in df.columns else df
-            writer = df.repartition("bucket", "token").sortWithinPartitions("bucket", "token") if "token" in df.columns else df
-            (writer.write.partitionBy("bucket") if "token" in df.columns else writer.write).parquet(f"{root}/{name}")
-
-        words = materialize(term_frequencies(rows, T.bm25_tokens), "words")
-        put(words.join(document_frequencies(words), ["scope", "token"]).drop("pos"), "words")
-        put(lengths(rows, words), "scopes")
-        plain = materialize(term_frequencies(rows), "tokens")
-        n = rows.groupBy("scope").agg(F.count("*").alias("n"))
-        idf = vocabulary(plain, size).join(n, "scope").select("scope", "token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-        weight = plain.join(idf, ["scope", "token"]).withColumn("w", F.col("tf") / F.col("dl") * F.col("idf"))
-        norm = weight.groupBy("scope", "item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        put(weight.join(norm, ["scope", "item_id"]).select("scope", "item_id", "token", (F.col("w") / F.col("norm")).alias("w"), "idf"), "tokens")
-        put(fts_postings(rows), "full")
-        put(names.select("token", "scope").distinct(), "names")
-        put(n.withColumnRenamed("n", "n_items"), "files")
-        return Kept(spark, root, buckets)
+    @staticmethod
+    def open(spark: SparkSession, root: str) -> Kept:
+        found = versions.newest(spark, root)
+        if found is None:
+            raise FileNotFoundError(f"no index under {root}")
+        return Kept(spark, root, *found, Layout(**found[1]["layout"]))
+
+    def _next(self, segments: list[dict]) -> Kept:
+        manifest = self.manifest | {"segments": segments}
+        return Kept(self.spark, self.root, versions.publish(self.spark, self.root, self.number, manifest), manifest, self.layout)
+
+    def update(self, rows: DataFrame, names: DataFrame, gone: DataFrame | None = None) -> Kept:
+        """The next version: the scopes of rows are indexed anew, those of gone (scope) fall out; others are not read.
+
+        rows holds all items of each scope that it holds any of.
+        """
+        segment = _write_segment(rows, names, self.root, self.layout)
+        dead = self._rows(segment, "files").select("scope")
+        dead = (dead.unionByName(gone.select("scope")) if gone is not None else dead).distinct()
+        at = f"{segment['path']}/dead"
+        dead.write.parquet(f"{self.root}/{at}")
+        n = self.spark.read.parquet(f"{self.root}/{at}").count()
+        older = [s | {"dead": [*s["dead"], [at, n]]} for s in self.manifest["segments"]]
+        return self._next([*older, segment])._merged()
+
+    def _merged(self) -> Kept:
+        """Where there are more than `segments`, the newest ones that together are no larger than the one before them become one."""
+        segments = self.manifest["segments"]
+        if len(segments) <= self.layout.segments:
+            return self
+        first = len(segments) - 2
+        while first > 0 and (segments[first - 1]["items"] <= sum(s["items"] for s in segments[first:]) or first >= self.layout.segments):
+            first -= 1
+        new = _merge_segments(self, segments[first:])
+        return self._next([*segments[:first], new])
+
+    def _rows(self, segment: dict, name: str, paths: list[str] | None = None) -> DataFrame:
+        """A table of one segment less its dead scopes."""
+        base = f"{self.root}/{segment['path']}/{name}"
+        reader = self.spark.read.schema(StructType.fromJson(json.loads(segment["schemas"][name]))).option("basePath", base)
+        rows = reader.parquet(*(paths if paths is not None else [base]))
+        if "scope" in rows.columns:
+            for at, n in segment["dead"]:
+                gone = self.spark.read.parquet(f"{self.root}/{at}")
+                rows = rows.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, "scope", "left_anti")
+        return rows
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        parts = [self._rows(s, name) for s in self.manifest["segments"]]
+        return reduce(DataFrame.unionByName, parts)
 
     def postings(self, name: str, asked: DataFrame, most: int = 5000) -> DataFrame:
         """Rows of the asked tokens. Up to `most` of them are written into the plan, so that only their folders are
@@ -156,3 +237,124 @@ class Kept:
             return rows.join(asked, "token").drop("bucket")
         folders = self.spark.createDataFrame([(t,) for t in some], "token string").select(_bucket(F.col("token"), self.buckets).alias("b")).distinct()
         return rows.where(F.col("bucket").isin([r["b"] for r in folders.collect()]) & F.col("token").isin(some)).drop("bucket")
+
+    def blocks_of(self, asked: DataFrame, groups: DataFrame, most: int = 2000) -> DataFrame:
+        """Postings of the asked tokens in the given blocks (grp): of few blocks, these reach the scan, which skips other row groups."""
+        rows = self.postings("words", asked)
+        some = [r["grp"] for r in groups.select("grp").distinct().limit(most + 1).collect()]
+        return rows.where(F.col("grp").isin(some)) if len(some) <= most else rows
+
+    def prefix_terms(self, segment: dict, prefixes: list[str], ranges: int = 256) -> DataFrame:
+        """(token, term) of a segment's terms that start with one of the prefixes: of the parts and row groups that can hold them."""
+        wanted = spans(prefixes)
+        parts = [p for p, low, high, *_ in segment["parts"] if any(high >= a and (b is None or low < b) for a, b in wanted)]
+        if not parts:
+            return self.spark.createDataFrame([], "token string, term long, part int")
+        rows = self._rows(segment, "terms", [f"{self.root}/{segment['path']}/terms/part={p}" for p in parts])
+        if len(wanted) > ranges:  # neighbours are read as one range; the caller's join has the prefixes themselves
+            step = -(-len(wanted) // ranges)
+            wanted = [(wanted[i][0], wanted[min(i + step, len(wanted)) - 1][1]) for i in range(0, len(wanted), step)]
+        token = F.col("token")
+        return rows.where(reduce(lambda x, y: x | y, [(token >= a) & (token < b) if b is not None else token >= a for a, b in wanted]))
+
+    def matches(self, queries: DataFrame, most: int = 5000) -> DataFrame:
+        """(query_id, scope): the files with a token that starts with a prefix of the query.
+
+        Up to `most` distinct prefixes prune the dictionary and the postings of its terms; more meet the whole dictionary.
+        """
+        asked = materialize(queries.select("query_id", F.explode(T.fts_prefixes(F.col("query"))).alias("prefix")).distinct(), "prefixes")
+        some = [r["prefix"] for r in asked.select("prefix").distinct().limit(most + 1).collect()]
+        heads = asked.withColumn("head", F.expr("substring(prefix, 1, least(length(prefix), 2))"))
+        found = []
+        for segment in self.manifest["segments"]:
+            terms = self.prefix_terms(segment, some) if len(some) <= most else self._rows(segment, "terms")
+            bounds = terms.groupBy("part").agg(F.min("term").alias("low"), F.max("term").alias("high")).collect()  # one row a part
+            if not bounds:
+                continue
+            cut = terms.select("token", "term", F.explode(F.array_distinct(F.array(F.substring("token", 1, 1), F.substring("token", 1, 2)))).alias("head"))
+            met = heads.join(cut, "head").where(F.col("token").startswith(F.col("prefix"))).select("query_id", "term")
+            full = self._rows(segment, "full", [f"{self.root}/{segment['path']}/full/part={r['part']}" for r in bounds])
+            inside = reduce(lambda x, y: x | y, [F.col("term").between(r["low"], r["high"]) for r in bounds]) if len(bounds) <= 256 else F.lit(True)
+            found.append(full.where(inside).join(met, "term").select("query_id", "scope"))
+        if not found:
+            kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "scope": self.table("files").schema["scope"].dataType.simpleString()}
+            return self.spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in kinds.items()))
+        return reduce(DataFrame.unionByName, found).distinct()
+
+
+@dataclass
+class _Writer:
+    """Writes the tables of one segment and keeps their schemas, since a table without rows has no file."""
+
+    spark: SparkSession
+    at: str
+    layout: Layout
+    schemas: dict
+
+    def write(self, df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
+        writer = df.write.option("parquet.block.size", self.layout.row_group)
+        (writer.partitionBy(partition) if partition else writer).parquet(f"{self.at}/{name}")
+        self.schemas[name] = df.schema.json()
+        return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
+
+    def put(self, df: DataFrame, name: str, order: tuple[str, ...] = ()) -> DataFrame:
+        """A table with a token: in folders by its hash, sorted, large tokens over several files."""
+        df = df.withColumn("bucket", _bucket(F.col("token"), self.layout.buckets))
+        return self.write(df.repartitionByRange("bucket", "token", *order).sortWithinPartitions("bucket", "token", *order), name, "bucket")
+
+
+    def dictionary(self, full: DataFrame) -> list[list]:
+        """terms and full of (token, scope) in parts by ranges of tokens; gives [part, first, last, least term, greatest term]."""
+        full = materialize(full, "full")
+        distinct = materialize(full.select("token").distinct(), "distinct")
+        parts = max(1, ceil(distinct.count() / self.layout.part_terms))
+        placed = distinct.repartitionByRange(parts, "token").sortWithinPartitions("token")
+        terms = self.write(placed.withColumn("term", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()), "terms", "part")
+        met = full.join(terms, "token").select("term", "scope", "part")
+        self.write(met.repartitionByRange("part", "term", "scope").sortWithinPartitions("part", "term", "scope"), "full", "part")
+        bounds = terms.groupBy("part").agg(F.min("token").alias("a"), F.max("token").alias("b"), F.min("term").alias("c"), F.max("term").alias("d"))
+        return [[r["part"], r["a"], r["b"], r["c"], r["d"]] for r in bounds.orderBy("part").collect()]  # one row a part
+
+    def words(self, words: DataFrame, n: DataFrame) -> None:
+        """words with the block of each posting, and the bounds of the blocks.
+
+        A block holds items of like length, by a hash: the same items for every token of a scope.
+        """
+        kind = (F.floor(F.log2(F.greatest("dl", F.lit(1))) * 2) * (1 << 20)).cast("int")
+        spread = F.pmod(F.xxhash64("item_id"), F.least(F.greatest(F.ceil(F.col("n") / self.layout.block_items), F.lit(1)), F.lit(1 << 20))).cast("int")
+        written = self.put(words.join(n, "scope").withColumn("grp", kind + spread).drop("n"), "words", ("scope", "grp"))
+        self.put(written.groupBy("token", "scope", "grp").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.first("df").alias("df")), "blocks", ("scope",))
+
+    def done(self, files: DataFrame, parts: list[list], own: str) -> dict:
+        items = files.agg(F.coalesce(F.sum("n_items"), F.lit(0)).alias("n")).first()["n"]
+        return {"path": own, "items": items, "parts": parts, "dead": [], "schemas": self.schemas}
+
+
+def _write_segment(rows: DataFrame, names: DataFrame, root: str, layout: Layout) -> dict:
+    spark, own = rows.sparkSession, f"segments/{uuid.uuid4().hex}"
+    out = _Writer(spark, f"{root}/{own}", layout, {})
+    words = materialize(term_frequencies(rows, T.bm25_tokens), "words")
+    files = out.write(rows.groupBy("scope").agg(F.count("*").alias("n_items")), "files")
+    n = files.withColumnRenamed("n_items", "n")
+    out.words(words.join(document_frequencies(words), ["scope", "token"]).drop("pos"), n)
+    out.write(lengths(rows, words), "scopes")
+    plain = materialize(term_frequencies(rows), "tokens")
+    idf = vocabulary(plain, layout.size).join(n, "scope").select("scope", "token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    weight = plain.join(idf, ["scope", "token"]).withColumn("w", F.col("tf") / F.col("dl") * F.col("idf"))
+    norm = weight.groupBy("scope", "item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    out.put(weight.join(norm, ["scope", "item_id"]).select("scope", "item_id", "token", (F.col("w") / F.col("norm")).alias("w"), "idf"), "tokens", ("scope",))
+    out.put(names.select("token", "scope").distinct(), "names")
+    return out.done(files, out.dictionary(fts_postings(rows)), own)
+
+
+def _merge_segments(kept: Kept, segments: list[dict]) -> dict:
+    """One segment with the live rows of several; texts are not read again."""
+    own = f"segments/{uuid.uuid4().hex}"
+    out = _Writer(kept.spark, f"{kept.root}/{own}", kept.layout, {})
+    live = lambda name: reduce(DataFrame.unionByName, [kept._rows(s, name) for s in segments])
+    files = out.write(live("files"), "files")
+    out.write(live("scopes"), "scopes")
+    for name, order in (("words", ("scope", "grp")), ("blocks", ("scope",)), ("tokens", ("scope",)), ("names", ())):
+        out.put(live(name).drop("bucket"), name, order)
+    full = [kept._rows(s, "full").join(kept._rows(s, "terms").select("term", "token"), "term").select("token", "scope") for s in segments]
+    return out.done(files, out.dictionary(reduce(DataFrame.unionByName, full)), own)

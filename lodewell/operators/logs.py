@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodewell.functions.text import log_level
+from lodewell.plans import scan
 
 #: Line formats with time, level, source and message.
 FORMATS = (
@@ -37,18 +38,26 @@ def protocol_entries(entries: DataFrame) -> DataFrame:
     return entries.where(F.lower("raw_line").rlike("|".join(PROTOCOL_WORDS)) | F.lower("message").rlike("|".join(PROTOCOL_WORDS)))
 
 
-def gap_sessions(entries: DataFrame, keys: list[str], order: list[str], ts: str, seconds: float = 5.0, present: Column | None = None) -> DataFrame:
+def _begins(ts: Column, has: Column, before: Column, had: Column, seconds: float) -> Column:
+    """1 where a row begins a session, seen from the row before it."""
+    gap = F.unix_micros(ts.cast("timestamp")) - F.unix_micros(before.cast("timestamp"))
+    return F.when(has & had & (gap.isNull() | (gap > int(seconds * 1_000_000))), 1).otherwise(0)
+
+
+def gap_sessions(entries: DataFrame, keys: list[str], order: list[str], ts: str, seconds: float = 5.0, present: Column | None = None, parts: int | None = None) -> DataFrame:
     """entries with `session` (from 0 in each key): a gap over `seconds` begins a new one.
 
     A row without time joins the session it meets, as does the row after it; so does a row that goes back in
-    time. A time that is present but cannot be read begins a session of its own.
+    time. A time that is present but cannot be read begins a session of its own. With `parts`, a key's rows are
+    worked through in that many ranges or so, by as many tasks (`plans.scan`): for few keys with very many rows.
     """
+    rows = entries.withColumn("_has", present if present is not None else F.col(ts).isNotNull())
+    if parts:
+        ranges = scan.before(scan.dealt(rows, keys, order, parts), keys, order, {"_before": F.col(ts), "_had": F.col("_has")})
+        flagged = ranges.withColumn("_new", _begins(F.col(ts), F.col("_has"), F.col("_before"), F.col("_had"), seconds)).drop("_before", "_had", "_first")
+        return scan.running_sum(flagged, keys, order, "_new", "session").select(*entries.columns, "session")
     w = Window.partitionBy(*keys).orderBy(*order)
-    has = present if present is not None else F.col(ts).isNotNull()
-    rows = entries.withColumn("_has", has)
-    before, had = F.lag(F.col(ts)).over(w), F.lag("_has").over(w)
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(before.cast("timestamp"))
-    new = F.when(F.col("_has") & had & (gap.isNull() | (gap > int(seconds * 1_000_000))), 1).otherwise(0)
+    new = _begins(F.col(ts), F.col("_has"), F.lag(F.col(ts)).over(w), F.lag("_has").over(w), seconds)
     return rows.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_has")
 
 

@@ -7,17 +7,26 @@ Every cut has a total order, with ties broken by item_id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodewell.functions import tokens as T
 from lodewell.operators import index as I
-from lodewell.plans.storage import in_blocks, materialize
+from lodewell.plans.storage import in_blocks, materialize, small_batches
 
 #: Term weights of the scoring: a small table, passed as data.
 TERM_WEIGHTS = {"dp": 2.0, "dpid": 2.0, "dp_id": 2.0, "data_point": 2.0, "datapoint": 2.0, "cmd": 1.8, "command": 1.8, "frame_id": 1.8, "frameid": 1.8, "message_id": 1.8, "messageid": 1.8, "ota": 1.5, "ble": 1.5, "fault": 1.5, "alarm": 1.5}
 
 
+#: Queries that are searched together, at most; a query has five variants and twenty files.
+QUERIES = 5000
+
+
 def _weight(token: Column, weights: dict[str, float]) -> Column:
     if not weights:
         return F.lit(1.0)
@@ -64,21 +73,70 @@ def tfidf(rows: DataFrame, queries: DataFrame, vocabulary_size: int = 2000, keep
     return every.join(scored, ["query_id", "scope", "item_id"], "left").select("query_id", "scope", "item_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def inner_product(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+class _Heap:
+    """The k best of each query so far: scores and ids, best first, ties by id."""
+
+    def __init__(self, asked: np.ndarray, k: int):
+        self.asked, self.k, self.length = asked, k, np.sqrt((asked * asked).sum(1))
+        self.scores, self.ids = [np.zeros(0)] * len(asked), [None] * len(asked)
+        self.floor = np.full(len(asked), -np.inf)
+
+    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        """Rows of a block: queries that the block's centre and radius rule out are not multiplied."""
+        centre = rows.mean(0)
+        radius = np.sqrt(((rows - centre) ** 2).sum(1).max())
+        limit = self.asked @ centre + self.length * radius
+        open_ = np.flatnonzero(limit * (1 + 1e-9 * np.sign(limit)) + 1e-9 >= self.floor)
+        products = np.round(self.asked[open_] @ rows.T, 12)
+        for q, own in zip(open_[(products >= self.floor[open_, None]).any(1)], products[(products >= self.floor[open_, None]).any(1)], strict=True):
+            near = own >= self.floor[q]
+            scores, found = np.concatenate((self.scores[q], own[near])), ids[near] if self.ids[q] is None else np.concatenate((self.ids[q], ids[near]))
+            best = np.lexsort((found, -scores))[: self.k]
+            self.scores[q], self.ids[q] = scores[best], found[best]
+            if len(best) == self.k:
+                self.floor[q] = self.scores[q][-1]
 
 
 def dense(vectors: DataFrame, queries: DataFrame, top_k: int = 50, most: int = 5000) -> DataFrame:
-    """(query_id, item_id, score): the top_k inner products of a stated query set against all vectors.
+    """(query_id, item_id, score, rank): the top_k inner products of a stated query set against all vectors.
 
-    Queries are broadcast, `most` at a time; each partition of vectors keeps its own top_k before the final
-    cut, by the row-number limit that Catalyst pushes down.
+    Queries go to the tasks `most` at a time; each task multiplies its Arrow batches with them, in double precision, and keeps top_k
+    rows a query, so what moves is bounded by that. Exact: a batch is left out for a query only where its centre and radius
+    rule out the query's top_k. Scores are rounded to 12 digits; ties go to the lower item_id. Rows without an id and rows and
+    queries without a vector of the queries' length, or with null or infinite components, have no score.
     """
+    kinds = [f"query_id {queries.schema['query_id'].dataType.simpleString()}", f"item_id {vectors.schema['item_id'].dataType.simpleString()}", "score double"]
+    text = vectors.schema["item_id"].dataType.typeName() == "string"
+    whole = F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull())
+    rows = vectors.where(whole & F.col("item_id").isNotNull()).select("item_id", F.col("vector").cast("array<double>").alias("vector"))
+    small_batches(vectors.sparkSession)
 
     def block(some: DataFrame) -> DataFrame:
-        met = vectors.join(F.broadcast(some.select("query_id", F.col("vector").alias("qv"))), F.lit(True), "inner")
-        scored = met.select("query_id", "item_id", inner_product(F.col("vector"), F.col("qv")).alias("score"))
-        return top(scored, top_k, ["query_id"])
+        own = some.where(whole).select("query_id", F.col("vector").cast("array<double>").alias("vector")).collect()  # `most` rows
+        names, width = [r["query_id"] for r in own], max([len(r["vector"]) for r in own], default=0)
+        names = [n for n, r in zip(names, own, strict=True) if len(r["vector"]) == width]
+        asked = np.array([r["vector"] for r in own if len(r["vector"]) == width], np.float64).reshape(len(names), width)
+        names, asked = [n for n, ok in zip(names, np.isfinite(asked).all(1), strict=True) if ok], asked[np.isfinite(asked).all(1)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            heap = _Heap(asked, top_k)
+            for batch in batches:
+                column = batch.column(1)
+                fits = np.diff(column.offsets.to_numpy()) == width
+                if not fits.any() or not width:
+                    continue
+                kept = batch.filter(pa.array(fits)) if not fits.all() else batch
+                found = np.array(kept.column(0).to_pylist()) if text else kept.column(0).to_numpy()
+                values = kept.column(1).flatten().to_numpy().reshape(-1, width)
+                finite = np.isfinite(values).all(1)
+                if finite.any():
+                    heap.add(found[finite], values[finite])
+            for name, ids, scores in zip(names, heap.ids, heap.scores, strict=True):
+                if len(scores):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(scores), kind), pa.array(ids.tolist(), item), pa.array(scores)], names=["query_id", "item_id", "score"])
+
+        kind, item = (to_arrow_type(t.schema[c].dataType) for t, c in ((queries, "query_id"), (vectors, "item_id")))
+        return top(rows.mapInArrow(run, ", ".join(kinds)), top_k, ["query_id"])
 
     return in_blocks(queries, "query_id", most, block)
 
@@ -160,7 +218,7 @@ def search_files(kept: I.Kept, variants: DataFrame, most: int = 20) -> DataFrame
     """
     asked = variants.select(F.col("variant").alias("query_id"), "query")
     files = kept.table("files")
-    matched = I.fts_match(kept.table("full"), asked)
+    matched = materialize(kept.matches(asked), "matched")
     found = candidate_files(files, matched, most).select("query_id", "scope", "rank")
     rest = asked.join(matched.select("query_id").distinct(), "query_id", "left_anti")
     tokens = query_tokens(rest).select("query_id", "token")
@@ -177,6 +235,7 @@ def kept_scores(kept: I.Kept, variants: DataFrame, files: DataFrame, k1: float =
     asked = variants.select(F.col("variant").alias("query_id"), "query")
 
     def within(hits: DataFrame, tokens: DataFrame) -> DataFrame:
+        # variants and files of at most QUERIES queries: `search` goes by blocks
         met = hits.join(F.broadcast(tokens.withColumnRenamed("query_id", "variant")), "token").join(F.broadcast(own), "variant")
         return met.join(F.broadcast(files), ["query_id", "scope"], "left_semi")
 
@@ -196,6 +255,44 @@ def kept_scores(kept: I.Kept, variants: DataFrame, files: DataFrame, k1: float =
     return bm, ti
 
 
+def bm25_top(kept: I.Kept, queries: DataFrame, k: int = 10, probe: int = 2, k1: float = 1.5, b: float = 0.75, weights: dict[str, float] = TERM_WEIGHTS) -> DataFrame:
+    """(query_id, scope, item_id, score, rank): the k best BM25 scores of each query in each scope, by blocks of postings.
+
+    The bounds of the blocks (greatest count, least length) limit what a query can score in each group of items. The `probe` best groups
+    are scored first; the k-th score so far is a floor, and of the others only groups whose limit reaches it are scored. Exact, ties included.
+    """
+    return in_blocks(queries.select("query_id", "query"), "query_id", QUERIES, lambda some: _bm25_block(kept, some, k, probe, k1, b, weights))
+
+
+def block_limits(kept: I.Kept, asked: DataFrame, k1: float = 1.5, b: float = 0.75, weights: dict[str, float] = TERM_WEIGHTS) -> DataFrame:
+    """(query_id, scope, grp, most): an upper limit of the scores of asked (query_id, token, times) in each group that has any of its tokens."""
+    blocks = kept.postings("blocks", asked).drop("n").join(F.broadcast(asked), "token").join(kept.table("scopes"), "scope")
+    limit = _bm25_part("max_tf", "min_dl", k1, b) * F.col("times") * _weight(F.col("token"), weights)
+    return blocks.groupBy("query_id", "scope", "grp").agg((F.sum(limit) * (1 + 1e-9)).alias("most"))
+
+
+def _bm25_part(tf: str, dl: str, k1: float, b: float) -> Column:
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    return idf * F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / F.col("avgdl")))
+
+
+def _bm25_block(kept: I.Kept, queries: DataFrame, k: int, probe: int, k1: float, b: float, weights: dict[str, float]) -> DataFrame:
+    asked = materialize(query_tokens(queries, T.bm25_tokens), "asked")
+    by = ["query_id", "scope"]
+    limits = materialize(block_limits(kept, asked, k1, b, weights).withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("most"), "grp"))), "limits")
+
+    def scored(groups: DataFrame) -> DataFrame:
+        part = _bm25_part("tf", "dl", k1, b) * F.col("times") * _weight(F.col("token"), weights)
+        met = kept.blocks_of(asked, groups).join(F.broadcast(asked), "token").join(groups.select(*by, "grp"), [*by, "grp"], "left_semi").join(kept.table("scopes"), "scope")
+        return met.groupBy(*by, "item_id").agg(F.sum(part).alias("score")).where("score > 0")
+
+    first = materialize(top(scored(limits.where(F.col("nth") <= probe)), k, by), "first")
+    floor = first.where(F.col("rank") == k).select(*by, F.col("score").alias("floor"))
+    rest = limits.where(F.col("nth") > probe).join(floor, by, "left").where(F.col("floor").isNull() | (F.col("most") >= F.col("floor")))
+    rest = materialize(rest.select(*by, "grp"), "rest")
+    return top(first.drop("rank").unionByName(scored(rest)), k, by)
+
+
 def search(kept: I.Kept, items: DataFrame, queries: DataFrame, top_k: int = 5, extra_legs: tuple[DataFrame, ...] = (), variants: int = 5, files: int = 20, overfetch: int = 1, aliases: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(query_id, item_id, source, title, score, rank, content_preview): the whole search of a query batch in a kept index.
 
@@ -203,9 +300,17 @@ def search(kept: I.Kept, items: DataFrame, queries: DataFrame, top_k: int = 5, e
     postings in these are scored. An item's scores are summed over the variants, the legs are fused, and the
     first top_k are boosted, the best of each source kept. Categories fall out as in `hybrid`.
     """
+    if "category" not in queries.columns:
+        queries = queries.select("query_id", "query")
+    return in_blocks(queries, "query_id", QUERIES, lambda some: _search_block(kept, items, some, top_k, extra_legs, variants, files, overfetch, aliases or {}))
+
+
+def _search_block(kept: I.Kept, items: DataFrame, queries: DataFrame, top_k: int, extra_legs: tuple[DataFrame, ...], variants: int, files: int, overfetch: int, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
+    """`search` for at most QUERIES queries, whose variants, files and hits are broadcast."""
     from lodewell.operators.expand import expand
 
     asked = queries.select("query_id", "query")
+    extra_legs = tuple(leg.join(F.broadcast(asked.select("query_id")), "query_id", "left_semi") for leg in extra_legs)
     rows = expand(asked).where(F.col("ord") <= variants).select("query_id", "ord", F.col("expansion").alias("query"))
     rows = materialize(rows.withColumn("variant", F.concat_ws("#", F.col("query_id").cast("string"), F.col("ord").cast("string"))), "variants")
     within = materialize(search_files(kept, rows, files), "files")

@@ -36,6 +36,15 @@ def _(spark, d):
     return L.session_totals(s, ["user_id"], "ts")
 
 
+@query("gap_sessions_one_log", """
+with l as (select event_id, ts, lag(ts) over (order by ts, event_id) as b from events),
+s as (select *, sum(case when b is not null and ts - b > interval 1 minute then 1 else 0 end) over (order by ts, event_id rows unbounded preceding)::bigint as session from l)
+select session, count(*) as n, min(ts) as first_ts, max(ts) as last_ts from s group by all""")
+def _(spark, d):
+    rows = table(spark, d, "events").withColumn("log", F.lit("all"))
+    return L.session_totals(L.gap_sessions(rows, ["log"], ["ts", "event_id"], "ts", 60.0, parts=64), ["log"], "ts").drop("log")
+
+
 @query("node_edges", """
 with e as (select distinct 'p' || l_partkey as f, 's' || l_suppkey as t from lineitem),
 x as (select f as id, 'out' as dir from e union all select t, 'in' from e where f <> t)

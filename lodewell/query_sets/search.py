@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lodewell import lexicon as L
 from lodewell.catalog import query
+from lodewell.functions import segment as S
 from lodewell.operators import expand as E
 from lodewell.operators import index as I
 from lodewell.operators import rank as R
@@ -73,6 +74,34 @@ def _(spark, d):
     return I.vocabulary(I.term_frequencies(_rows(spark, d))).select(F.col("scope").alias("source"), "token", "cf")
 
 
+#: Words that documents hold five times and more, and passages without their blanks.
+_WORDS_OF = "regexp_extract_all(lower({0}), '[a-z]+')"
+
+
+@query("segmented_passages", f"""
+with recursive c as (select w, count(*)::double as n from (select unnest({_WORDS_OF.format("text")}) as w from documents) group by w having count(*) >= 5),
+t as (select ln(sum(n)) as total from c),
+p as (select item_id, array_to_string({_WORDS_OF.format("text")}, '') as run from benchmark where text is not null),
+x as (select item_id, i, l, substring(run, i + 1, l) as s from p, range(length(run)) r(i), range(1, 1 + least((select max(length(w)) from c), length(run) - i)) q(l)),
+e as (select item_id, i + l as j, i, ln(n) - total as g from x join c on w = s, t union all select item_id, i + 1, i, -total from x, t where l = 1 and s not in (select w from c)),
+g as (select item_id, j, list({{'i': i, 'g': g}} order by i) as es from e group by all),
+b as (select item_id, list_reduce(list_concat([[{{'i': 0::bigint, 'g': 0.0::double, 'h': 0::bigint}}]], list(list_transform(es, lambda y: {{'i': y.i, 'g': y.g, 'h': -1::bigint}}) order by j)),
+  lambda acc, es: list_append(acc, list_reduce(list_transform(es, lambda y: {{'i': y.i, 'g': acc[y.i + 1].g + y.g, 'h': -1::bigint}}), lambda a, z: case when z.g > a.g then z else a end))) as best from g group by item_id),
+k as (select item_id, best, len(best) - 1 as pos from b union all select item_id, best, best[pos + 1].i from k where pos > 0),
+cuts as (select item_id, list(pos order by pos) as cuts, any_value(best[len(best)].g) as score from k group by item_id)
+select p.item_id, array_to_string(list_transform(range(1, len(cuts)), lambda q: substring(run, cuts[q] + 1, cuts[q + 1] - cuts[q])), ' ') as words, round(score, 4) as score from p join cuts using (item_id)""")
+def _(spark, d):
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
+    counts = table(spark, d, "documents").select(F.explode(words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n >= 5")
+    own = S.dictionary(counts, "w", "n")
+    split = table(spark, d, "benchmark").where("text is not null").select("item_id", F.array_join(words(F.col("text")), "").alias("run")).where("run != ''")
+    split = split.select("item_id", S.split_words(F.col("run"), own).alias("words"))
+    total = F.lit(sum(own.counts.values()))
+    share = F.explode("words").alias("w")
+    score = split.select("item_id", share).join(counts, "w", "left").groupBy("item_id").agg(F.sum(F.log(F.coalesce("n", F.lit(1))) - F.log(total)).alias("score"))
+    return split.join(score, "item_id").select("item_id", F.array_join("words", " ").alias("words"), F.round("score", 4).alias("score"))
+
+
 @query("bm25", f"with {QUERIES_SQL}, {_BM25[1:]} select query_id, source, doc_id, round(score, 6) as score from bm")
 def _(spark, d):
     return R.bm25(_rows(spark, d), queries(spark, d)).select("query_id", F.col("scope").alias("source"), F.col("item_id").alias("doc_id"), F.round("score", 6).alias("score"))
@@ -135,15 +164,26 @@ select query_id, doc_id, source, round(score, 9) as score, row_number() over (pa
 _KEPT = {}
 
 
+def _state(spark, d):
+    """What tells one state of a table from another: path, length and modification time of its files, summed up on the executors."""
+    seen = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{d}/documents.parquet").select("path", "length", "modificationTime")
+    return tuple(seen.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first())
+
+
 def kept(spark, d):
-    """The index of the documents, built once in a session for the same files."""
-    key = (spark.sparkContext.applicationId, d, *table(spark, d, "documents").inputFiles())
+    """The index of the documents, built once in a session for the same state of their files."""
+    key = (spark.sparkContext.applicationId, d, *_state(spark, d))
     if key not in _KEPT:
         names = items(spark, d).select(F.col("source").alias("scope"), F.explode(F.array(F.col("source"), F.concat(F.lit("doc_"), F.col("item_id").cast("string")))).alias("names"))
         _KEPT[key] = I.Kept.build(_rows(spark, d), R.name_tokens(names))
     return _KEPT[key]
 
 
+@query("bm25_top10", f"with {QUERIES_SQL}, {_BM25[1:]}, r as (select query_id, source, doc_id, round(score, 6) as score, row_number() over (partition by query_id, source order by score desc, doc_id) as rank from bm) select * from r where rank <= 10")
+def _(spark, d):
+    return R.bm25_top(kept(spark, d), queries(spark, d)).select("query_id", F.col("scope").alias("source"), F.col("item_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
 @query("hybrid_search", _HYBRID)
 def _(spark, d):
     hits = R.search(kept(spark, d), items(spark, d), queries(spark, d))
@@ -179,7 +219,17 @@ x as (select distinct query_id, regexp_replace(run, '[^\\p{{L}}\\p{{N}}]', '', '
 t as (select distinct source, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) as token from documents)
 select distinct query_id, source from x join t on starts_with(token, prefix) where prefix <> ''""")
 def _(spark, d):
-    return I.fts_match(I.fts_postings(_rows(spark, d)), queries(spark, d)).select("query_id", F.col("scope").alias("source"))
+    return kept(spark, d).matches(queries(spark, d)).select("query_id", F.col("scope").alias("source"))
+
+
+@query("fts_contains", f"""
+with {QUERIES_SQL},
+p as (select distinct query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9_]+|[^\\sa-z0-9_]+')) as run from q),
+x as (select distinct query_id, regexp_replace(run, '[^\\p{{L}}\\p{{N}}]', '', 'g') as prefix from p),
+t as (select distinct source, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) as token from documents)
+select distinct query_id, source from x join t on contains(token, prefix) where prefix <> ''""")
+def _(spark, d):
+    return I.fts_match(I.fts_postings(_rows(spark, d)), queries(spark, d), contains=True).select("query_id", F.col("scope").alias("source"))
 
 
 @query("candidate_files", f"""
