@@ -182,9 +182,9 @@ def read_csv(data: bytes) -> list[Page]:
 
 
 def read_pdf(data: bytes) -> list[Page]:
-    """Text and pictures of each page; pages with neither are left out, the others keep their numbers."""
+    """Text, tables and pictures of each page; pages with none are left out, the others keep their numbers."""
     sheets = enumerate(pdf.read(data), 1)
-    return [Page(s.text, [], [(x.extension, x.width, x.height, x.data) for x in s.pictures], i) for i, s in sheets if s.text or s.pictures]
+    return [Page(s.text, s.tables, [(x.extension, x.width, x.height, x.data) for x in s.pictures], i) for i, s in sheets if s.text or s.pictures]
 
 
 def ocr_reader(name: str) -> Callable[[bytes], list[Page]]:
@@ -271,6 +271,23 @@ def parse_cached(files: DataFrame, cache: DataFrame, tool: str, readers: Readers
     return old.unionByName(parse(hashed.join(known.select("md5").distinct(), "md5", "left_anti").select("path", "extension", "content"), readers))
 
 
+def pdf_words(files: DataFrame) -> DataFrame:
+    """(path, page, nth, word, x0, x1, top, bottom) of the words of PDF files, in points from the top left; none of files that cannot be read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in batches:
+            rows = []
+            for path, data in zip(some["path"], some["content"], strict=True):
+                try:
+                    sheets = pdf.read(bytes(data or b""))
+                except ValueError:
+                    continue  # `parse` has its error
+                rows += [(path, i, k, w.text, w.x0, w.x1, w.top, w.bottom) for i, s in enumerate(sheets, 1) for k, w in enumerate(s.words)]
+            yield pd.DataFrame(rows, columns=["path", "page", "nth", "word", "x0", "x1", "top", "bottom"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, page int, nth int, word string, x0 double, x1 double, top double, bottom double")
+
+
 def images(pages: DataFrame) -> DataFrame:
     """(path, page, nth, name, extension, width, height, data, text) of all pictures in parsed pages, named by the file's digest."""
     rows = pages.where("success").select("path", "md5", "page", "text", F.posexplode("images").alias("nth", "x"))

@@ -195,6 +195,130 @@ def test_pdf_pages_in_tree_order_with_text_and_pictures():
             pdf.read(bad)
 
 
+def a_stream(content, head=b"", length=None):
+    return b"<< %s /Length %d >> stream\n" % (head, len(content) if length is None else length) + content + b"\nendstream endobj"
+
+
+def one_page(content, head=b"", more=(), resources=b""):
+    """A PDF of one page 300 points high; content as stored."""
+    parts = [b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj", b"2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 >> endobj"]
+    parts += [b"3 0 obj << /Type /Page /MediaBox [0 0 400 300] /Contents 4 0 R /Resources << %s >> >> endobj" % resources, b"4 0 obj " + a_stream(content, head), *more]
+    return b"%PDF-1.5\n" + b"\n".join(parts) + b"\n%%EOF"
+
+
+def lzw(data):
+    """Codes of 9 bits and more, the wider ones from one entry before they are needed."""
+    out, bits, width, table, w = 0, 0, 9, {bytes([i]): i for i in range(256)}, b""
+
+    def put(code):
+        nonlocal out, bits
+        out, bits = out << width | code, bits + width
+
+    put(256)
+    n = 258
+    for i in range(len(data)):
+        c = data[i : i + 1]
+        if w + c in table:
+            w += c
+            continue
+        put(table[w])
+        table[w + c] = n
+        width = {511: 10, 1023: 11, 2047: 12}.get(n, width)
+        n, w = n + 1, c
+        if n == 4094:
+            put(256)
+            table, n, width = {bytes([i]): i for i in range(256)}, 258, 9
+    if w:
+        put(table[w])
+    put(257)
+    return (out << -bits % 8).to_bytes((bits + 7) // 8, "big")
+
+
+def run_lengths(data):
+    return b"".join(bytes([len(data[i : i + 100]) - 1]) + data[i : i + 100] for i in range(0, len(data), 100)) + b"\xfda\x80"
+
+
+GRID = b"""q 0.5 w 50 250 m 250 250 l S 50 220 m 250 220 l S 50 190 200 1 re f 50 250 m 50 190 l S 250 250 m 250 190 l S
+150 250 m 150 190 l S Q BT /F1 10 Tf 60 230 Td (Name and) Tj 0 -30 Td [(An) -20 (na)] TJ ET BT 1 0 0 1 160 230 Tm (Size) Tj 0 -30 Td (7) Tj ( mm) Tj ET BT 300 280 Td (outside) Tj ET"""
+
+
+def test_pdf_tables_by_lines():
+    from lodewell.sources import pdf
+
+    want = [[["Name and", "Size"], ["Anna", "7 mm"]]]
+    assert pdf.read(one_page(GRID))[0].tables == want
+    # the same in another place and size, as boxes, with a merged header cell and an empty row
+    boxes = b"q 2 0 0 2 -50 -300 cm 50 200 100 20 re S 50 180 50 20 re S 100 180 50 20 re S 50 160 50 20 re 100 160 50 20 re S BT /F1 5 Tf 60 205 Td (whole) Tj 50 0 Td (head) Tj -50 -20 Td (a) Tj 50 0 Td (b) Tj ET Q"
+    assert pdf.read(one_page(boxes))[0].tables == [[["whole head", ""], ["a", "b"]]]
+    two = GRID + b" q 1 0 0 1 0 -100 cm 50 120 m 250 120 l S 50 90 m 250 90 l S 50 120 m 50 90 l S 250 120 m 250 90 l S BT 60 100 Td (alone) Tj ET Q"
+    assert pdf.read(one_page(two))[0].tables == [*want, [["alone"]]]
+    assert pdf.read(one_page(b"50 250 m 250 250 l S BT 10 20 Td (no table) Tj ET"))[0].tables == []
+
+
+def test_pdf_tables_by_gaps():
+    from lodewell.sources import pdf
+
+    page = b"BT /F1 10 Tf 50 250 Td (Key) Tj 100 0 Td (Value) Tj -100 -20 Td (one two) Tj 100 0 Td (3) Tj -100 -20 Td (four) Tj 100 0 Td (5) Tj ET"
+    (sheet,) = pdf.read(one_page(page))
+    assert sheet.tables == [[["Key", "Value"], ["one two", "3"], ["four", "5"]]]
+    assert [(w.text, w.x0, w.top) for w in sheet.words[:2]] == [("Key", 50.0, 42.0), ("Value", 150.0, 42.0)]
+    widths = b"/Font << /F1 9 0 R >>"
+    font = b"9 0 obj << /Type /Font /FirstChar 97 /Widths [1000 250] >> endobj"
+    (sheet,) = pdf.read(one_page(b"BT /F1 10 Tf 2 Tc 10 10 Td (ab b) Tj ET", more=[font], resources=widths))
+    assert [(w.text, round(w.x0, 1), round(w.x1, 1)) for w in sheet.words] == [("ab", 10.0, 26.5), ("b", 33.5, 38.0)]
+
+
+def test_pdf_filters_are_read_or_loud():
+    import base64
+    import zlib
+
+    from lodewell.sources import pdf
+
+    plain = pdf.read(one_page(GRID))[0]
+    packed = {
+        b"/FlateDecode": zlib.compress(GRID),
+        b"/LZWDecode": lzw(GRID),
+        b"/RunLengthDecode": run_lengths(GRID),
+        b"/ASCIIHexDecode": GRID.hex().encode() + b">",
+        b"/ASCII85Decode": base64.a85encode(GRID) + b"~>",
+        b"[/ASCIIHexDecode /LZWDecode]": lzw(GRID).hex().encode() + b">",
+        b"[/A85 /Fl]": base64.a85encode(zlib.compress(GRID)) + b"~>",
+    }
+    for name, content in packed.items():
+        got = pdf.read(one_page(content, b"/Filter " + name))[0]
+        assert (got.tables, got.text.split()[:2]) == (plain.tables, plain.text.split()[:2]), name
+    big = bytes(range(256)) * 200 + b"ab" * 5000
+    assert pdf._lzw(lzw(big)) == big and pdf._lzw(lzw(b"")) == b""
+    with pytest.raises(ValueError, match="unknown stream filter JBIG2Decode"):
+        pdf.read(one_page(b"x", b"/Filter /JBIG2Decode"))
+    assert S.default_readers("none").execute("pdf", one_page(b"x", b"/Filter /JBIG2Decode"))[2].endswith("unknown stream filter JBIG2Decode")
+
+
+def test_pdf_streams_end_where_they_say():
+    from lodewell.sources import pdf
+
+    nasty = b"\xff\xd8 endstream endobj 9 0 obj << >> stream\nx\nendstream endobj \r\n\xff\xd9"
+    for length in (b"/Length %d" % len(nasty), b"/Length 8 0 R"):
+        picture = b"5 0 obj << /Subtype /Image /Width 3 /Height 4 /Filter /DCTDecode %s >> stream\n" % length + nasty + b"\nendstream endobj\n8 0 obj %d endobj" % len(nasty)
+        (sheet,) = pdf.read(one_page(GRID, more=[picture], resources=b"/XObject << /I 5 0 R >>"))
+        assert [p.data for p in sheet.pictures] == [nasty] and sheet.tables
+    wrong = one_page(GRID).replace(b"/Length %d" % len(GRID), b"/Length 3")
+    assert pdf.read(wrong)[0].tables
+
+
+def test_pdf_tables_and_words_in_spark(spark):
+    from lodewell.operators import chunk as C
+
+    rows = [("a.pdf", "pdf", bytearray(one_page(GRID))), ("bad.pdf", "pdf", bytearray(b"nothing")), ("none.pdf", "pdf", None)]
+    files = spark.createDataFrame(rows, "path string, extension string, content binary")
+    pages = {r.path: r for r in S.parse(files).collect()}
+    assert pages["a.pdf"].tables == [[["Name and", "Size"], ["Anna", "7 mm"]]] and not pages["bad.pdf"].success and not pages["none.pdf"].success
+    words = S.pdf_words(files)
+    assert {r.path for r in words.collect()} == {"a.pdf"}
+    grid = C.grid_from_words(words.where("x0 < 250"), "path").orderBy("row_no").collect()
+    assert [r.cells for r in grid] == [["Name and", "Size"], ["Anna", "7 mm"]]
+
+
 def test_ocr_comes_first_and_falls_back(spark):
     from lodewell import providers
 
