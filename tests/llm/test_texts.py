@@ -345,3 +345,29 @@ def test_redaction(spark, docs):
 def test_secrets_plan_has_no_python(docs):
     plan = secrets.secret_spans(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("kind", ["changed", "inserted", "deleted", "many"])
+def test_near_copies_behind_quotations(spark, kind):
+    """Earlier documents quote both halves of a passage, so every key of its near copies has an earlier place that matches nothing."""
+    import random
+
+    dice = random.Random(kind)
+    words = lambda n: ["".join(dice.choice("abcdefghij") for _ in range(dice.randint(3, 8))) for _ in range(n)]
+    rows, groups = [], 12
+    for g in range(groups):
+        passage, base = words(60), 1000 * g
+        for i in range(5 if kind == "many" else 1):
+            rows += [(base + 2 * i, " ".join(words(50) + passage[:30] + words(50))), (base + 2 * i + 1, " ".join(words(50) + passage[30:] + words(50)))]
+        near, at = list(passage), dice.randrange(5, 55)
+        if kind == "inserted":
+            near.insert(at, "new")
+        elif kind == "deleted":
+            del near[at]
+        else:
+            near[at] = "new"
+        rows += [(base + 30, " ".join(words(40) + passage + words(40))), (base + 31, " ".join(words(40) + near + words(40)))]
+    out = substring_dedup.clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out} == {1000 * g + i for g in range(groups) for i in (30, 31)}
+    assert {r.doc_id for r in out if not r.kept} == {1000 * g + 31 for g in range(groups)}
+    assert all(r.n_words >= 48 for r in out)
