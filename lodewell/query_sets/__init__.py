@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text", "characters", "search", "chunks", "events", "evaluation", "registry")
+MODULES: tuple[str, ...] = ("text", "characters", "search", "chunks", "events", "evaluation", "registry", "readers")
 
 
 def load() -> None:

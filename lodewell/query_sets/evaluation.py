@@ -48,12 +48,12 @@ def _(spark, d):
 
 
 @query("compare_configs", f"""
-with {_EV}, c as (select config_id, avg(hit_rate) as h, avg(mrr) as m, count(*) as n from ev where set_id = 0 group by config_id),
+with {_EV}, c as (select config_id, avg(hit_rate) as h, avg(mrr) as m, count(*) as n from ev group by config_id),
 a as (select distinct o_orderpriority as config_id from orders), r as (select config_id, coalesce(h, 0) as h, coalesce(m, 0) as m, coalesce(n, 0) as n from a left join c using (config_id))
 select config_id, round(h, 6) as avg_hit_rate, round(m, 6) as avg_mrr, n, config_id = (select config_id from r order by h desc, config_id limit 1) as is_best from r""")
 def _(spark, d):
     ev = _evaluations(spark, d)
-    c = E.compare_configs(ev.select("config_id").distinct(), ev.where("set_id = 0"))
+    c = E.compare_configs(ev.select("config_id").distinct(), ev)
     return c.select("config_id", F.round("avg_hit_rate", 6).alias("avg_hit_rate"), F.round("avg_mrr", 6).alias("avg_mrr"), "n", "is_best")
 
 

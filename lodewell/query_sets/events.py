@@ -53,6 +53,17 @@ def _(spark, d):
     return G.edge_counts(_edges(spark, d))
 
 
+@query("node_edge_lists", """
+with e as (select distinct 'p' || l_partkey as f, 's' || l_suppkey as t from lineitem),
+x as (select f as id, 'calls:' || t || ':out' as e from e union all select t, 'calls:' || f || ':in' from e where f <> t),
+n as (select 'p' || p_partkey as id from part union all select 's' || s_suppkey from supplier)
+select id, coalesce(string_agg(e, ',' order by e), '') as edges from n left join x using (id) group by id""")
+def _(spark, d):
+    nodes = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id")).unionByName(table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id")))
+    lists = G.node_edges(nodes, _edges(spark, d))
+    return lists.select("id", F.array_join(F.array_sort(F.transform("edges", lambda e: F.concat_ws(":", e["type"], e["target"], e["direction"]))), ",").alias("edges"))
+
+
 def _edges(spark, d):
     li = table(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("from_node"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("to_node")).distinct()
     return li.withColumn("edge_type", F.lit("calls"))

@@ -197,10 +197,11 @@ def _(spark, d):
     return G.append(rows, table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
 
 
-@query("looked_up", "select o_custkey as id, c_name as name from orders left join customer on c_custkey = o_custkey and c_custkey % 2 = 0")
+@query("looked_up", "select i.id, c_name as name from (select o_custkey as id from orders union all select -o_orderkey from orders) i left join customer on c_custkey = i.id")
 def _(spark, d):
-    register = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return S.lookup(register, table(spark, d, "orders").select(F.col("o_custkey").alias("id")))
+    register = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    orders = table(spark, d, "orders")
+    return S.lookup(register, orders.select(F.col("o_custkey").alias("id")).unionByName(orders.select((-F.col("o_orderkey")).alias("id"))))
 
 
 @query("register_search", "select p_partkey as id from part where contains(lower(p_name), 'ring') or contains(lower(p_type), 'ring') order by 1 limit 10")
@@ -235,18 +236,18 @@ def _(spark, d):
     return out.select("path", "encoding", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("changed_files", f"with {_FILES} select path, md5(text) as md5 from f where path like '%.txt' and doc_id % 5 <> 1")
+@query("changed_files", f"with {_FILES} select path, md5(case when doc_id % 2 = 0 then '# Title' || chr(10) || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10) || chr(10) || text || chr(10) || '# End' || chr(10) || 'last' || chr(10) else text end) as md5 from f where doc_id % 5 <> 1")
 def _(spark, d):
-    found = _files(spark, d).where("extension = 'txt'")
-    n = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long")
+    found = _files(spark, d)
+    n = F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long")
     stored = found.where(n % 5 < 3).select("path", F.when(n % 5 == 1, F.md5("content")).otherwise("old").alias("md5"))
     return S.changed(found, stored).select("path", "md5")
 
 
-@query("uncached_files", f"with {_FILES} select path, md5(text) as md5 from f where path like '%.txt' and not (doc_id % 3 = 0 and doc_id % 2 = 1)")
+@query("uncached_files", f"with {_FILES} select path, md5(case when doc_id % 2 = 0 then '# Title' || chr(10) || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10) || chr(10) || text || chr(10) || '# End' || chr(10) || 'last' || chr(10) else text end) as md5 from f where doc_id % 3 <> 0")
 def _(spark, d):
-    found = _files(spark, d).where("extension = 'txt'").select("path", F.md5("content").alias("md5"))
-    n = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long")
+    found = _files(spark, d).select("path", F.md5("content").alias("md5"))
+    n = F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long")
     cache = found.where(n % 3 == 0).withColumn("tool", F.lit("text")).unionByName(found.withColumn("tool", F.lit("ocr")))
     return S.cache_misses(found, cache, "text")
 
@@ -277,9 +278,9 @@ def _(spark, d):
     return S.complexity(pages).select("path", "n_tables", "n_images", "n_chars", "is_complex")
 
 
-@query("ocr_pages", "select doc_id as line_no, doc_id * 100 + x.i as page, case x.i when 0 then substring(text, 1, 30) else 'two' end as markdown, case x.i when 0 then 'img1' else '' end as images from documents, (values (0), (1)) x(i)")
+@query("ocr_pages", "select doc_id as line_no, doc_id * 100 + x.i as page, case x.i when 0 then text else 'two' end as markdown, case x.i when 0 then 'img1' else '' end as images from documents, (values (0), (1)) x(i)")
 def _(spark, d):
-    one = F.struct(F.struct(F.substring("text", 1, 30).alias("text")).alias("markdown"), F.create_map(F.lit("layout_det_res_0"), F.lit("u"), F.lit("img1"), F.lit("v")).alias("outputImages"))
+    one = F.struct(F.struct(F.col("text")).alias("markdown"), F.create_map(F.lit("layout_det_res_0"), F.lit("u"), F.lit("img1"), F.lit("v")).alias("outputImages"))
     two = F.struct(F.struct(F.lit("two").alias("text")).alias("markdown"), F.create_map(F.lit("layout_det_res_1"), F.lit("u"), F.lit("layout_det_res_2"), F.lit("v")).alias("outputImages"))
     lines = documents(spark, d).select(F.col("doc_id").alias("line_no"), F.to_json(F.struct(F.struct(F.array(one, two).alias("layoutParsingResults")).alias("result"))).alias("json"))
     return S.ocr_pages(lines).select("line_no", "page", "markdown", F.array_join(F.map_keys("images"), ",").alias("images"))

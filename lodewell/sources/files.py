@@ -344,6 +344,18 @@ def js_entries(text: str) -> list[dict]:
     return out
 
 
+def script_entries(scripts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, id, name, type) of all register entries in scripts."""
+    kind = scripts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in batches:
+            rows = [(k, e["id"], e["name"], e["type"]) for k, t in zip(some["k"], some["t"], strict=True) for e in js_entries(t or "")]
+            yield pd.DataFrame(rows, columns=["k", "id", "name", "type"])
+
+    return scripts.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, id long, name string, type long").withColumnRenamed("k", key)
+
+
 def lookup(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """Entries of the asked ids, null where there is none."""
     return ids.select(key).join(table, key, "left")
