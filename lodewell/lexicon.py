@@ -143,7 +143,7 @@ COLLOQUIAL = {
     "蓝牙连接": "BLE连接",
     "蓝牙配对": "BLE配对绑定",
     "蓝牙广播": "BLE广播",
-    "蓝牙协议": "云迹物联BLE协议",
+    "蓝牙协议": "BLE协议",
     "can协议": "CAN协议",
     "485协议": "RS485协议",
     "数据点": "DP数据点",
