@@ -1,10 +1,11 @@
-import random
 """Ranking, expansion, logs, graphs, dedup, evaluation and registry on literal fixtures."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
+from lodewell.functions import text as X
 from lodewell.operators import dedup as D
 from lodewell.operators import evaluate as E
 from lodewell.operators import expand as Q
@@ -190,6 +191,66 @@ def test_components(spark):
     assert connected_components(edges.where("src > 99")).count() == 0
 
 
+def _greedy_plain(rows, threshold=0.8):
+    """The rule as it reads: rows (nth, kind, hash, content) in order; {nth: first} and [(nth, content)] of what is kept."""
+    def ratio(a, b):
+        a, b = a.lower()[:500], b.lower()[:500]
+        if not a or not b or abs(len(a) - len(b)) > max(len(a), len(b)) * 0.5:
+            return 0.0
+        return 1 - D.edit_distance(a, b) / max(len(a), len(b))
+
+    kept, at = [], {}
+    for nth, kind, h, content in rows:
+        same = next((e for e in kept if e["h"] == h or ratio(e["content"], content) >= threshold), None)
+        if same is None:
+            same = {"nth": nth, "kind": kind, "h": h, "content": content}
+            kept.append(same)
+        elif not (same["kind"] == "command" and kind != "command") and len(content) > len(same["content"]):
+            same["h"], same["content"] = h, content
+        at[nth] = same["nth"]
+    return at, [(e["nth"], e["content"]) for e in kept]
+
+
+def test_blocks_of_many_slices(spark, monkeypatch):
+    """A file larger than a slice gives what the rule gives in order; clusters are those of all pairs."""
+    monkeypatch.setattr(D, "SLICE", 24)
+    r = random.Random(5)
+    heads = ["".join(r.choice("abcde fgh") for _ in range(r.randint(1, 120))) for _ in range(12)]
+    rows = []
+    for i in range(260):
+        t = list(r.choice(heads))
+        for _ in range(r.randint(0, max(1, len(t) // 4))):
+            at = r.randrange(len(t) + 1)
+            t[at : at + r.randint(0, 1)] = r.choice(["", "x", "yz"])
+        text = "".join(t) if i % 40 else [None, "", "  "][i // 40 % 3]
+        rows.append(("f" if i % 5 else None if i % 2 else "g", i, "command" if r.random() < 0.15 else "section", f"b{i}", text, i))
+    df = spark.createDataFrame(rows, "k string, n long, kind string, name string, content string, o long")
+    hashes = {x.n: x.h for x in df.select("n", X.min_shingle_hash(F.coalesce("content", F.lit(""))).alias("h")).collect()}
+    first = {x.n: x.first for x in D.block_slots(df, "k", "n").collect()}
+    kept = sorted((x.n, x.content or "") for x in D.greedy_blocks(df, "k", "n").collect())
+    component = {x.n: x.component for x in D.cluster_blocks(df, "k", "n").collect()}
+    want_first, want_kept = {}, []
+    for file in ("f", "g", None):
+        of = [(x[1], x[2], hashes[x[1]], x[4] or "") for x in rows if x[0] == file]
+        at, keep = _greedy_plain(of)
+        want_first |= at
+        want_kept += keep
+        root = {x[0]: x[0] for x in of}
+        for _ in range(len(of)):
+            before = dict(root)
+            for i, a in enumerate(of):
+                for b in of[i + 1 :]:
+                    if root[a[0]] != root[b[0]] and len(_greedy_plain([a, b])[1]) == 1:
+                        root[a[0]] = root[b[0]] = min(root[a[0]], root[b[0]])
+            if root == before:
+                break
+        assert {n: component[n] for n in root} == root
+    assert first == want_first and kept == sorted(want_kept)
+    assert len(set(first.values())) < 200 and any(first[n] != component[n] for n in first)
+    none = df.where("n < 0")
+    assert D.greedy_blocks(none, "k", "n").count() == D.block_slots(none, "k", "n").count() == D.cluster_blocks(none, "k", "n").count() == 0
+
+
 def test_dedup(spark):
     b = spark.createDataFrame([(1, 1, "command", "c", "the quick brown fox jumps"), (1, 2, "section", "s", "the quick brown fox jumps x"), (1, 3, "section", "t", "nothing like it at all"), (2, 1, "section", "u", "the quick brown fox jumps")], "f long, n long, kind string, name string, content string")
     got = sorted((r.f, r.n, r.name) for r in D.greedy_blocks(b, "f", "n").collect())
