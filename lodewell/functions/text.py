@@ -230,10 +230,16 @@ def is_garbled_block(text: Column) -> Column:
 
 def min_shingle_hash(text: Column, window: int = 50) -> Column:
     """The smallest md5 prefix of all windows of the lower-cased, space-folded text; short texts: md5 prefix of 12."""
-    t = F.regexp_replace(F.lower(_trim(text)), r"\s+", " ")
-    n = F.length(t)
-    hashes = F.transform(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1))), lambda i: F.substring(F.md5(F.substring(t, i, F.lit(window)).cast("binary")), 1, 8))
-    return F.when(n <= window, F.substring(F.md5(t.cast("binary")), 1, 12)).otherwise(F.array_min(hashes))
+    folded = F.regexp_replace(F.lower(_trim(text)), r"\s+", " ")
+
+    def least(t: Column) -> Column:
+        """Windows are cut from pieces of `step` starts, as a place in a text is found by counting from its start."""
+        step = 512
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(t) - window) / step)), lambda b: F.substring(t, (b * step + 1).cast("int"), F.lit(step + window - 1)))
+        in_piece = lambda p: F.array_min(F.transform(F.sequence(F.lit(1), F.length(p) - window + 1), lambda i: F.substring(F.md5(F.substring(p, i, F.lit(window)).cast("binary")), 1, 8)))
+        return F.when(F.length(t) <= window, F.substring(F.md5(t.cast("binary")), 1, 12)).otherwise(F.array_min(F.transform(pieces, in_piece)))
+
+    return F.element_at(F.transform(F.array(folded), least), 1)  # the array's element binds the folded text, which is then made once
 
 
 def edit_ratio(a: Column, b: Column, longest: int = 500) -> Column:
