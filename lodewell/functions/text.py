@@ -1,7 +1,7 @@
 """Cleaning, quality and hashing of text as Column functions.
 
 All are built-in expressions but for NFKC, HTML tables and the short-line merge, which have no JVM
-form and run as Arrow-batched UDFs. Null text gives null, except where a docstring says otherwise.
+form, and the windows of the min-shingle hash; these run as Arrow-batched UDFs. Null text gives null, except where a docstring says otherwise.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from hashlib import md5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -230,16 +231,22 @@ def is_garbled_block(text: Column) -> Column:
 
 def min_shingle_hash(text: Column, window: int = 50) -> Column:
     """The smallest md5 prefix of all windows of the lower-cased, space-folded text; short texts: md5 prefix of 12."""
-    folded = F.regexp_replace(F.lower(_trim(text)), r"\s+", " ")
-
-    def least(t: Column) -> Column:
-        """Windows are cut from pieces of `step` starts, as a place in a text is found by counting from its start."""
-        step = 512
-        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(t) - window) / step)), lambda b: F.substring(t, (b * step + 1).cast("int"), F.lit(step + window - 1)))
-        in_piece = lambda p: F.array_min(F.transform(F.sequence(F.lit(1), F.length(p) - window + 1), lambda i: F.substring(F.md5(F.substring(p, i, F.lit(window)).cast("binary")), 1, 8)))
-        return F.when(F.length(t) <= window, F.substring(F.md5(t.cast("binary")), 1, 12)).otherwise(F.array_min(F.transform(pieces, in_piece)))
-
-    return F.element_at(F.transform(F.array(folded), least), 1)  # the array's element binds the folded text, which is then made once
+    t = F.regexp_replace(F.lower(_trim(text)), r"\s+", " ")
+
+    @F.pandas_udf("string")
+    def least(texts: pd.Series) -> pd.Series:
+        """In Arrow batches: built-in substrings count from the start of the text for each window; ASCII texts are cut as bytes."""
+        def of(s: str) -> str:
+            cut = s.encode() if s.isascii() else None
+            best = b"\xff" * 16
+            for lo in range(0, len(s) - window + 1, 65536):
+                at = range(lo, min(lo + 65536, len(s) - window + 1))
+                best = min(best, min([md5(cut[i : i + window]).digest() for i in at] if cut else [md5(s[i : i + window].encode()).digest() for i in at]))
+            return best[:4].hex()
+
+        return texts.map(lambda s: of(s) if s is not None and len(s) > window else None)
+
+    return F.when(F.length(t) <= window, F.substring(F.md5(t.cast("binary")), 1, 12)).otherwise(least(t))
 
 
 def edit_ratio(a: Column, b: Column, longest: int = 500) -> Column:
