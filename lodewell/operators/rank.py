@@ -276,6 +276,11 @@ def _bm25_part(tf: str, dl: str, k1: float, b: float) -> Column:
     return idf * F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / F.col("avgdl")))
 
 
+def _ordered_sum(part: Column) -> Column:
+    """The sum of a few doubles from the least to the greatest: equal parts give equal sums, to the last bit, so that copies tie."""
+    return F.aggregate(F.array_sort(F.collect_list(part)), F.lit(0.0), lambda acc, x: acc + x)
+
+
 def _bm25_block(kept: I.Kept, queries: DataFrame, k: int, probe: int, k1: float, b: float, weights: dict[str, float]) -> DataFrame:
     asked = materialize(query_tokens(queries, T.bm25_tokens), "asked")
     by = ["query_id", "scope"]
@@ -284,7 +289,7 @@ def _bm25_block(kept: I.Kept, queries: DataFrame, k: int, probe: int, k1: float,
     def scored(groups: DataFrame) -> DataFrame:
         part = _bm25_part("tf", "dl", k1, b) * F.col("times") * _weight(F.col("token"), weights)
         met = kept.blocks_of(asked, groups).join(F.broadcast(asked), "token").join(groups.select(*by, "grp"), [*by, "grp"], "left_semi").join(kept.table("scopes"), "scope")
-        return met.groupBy(*by, "item_id").agg(F.sum(part).alias("score")).where("score > 0")
+        return met.groupBy(*by, "item_id").agg(_ordered_sum(part).alias("score")).where("score > 0")
 
     first = materialize(top(scored(limits.where(F.col("nth") <= probe)), k, by), "first")
     floor = first.where(F.col("rank") == k).select(*by, F.col("score").alias("floor"))
