@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lodewell.catalog import query
 from lodewell.operators import graph as G
 from lodewell.operators import logs as L
-from lodewell.plans.storage import table
+from lodewell.plans.storage import spread, table
 
 _LINE = "strftime(ts, '%Y-%m-%d %H:%M:%S') || '.' || lpad((date_part('microsecond', ts)::bigint % 1000000 // 1000)::varchar, 3, '0')"
 
@@ -118,7 +118,7 @@ def _code(spark, d):
     k = F.col("p_partkey").cast("string")
     lines = ("int f_{0}(int a) {{", "  return g_{0}(a) + printf(\"x\");", "}}", "#define M_{0} 1", "struct s_{0} {{ int x; }};", "enum e_{0} {{ A_{0}, B_{0} }};", "int v_{0} = 3;", "int g_{0}(int b) {{ return b; }}")
     text = F.concat_ws("\n", *[F.replace(F.lit(x.replace("{{", "{").replace("}}", "}")), F.lit("{0}"), k) for x in lines])
-    return table(spark, d, "part").select(F.concat(F.lit("cil/ble/p"), k, F.lit(".c")).alias("path"), text.alias("code"))
+    return spread(table(spark, d, "part").select("p_partkey"), "p_partkey").select(F.concat(F.lit("cil/ble/p"), k, F.lit(".c")).alias("path"), text.alias("code"))
 
 
 @query("code_nodes", """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodewell.catalog import query
 from lodewell.operators import chunk as C
-from lodewell.plans.storage import table
+from lodewell.plans.storage import spread, table
 from lodewell.query_sets.shared import documents
 from lodewell.sources import files as S
 
@@ -44,7 +44,7 @@ def _ruled(spark, d):
     hexed = lambda x: F.concat(F.hex(x), F.lit(">")).cast("binary")
     plain, packed = _pdf(hexed(text), "/Filter /ASCIIHexDecode"), _pdf(hexed(_run_lengths(text)), "/Filter [/ASCIIHexDecode /RunLengthDecode]")
     data = F.when(F.col("c_custkey") % 2 == 0, plain).otherwise(packed)
-    return table(spark, d, "customer").select(F.concat(F.lit("t/"), key, F.lit(".pdf")).alias("path"), F.lit("pdf").alias("extension"), data.alias("content"))
+    return spread(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey").select(F.concat(F.lit("t/"), key, F.lit(".pdf")).alias("path"), F.lit("pdf").alias("extension"), data.alias("content"))
 
 
 @query("pdf_tables", "select 't/' || c_custkey || '.pdf' as path, 'Key|Name and part' || chr(10) || c_custkey || '|' || c_name || ' ' || c_mktsegment as cells, 1 as n_images from customer")
