@@ -2,11 +2,15 @@
 
 import math
 import random
+import time
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodewell.functions import text as X
 from lodewell.operators import dedup as D
+from lodewell.operators import edits
 from lodewell.operators import evaluate as E
 from lodewell.operators import expand as Q
 from lodewell.operators import graph as G
@@ -336,3 +340,33 @@ def test_registry_rows(spark, tmp_path):
     assert {r.id: r.v for r in K.current(spark, str(tmp_path), "t").collect()} == {"a": 2, "b": 3}
     c = spark.createDataFrame([("x", "active"), ("y", "draft")], "config_id string, status string")
     assert {r.config_id: r.status for r in K.activate(c, "y").collect()} == {"x": "draft", "y": "active"}
+
+
+def test_edit_ratios_in_bulk():
+    """Bulk comparison gives what each pair gives alone, and costs a small part of it (block_slots and near_duplicate_blocks failed by time)."""
+    r = random.Random(9)
+    for letters, longest, threshold in (("ab", 12, 0.8), ("abcdef é漢", 500, 0.8), ("abc", 150, 0.5), ("abc", 200, 0.95)):
+        heads = ["".join(r.choice(letters) for _ in range(r.randint(1, longest))) for _ in range(4)]
+        texts = []
+        for h in heads * 8:
+            t = list(h)
+            for _ in range(r.randint(0, len(h) // 3)):
+                at = r.randrange(len(t) + 1)
+                t[at : at + r.randint(0, 1)] = r.choice(["", "x", "yz"])
+            texts.append("".join(t)[:500] or "a")
+        codes, size, n = edits.coded(texts)
+        i, j = (x.ravel() for x in np.indices((len(texts), len(texts))))
+        want = [1.0 - D.edit_distance(texts[a], texts[b]) / max(len(texts[a]), len(texts[b])) >= threshold for a, b in zip(i, j, strict=True)]
+        assert edits.similar(codes, size, n, i, j, threshold).tolist() == want
+        grams = [Counter(t[k : k + 3] for k in range(len(t) - 2)) for t in texts]
+        assert edits.common_grams(codes, n, 20, 12).tolist() == [[(a & b).total() for b in grams[12:]] for a in grams[:20]]
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(500)) for _ in range(200)]
+    codes, size, n = edits.coded(texts)
+    i, j = (x.ravel() for x in np.indices((100, 100)))
+    began = time.process_time()
+    edits.similar(codes, size, n, i, j + 100, 0.8)
+    bulk = (time.process_time() - began) / len(i)
+    began = time.process_time()
+    for k in range(100):
+        D.edit_distance(texts[k], texts[100 + k])
+    assert 10 * bulk < (time.process_time() - began) / 100
