@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodewell.functions import text as X
 from lodewell.functions.tokens import fold, gaps
 from lodewell.lexicon import BUILTINS
-from lodewell.plans.storage import in_blocks
+from lodewell.plans.storage import dealt, in_blocks
 
 
 def node_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -33,13 +33,22 @@ def edge_counts(edges: DataFrame) -> DataFrame:
     return out.union(in_).groupBy("id").agg(F.sum("out").alias("n_out"), F.sum("into").alias("n_in"))
 
 
+def _met(edges: DataFrame, of: DataFrame, end: str, other: str, name: str) -> DataFrame:
+    """(id, name): the distinct other ends of the edges of every given node.
+
+    Edges are most often distinct already, so a task holds about all of its rows: their number is what is bounded.
+    """
+    met = edges.select(F.col(end).alias("id"), F.col(other).alias(name)).join(of.select("id"), "id", "left_semi")
+    return dealt(met, edges.count(), "id", name).distinct()
+
+
 def callers(edges: DataFrame, of: DataFrame) -> DataFrame:
     """(id, caller): the distinct callers of every given node."""
-    return edges.join(of.select(F.col("id").alias("to_node")), "to_node").select(F.col("to_node").alias("id"), F.col("from_node").alias("caller")).distinct()
+    return _met(edges, of, "to_node", "from_node", "caller")
 
 
 def callees(edges: DataFrame, of: DataFrame) -> DataFrame:
-    return edges.join(of.select(F.col("id").alias("from_node")), "from_node").select(F.col("from_node").alias("id"), F.col("to_node").alias("callee")).distinct()
+    return _met(edges, of, "from_node", "to_node", "callee")
 
 
 def call_chain(edges: DataFrame, of: DataFrame) -> DataFrame:

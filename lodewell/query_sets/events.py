@@ -64,21 +64,24 @@ def _(spark, d):
     return lists.select("id", F.array_join(F.array_sort(F.transform("edges", lambda e: F.concat_ws(":", e["type"], e["target"], e["direction"]))), ",").alias("edges"))
 
 
+def _calls(spark, d):
+    return table(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("from_node"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("to_node"))
+
+
 def _edges(spark, d):
-    li = table(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("from_node"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("to_node")).distinct()
-    return li.withColumn("edge_type", F.lit("calls"))
+    return _calls(spark, d).distinct().withColumn("edge_type", F.lit("calls"))
 
 
 @query("callers", "select distinct 's' || l_suppkey as id, 'p' || l_partkey as caller from lineitem")
 def _(spark, d):
     of = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
-    return G.callers(_edges(spark, d), of)
+    return G.callers(_calls(spark, d), of)
 
 
 @query("callees", "select 'p' || l_partkey as id, count(distinct l_suppkey) as n from lineitem group by 1")
 def _(spark, d):
     of = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
-    return G.callees(_edges(spark, d), of).groupBy("id").agg(F.count("*").alias("n"))
+    return G.callees(_calls(spark, d), of).groupBy("id").agg(F.count("*").alias("n"))
 
 
 @query("resolved_calls", """

@@ -370,3 +370,16 @@ def test_edit_ratios_in_bulk():
     for k in range(100):
         D.edit_distance(texts[k], texts[100 + k])
     assert 10 * bulk < (time.process_time() - began) / 100
+
+
+def test_callers_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """Tasks follow the number of edges, whatever their bytes (callers and callees put 4 million rows into one)."""
+    monkeypatch.setattr("lodewell.plans.storage.TASK_ROWS", 100)
+    edges = spark.range(2000).select(F.concat(F.lit("p"), F.col("id") % 40).alias("from_node"), F.concat(F.lit("s"), F.col("id") % 30).alias("to_node"))
+    nodes = edges.select(F.col("to_node").alias("id")).where("id != 's7'")
+    got = G.callers(edges, nodes)
+    assert got.rdd.getNumPartitions() == 20
+    want = {(f"s{i % 30}", f"p{i % 40}") for i in range(2000) if i % 30 != 7}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    back = G.callees(edges, edges.select(F.col("from_node").alias("id")))
+    assert sorted(map(tuple, back.collect())) == sorted({(f"p{i % 40}", f"s{i % 30}") for i in range(2000)})
