@@ -221,6 +221,75 @@ def test_copies_behind_a_common_phrase_find_each_other(spark):
     assert missed(spark, texts) == {i: 0 for i, _ in texts}
 
 
+def test_near_copies_behind_many_uncovered_places_find_each_other(spark):
+    """Each key of the near copies has 40 places more, in texts of their own, and the earliest two are similar to none of them."""
+
+    def some(n, s):
+        return [f"{s}{k}" for k in range(n)]
+
+    texts = []
+    for f, (n, m, gap) in enumerate([(30, 25, 1), (25, 30, 1), (26, 27, 0), (40, 24, 2)]):
+        one, two = some(n, f"one{f}w"), some(m, f"two{f}w")
+        for i in range(40):
+            texts += [(1000 * f + i, some(60, f"a{f}x{i}y") + one + some(60, f"b{f}x{i}y")), (1000 * f + 100 + i, some(60, f"c{f}x{i}y") + two + some(60, f"d{f}x{i}y"))]
+        texts += [(1000 * f + 500 + i, some(60, f"e{f}x{i}y") + one + some(gap if i else max(1, gap), f"gap{f}x{i}y") + two + some(60, f"g{f}x{i}y")) for i in range(2)]
+    texts = [(i, " ".join(t)) for i, t in texts]
+    found = substring_dedup.clusters(spark.createDataFrame(texts, "doc_id long, text string"), substring_dedup.Params(unit=64, bucket=2)).collect()
+    of = {x.doc_id: x.cluster_id for x in found}
+    assert {x.doc_id for x in found} == {1000 * f + 500 + i for f in range(4) for i in range(2)} and all(of[1000 * f + 500] == of[1000 * f + 501] for f in range(4))
+
+
+def test_a_copy_of_a_covered_place_is_found(spark):
+    """The third text is similar to the second, which the first covers, but not to the first; so are 20 more that are similar to nothing."""
+
+    def changed(w, places, s):
+        return [f"{s}{k}" if k in places else x for k, x in enumerate(w)]
+
+    texts = []
+    for f in range(12):
+        base = [f"f{f}w{k}" for k in range(95)]
+        second = changed(base, {31, 63}, f"s{f}")
+        for i, t in enumerate([base, second, changed(second, {32, 62}, f"t{f}")] + [base[33:62]] * (20 * (f % 2))):
+            texts.append((100 * f + i, " ".join([f"l{f}x{i}y{k}" for k in range(50)] + t + [f"r{f}x{i}y{k}" for k in range(50)])))
+    found = substring_dedup.clusters(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    of = {x.doc_id: x.cluster_id for x in found}
+    assert all(of.get(100 * f) == of.get(100 * f + 1) == of.get(100 * f + 2) is not None for f in range(12)) and len(of) == 36
+
+
+def test_similar_paragraphs_have_common_shingles_near_a_key():
+    """Random chains at the limit: some run of a band has, around each of its keys, `common` shingles that both sides have."""
+    import random
+
+    r, p, tried = random.Random(3), substring_dedup.Params(), 0
+    for _ in range(60000):
+        k = r.choice([2, 2, 3, 3, 4, 5, 6])
+        runs = [r.choice([r.randint(5, 43), r.randint(36, 43)]) for _ in range(k)]
+        gaps = [r.choice([(1, 0), (0, 1), (1, 1), (r.randint(0, 7), r.randint(1, 7))]) for _ in range(k - 1)]
+        both = sum(n - 4 for n in runs)
+        own, other = (max(sum(runs) + sum(g[i] for g in gaps), p.window) - 4 for i in (0, 1))
+        if both < p.similarity * (own + other - both):
+            continue
+        tried += 1
+        at = [[], []]
+        for i in (0, 1):
+            x = 0
+            for n, g in zip(runs, [*gaps, (0, 0)], strict=True):
+                at[i].append(x)
+                x += n + g[i]
+
+        def near(j, d):
+            """Common shingles around the key that begins d words into run j."""
+            total = 0
+            for m, n in enumerate(runs):
+                a = max(0, *(at[i][j] + d - p.around - at[i][m] for i in (0, 1)))
+                b = min(n, *(at[i][j] + d + 18 + p.around - at[i][m] for i in (0, 1)))
+                total += max(0, b - a - 4)
+            return total
+
+        assert any(n >= p.band and all(near(j, d) >= p.common for d in range(n - 17)) for j, n in enumerate(runs)), (runs, gaps)
+    assert tried > 2000
+
+
 def brute_paragraphs(texts, size=48):
     """Pairs (i, j) of documents with word-aligned paragraphs, whole lines here, of a Jaccard similarity of 0.8 or more."""
     sets = {i: [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (split(line) for line in t.split("\n")) if len(w) >= size] for i, t in texts}
