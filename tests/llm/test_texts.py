@@ -256,6 +256,20 @@ def test_a_copy_of_a_covered_place_is_found(spark):
     assert all(of.get(100 * f) == of.get(100 * f + 1) == of.get(100 * f + 2) is not None for f in range(12)) and len(of) == 36
 
 
+def test_stretches_of_one_word_meet_once(spark, monkeypatch):
+    """30 texts with the same two stretches of a repeated word, 12 words of their own apart: 13 places of a key in each."""
+    texts = [(i, " ".join([f"a{i}y{k}" for k in range(50)] + ["x"] * 30 + [f"b{i}y{k}" for k in range(12)] + ["z"] * 30 + [f"c{i}y{k}" for k in range(50)])) for i in range(30)]
+    met, sessions = [], substring_dedup.sessions
+
+    def counted(rows, *more):
+        met.append(rows.count())
+        return sessions(rows, *more)
+
+    monkeypatch.setattr(substring_dedup, "sessions", counted)
+    assert substring_dedup.clusters(spark.createDataFrame(texts, "doc_id long, text string")).count() == 0
+    assert 0 < met[-1] <= 2 * 30 * 29 / 2  # each two texts once for each word, not for each shift
+
+
 def test_similar_paragraphs_have_common_shingles_near_a_key():
     """Random chains at the limit: some run of a band has, around each of its keys, `common` shingles that both sides have."""
     import random
